@@ -35,12 +35,18 @@ def _quoted(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def to_long(wide: DataFrame, keywords: list[str], group_id: str, index: str = "date", kind: str = "double") -> DataFrame:
-    """One row per date and keyword. Pass kind='string' to keep text for ``clean``."""
+def to_long(
+    wide: DataFrame, keywords: list[str], group_id: str | None = None, index: str = "date", kind: str = "double"
+) -> DataFrame:
+    """One row per date and keyword. Pass kind='string' to keep text for ``clean``.
+
+    The request is the column ``group_id``, or the given one.
+    """
+    group = F.col("group_id") if group_id is None else F.lit(group_id)
     values = [_quoted(k).cast(kind).alias(k) for k in keywords]
-    narrow = wide.select(F.col(index).cast("date").alias("ds"), *values)
-    long = narrow.unpivot(["ds"], [_quoted(k) for k in keywords], "series_id", "y")
-    return long.select(F.lit(group_id).alias("group_id"), "series_id", "ds", "y")
+    narrow = wide.select(group.alias("group_id"), F.col(index).cast("date").alias("ds"), *values)
+    long = narrow.unpivot(["group_id", "ds"], [_quoted(k) for k in keywords], "series_id", "y")
+    return long.select(*KEYS, "ds", "y")
 
 
 def to_wide(long: DataFrame, keywords: list[str], keys=("ds",)) -> DataFrame:

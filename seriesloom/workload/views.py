@@ -1,7 +1,7 @@
 """Series tables derived from the star schema and the event log.
 
-Money is summed in whole cents: integer sums do not depend on the order rows
-arrive in.
+Money is rounded per row and summed as integers: such sums do not depend on the
+order rows arrive in.
 """
 
 from __future__ import annotations
@@ -17,15 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cents(column: str) -> Column:
-    return F.round(F.col(column) * 100).cast("bigint")
+def whole(column: str) -> Column:
+    return F.round(F.col(column)).cast("bigint")
 
 
 def orders_series(spark: SparkSession, sf_dir: str, bucket: str = "day") -> DataFrame:
     """Revenue by order priority; the order status is the request they belong to."""
     orders = table(spark, sf_dir, "orders")
     return series_from_log(
-        orders, F.col("o_orderstatus"), F.col("o_orderpriority"), "o_orderdate", cents("o_totalprice"), bucket
+        orders, F.col("o_orderstatus"), F.col("o_orderpriority"), "o_orderdate", whole("o_totalprice"), bucket
     )
 
 
@@ -40,7 +40,7 @@ def nation_series(spark: SparkSession, sf_dir: str, bucket: str = "week") -> Dat
     Lines are summed per order before they meet the orders: the sum uses the
     distribution the join needs anyway.
     """
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum(cents("l_extendedprice")).alias("amount"))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum(whole("l_extendedprice")).alias("amount"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
