@@ -20,7 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..config import ModelConfig
 from ..functions import additive_terms as terms
 from ..functions.calendar import step_date
-from ..schema import KEYS
+from ..schema import KEYS, check_series
 from . import map_fit
 
 MODEL_NAME = "additive"
@@ -68,7 +68,7 @@ def _observations(df: DataFrame) -> DataFrame:
     Makes a date one row however often it is observed, so that what a task
     receives for a series is bounded by the calendar. Combines on the map side.
     """
-    seen = df.where(F.col("y").isNotNull() & F.col("ds").isNotNull())
+    seen = check_series(df).where(F.col("y").isNotNull() & F.col("ds").isNotNull())
     return seen.groupBy(*KEYS, F.unix_date("ds").alias("day")).agg(
         F.avg("y").alias("mean"),
         F.count("*").cast("double").alias("weight"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import KEYS, in_time
+from ..schema import check_series, in_time
 
 PARTIAL_FLAG = "isPartial"  # fixed value: marker column of an unfinished period
 
@@ -34,7 +34,7 @@ def fill_time(df: DataFrame) -> DataFrame:
     series would be re-read for every row.
     """
     over = "over (partition by group_id, series_id order by ds"
-    known = df.withColumn("known", F.when(F.col("y").isNotNull(), F.struct("ds", "y")))
+    known = check_series(df).withColumn("known", F.when(F.col("y").isNotNull(), F.struct("ds", "y")))
     walked = known.withColumn(
         "before", F.expr(f"last(known, true) {over} rows between unbounded preceding and current row)")
     ).withColumn("after", F.expr(f"lead(known, 1) ignore nulls {over})"))
@@ -65,4 +65,4 @@ def smooth(df: DataFrame, window: int = 7, causal: bool = False) -> DataFrame:
         return df
     ahead = 0 if causal else (window - 1) // 2
     frame = in_time().rowsBetween(ahead + 1 - window, ahead)
-    return df.withColumn("y_original", F.col("y")).withColumn("y", F.avg("y").over(frame))
+    return check_series(df).withColumn("y_original", F.col("y")).withColumn("y", F.avg("y").over(frame))

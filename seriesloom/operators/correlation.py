@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..schema import KEYS
+from ..schema import KEYS, check_series
 
 BLOCK = 64  # series per block; a task holds two blocks
 
@@ -25,7 +25,7 @@ def correlation_matrix(df: DataFrame, digits: int | None = None, block: int = BL
     """
     named = Window.partitionBy("group_id").orderBy("series_id")
     placed = (
-        df.groupBy(*KEYS)
+        check_series(df).groupBy(*KEYS)
         .agg(F.avg("y").alias("mean"))
         .withColumn("block", F.floor((F.row_number().over(named) - 1) / block).cast("int"))
         .withColumn("blocks", F.max("block").over(Window.partitionBy("group_id")) + 1)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..schema import by_series, in_time
+from ..schema import by_series, check_series, in_time
 
 # Fixed values: (more rows than, period), first match wins; period 7 otherwise.
 DEFAULT_PERIODS = ((730, 365), (60, 30))
@@ -40,7 +40,7 @@ def seasonal_decompose(df: DataFrame, period: int | None = None) -> DataFrame:
     """
     count = F.count("*").over(by_series())
     rows = (
-        df.withColumn("__n", count)
+        check_series(df).withColumn("__n", count)
         .withColumn("__nulls", F.count_if(F.col("y").isNull()).over(by_series()))
         .withColumn("__at", F.row_number().over(in_time()) - 1)
         .withColumn("__mean", F.avg("y").over(by_series()))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import KEYS
+from ..schema import KEYS, check_series
 
 MAX_KEYWORDS = 5  # fixed value: keywords one request may carry
 
@@ -50,7 +50,7 @@ def complete_grid(df: DataFrame) -> DataFrame:
     again. So the rows are shuffled once, and the (group, series) distribution
     is the one later per-series windows need.
     """
-    packed = df.groupBy(*KEYS).agg(F.collect_list(F.struct("ds", "y")).alias("seen"))
+    packed = check_series(df).groupBy(*KEYS).agg(F.collect_list(F.struct("ds", "y")).alias("seen"))
     dates = (
         packed.select("group_id", F.explode("seen.ds").alias("ds"))
         .groupBy("group_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import by_series, in_time
+from ..schema import by_series, check_series, in_time
 
 
 def temporal_split(df: DataFrame, test_size: float = 0.2, validation_size: float = 0.1) -> DataFrame:
@@ -13,7 +13,7 @@ def temporal_split(df: DataFrame, test_size: float = 0.2, validation_size: float
 
     ``validation_size`` is a share of the rows that are not test rows.
     """
-    placed = df.withColumn("__at", F.row_number().over(in_time()) - 1).withColumn("__n", F.count("*").over(by_series()))
+    placed = check_series(df).withColumn("__at", F.row_number().over(in_time()) - 1).withColumn("__n", F.count("*").over(by_series()))
     test_from = F.floor(F.col("__n") * F.lit(1 - test_size))
     val_from = F.floor(test_from * F.lit(1 - validation_size))
     split = F.when(F.col("__at") < val_from, "train").when(F.col("__at") < test_from, "val").otherwise("test")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import CALENDAR_FEATURES, KEYS, by_series, in_time
+from ..schema import CALENDAR_FEATURES, KEYS, by_series, check_series, in_time
 
 MAX_LENGTH = 30  # fixed value: longest lookback of the adaptive rule
 
@@ -40,7 +40,7 @@ def make_sequences(
         ahead = F.flatten(
             F.collect_list(F.array(F.col(target).cast("float"))).over(in_time(*within).rowsBetween(0, steps - 1))
         )
-    rows = df.select(*KEYS, *within, "ds", past.alias("x"), ahead.alias("yt"))
+    rows = check_series(df).select(*KEYS, *within, "ds", past.alias("x"), ahead.alias("yt"))
     full = rows.where((F.size("x") == length) & (F.size("yt") == steps))
     return full.withColumn("yt", F.element_at("yt", 1)) if steps == 1 else full
 

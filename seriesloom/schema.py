@@ -10,7 +10,7 @@ be arbitrarily hot, are aggregated to it first (``sources.logs``).
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import types as T
 
 KEYS = ["group_id", "series_id"]
@@ -50,6 +50,14 @@ CALENDAR_FEATURES = [
 DOW_FEATURES = ["dow_sin", "dow_cos"]
 
 
+def check_series(df: DataFrame) -> DataFrame:
+    """Refuse a table whose ``ds`` is finer than a day: its series have no size bound."""
+    kind = df.schema["ds"].dataType
+    if not isinstance(kind, T.DateType):
+        raise ValueError(f"ds must be a date, not {kind.simpleString()}: bucket it first (sources.logs)")
+    return df
+
+
 def by_series(*extra: str):
     """Window over one series (plus ``extra`` columns), without an order."""
     return Window.partitionBy(*KEYS, *extra)

@@ -13,11 +13,16 @@ def series_from_log(
 
     This is the step that makes (group, series, ds) unique. It combines on the
     map side, so a series that holds a third of the log arrives at the shuffle as
-    one row per bucket and task.
+    one row per bucket and task. Rows without a key or time belong to no series.
+
+    They are left out here, in so many words: otherwise the optimizer infers the
+    filter from later joins, on one side only, and a plan that uses the table
+    twice cannot share its shuffle.
     """
     ds = F.to_date(ts) if bucket == "day" else F.date_trunc(bucket, ts).cast("date")
     total = F.count("*") if value is None else F.sum(value)
     return (
-        log.groupBy(group.cast("string").alias("group_id"), series.cast("string").alias("series_id"), ds.alias("ds"))
+        log.where(group.isNotNull() & series.isNotNull() & F.col(ts).isNotNull())
+        .groupBy(group.cast("string").alias("group_id"), series.cast("string").alias("series_id"), ds.alias("ds"))
         .agg(total.cast("double").alias("y"))
     )

@@ -26,6 +26,13 @@ _NATION = """nation_weekly AS (
   JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2, 3)"""
 
 
+_SUPPLIER = """supplier_weekly AS (
+  SELECT CAST(s_nationkey AS VARCHAR) AS group_id, CAST(s_suppkey AS VARCHAR) AS series_id,
+         CAST(date_trunc('week', l_shipdate) AS DATE) AS ds,
+         CAST(sum(CAST(round(l_extendedprice) AS BIGINT)) AS DOUBLE) AS y
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2, 3)"""
+
+
 def _grid(source: str, name: str = "grid") -> str:
     return f"""{name} AS (
   SELECT d.group_id, s.series_id, d.ds, o.y
@@ -275,6 +282,12 @@ oracle(
     """SELECT group_id, series_id, ds, round((y - avg(y) OVER w) / stddev_pop(y) OVER w, 6) AS y
        FROM weekly WINDOW w AS (PARTITION BY group_id, series_id)""",
 )
+oracle(
+    "apply_scaler",
+    f"{_DAILY}, {_WEEKLY}",
+    """, ranges AS (SELECT group_id, series_id, min(y) AS lo, max(y) - min(y) AS span FROM weekly GROUP BY 1, 2)
+       SELECT group_id, series_id, ds, round((y - lo) / span, 9) AS y FROM daily JOIN ranges USING (group_id, series_id)""",
+)
 oracle("inverse_scale", _DAILY, "SELECT group_id, series_id, ds, round(y, 2) AS y FROM daily")
 _CALENDAR = """CAST(year(ds) AS INTEGER) AS year, CAST(month(ds) AS INTEGER) AS month, CAST(day(ds) AS INTEGER) AS day,
        CAST(isodow(ds) - 1 AS INTEGER) AS day_of_week, CAST(weekofyear(ds) AS INTEGER) AS week_of_year"""
@@ -429,6 +442,31 @@ oracle(
 )
 
 
+_SUPPLIED = ", ".join([_SUPPLIER, _grid("supplier_weekly")])
+oracle(
+    "preprocess_suppliers",
+    ", ".join([_SUPPLIED, _filled(), _SMOOTH, _SCALED]),
+    "SELECT group_id, series_id, ds, round(y, 6) AS y, round(y_original, 6) AS y_original FROM scaled",
+)
+oracle(
+    "split_suppliers",
+    f"{_SUPPLIED}, {_SPLIT.format(source='grid')}",
+    "SELECT group_id, series_id, split, count(*) AS n FROM split GROUP BY 1, 2, 3",
+)
+oracle(
+    "fit_additive_suppliers",
+    _SUPPLIER,
+    """SELECT group_id, series_id, min(ds) AS t0, max(ds) AS last_ds, count(*) AS n_obs, max(abs(y)) AS y_scale
+       FROM supplier_weekly GROUP BY 1, 2""",
+)
+oracle(
+    "forecast_suppliers",
+    _SUPPLIER,
+    """SELECT group_id, series_id, max(ds) + CAST(7 * s AS INTEGER) AS ds, true AS forecast
+       FROM supplier_weekly, range(1, 13) t(s) GROUP BY group_id, series_id, s""",
+)
+
+
 def _freq(source: str) -> str:
     return f"""gaps AS (SELECT group_id, series_id, ds - lag(ds) OVER (PARTITION BY group_id, series_id ORDER BY ds)
          AS gap FROM {source}),
@@ -481,6 +519,7 @@ def _corr(source: str, digits: int, condition: str) -> str:
        FROM {source} l JOIN {source} r ON l.group_id = r.group_id AND l.ds = r.ds {condition} GROUP BY 1, 2, 3"""
 
 
+oracle("correlation_suppliers", _SUPPLIER, _corr("supplier_weekly", 6, ""))
 oracle("correlation_matrix", _DAILY, _corr("daily", 6, ""))
 oracle("correlation_lower", _NATION, _corr("nation_weekly", 2, "AND l.series_id > r.series_id"))
 

@@ -59,6 +59,10 @@ def filled(spark, d):
     return cleaning.fill_time(grid(spark, d))
 
 
+def supplier_grid(spark, d):
+    return merging.complete_grid(views.supplier_series(spark, d))
+
+
 def weekly_filled(spark, d):
     return cleaning.fill_time(merging.complete_grid(weekly(spark, d)))
 
@@ -285,14 +289,18 @@ def fit_scaler_minmax(spark, d):
 
 @query
 def scale_minmax(spark, d):
-    series = daily(spark, d)
-    return rounded(scaling.apply_scaler(series, scaling.fit_scaler(series)), 9, "y")
+    return rounded(scaling.scale_series(daily(spark, d)), 9, "y")
 
 
 @query
 def scale_standard(spark, d):
-    series = weekly(spark, d)
-    return rounded(scaling.apply_scaler(series, scaling.fit_scaler(series, "standard")), 6, "y")
+    return rounded(scaling.scale_series(weekly(spark, d), "standard"), 6, "y")
+
+
+@query
+def apply_scaler(spark, d):
+    """Daily values in the scale of the weekly ones."""
+    return rounded(scaling.apply_scaler(daily(spark, d), scaling.fit_scaler(weekly(spark, d))), 9, "y")
 
 
 @query
@@ -453,7 +461,7 @@ def component_importance(spark, d):
 
 
 def _windows(spark, d):
-    split_df = split_rows(spark, d)
+    split_df = stage_table(split_rows(spark, d), "split")
     return split_df, windows.split_sequences(split_df)
 
 
@@ -588,9 +596,39 @@ def run_all_nations(spark, d):
     return done["forecasts"].select(*KEYS, "model", "ds", F.col("yhat").isNotNull().alias("forecast"))
 
 
+@query
+def preprocess_suppliers(spark, d):
+    rows = preprocess(supplier_grid(spark, d)).data
+    return rounded(rows.select(*KEYS, "ds", "y", "y_original"), 6, "y", "y_original")
+
+
+@query
+def split_suppliers(spark, d):
+    return splitting.temporal_split(supplier_grid(spark, d)).groupBy(*KEYS, "split").agg(F.count("*").alias("n"))
+
+
+@query
+def fit_additive_suppliers(spark, d):
+    rows = additive.fit_additive(views.supplier_series(spark, d))
+    return rows.select(*KEYS, "t0", "last_ds", "n_obs", "y_scale")
+
+
+@query
+def forecast_suppliers(spark, d):
+    models = stage_table(additive.fit_additive(views.supplier_series(spark, d)), "additive")
+    ahead = additive.predict_horizon(models, 12, "W")
+    return ahead.select(*KEYS, "ds", F.col("yhat").isNotNull().alias("forecast"))
+
+
 # Reports.
 
 
+@query
+def correlation_suppliers(spark, d):
+    """Supplier revenue within a nation, over the weeks both sold in."""
+    return correlation.correlation_matrix(views.supplier_series(spark, d), 6)
+
+
 @query
 def correlation_matrix(spark, d):
     return correlation.correlation_matrix(daily(spark, d), 6)

@@ -53,6 +53,20 @@ def nation_series(spark: SparkSession, sf_dir: str, bucket: str = "week") -> Dat
     return series_from_log(sold, group, F.col("n_name"), "o_orderdate", F.col("amount"), bucket)
 
 
+def supplier_series(spark: SparkSession, sf_dir: str, bucket: str = "week") -> DataFrame:
+    """Shipped revenue by supplier; the suppliers of a nation are a group.
+
+    Lines are summed per supplier and week before they meet the suppliers, which
+    shrinks them to the size of the result.
+    """
+    lines = table(spark, sf_dir, "lineitem")
+    by_key = series_from_log(lines, F.lit(""), F.col("l_suppkey"), "l_shipdate", whole("l_extendedprice"), bucket)
+    suppliers = table(spark, sf_dir, "supplier").select(
+        F.col("s_nationkey").cast("string").alias("group_id"), F.col("s_suppkey").cast("string").alias("series_id")
+    )
+    return by_key.drop("group_id").join(suppliers, "series_id").select(*KEYS, "ds", "y")
+
+
 def lagged_forecasts(series: DataFrame) -> DataFrame:
     """Two plain forecasts of each day, yesterday's and last week's value, to score."""
     row = in_time()
