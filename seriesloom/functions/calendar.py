@@ -20,12 +20,12 @@ def parse_timeframe(timeframe: str, today: dt.date | None = None) -> tuple[str,
     """
     tokens = timeframe.split(" ")
     if len(tokens) != 2:
-        raise ValueError(f"Invalid timeframe format: {timeframe}")
+        raise ValueError(f"A timeframe has two parts: {timeframe!r}")
     if tokens[0].lower() != "today":
         return tokens[0], tokens[1]
     span = re.fullmatch(r"([+-]?\d+)-([ymd])", tokens[1])
     if span is None:
-        raise ValueError(f"Invalid timeframe unit: {tokens[1]}")
+        raise ValueError(f"Not a number of years, months or days: {tokens[1]!r}")
     end = today or dt.datetime.now(dt.timezone.utc).date()
     start = end - dt.timedelta(days=int(span[1]) * DAYS_PER_UNIT[span[2]])
     return start.isoformat(), end.isoformat()

@@ -118,7 +118,7 @@ def fit_map(days: np.ndarray, mean: np.ndarray, weight: np.ndarray, within: floa
     those around it, so that repeated dates count as separate observations.
     """
     if len(days) < 2:
-        raise ValueError("Dataframe has less than 2 non-NaN rows.")
+        raise ValueError("A series needs two dates with a value")
     n = float(weight.sum())
     t0, t_days = int(days[0]), float(days[-1] - days[0])
     t = (days - t0) / t_days

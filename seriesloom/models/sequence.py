@@ -18,7 +18,7 @@ from pyspark.sql import Window
 from ..config import ModelConfig
 from ..functions.arrays import dot, literal_array
 from ..functions.calendar import calendar_columns, cycle_columns
-from ..operators.metrics import KERAS_EPSILON
+from ..operators.metrics import MAPE_FLOOR
 from ..operators.windows import with_step
 from ..schema import CALENDAR_FEATURES, KEYS
 
@@ -93,7 +93,7 @@ def fit_sequence(
 def sequence_errors(split_df: DataFrame, sequences: DataFrame) -> DataFrame:
     """Series without a single training window."""
     trained = sequences.where(F.col("split") == "train").select(*KEYS).distinct()
-    message = "Training data is empty after sequence creation"
+    message = "Too short for a training window"
     return (
         split_df.select(*KEYS)
         .distinct()
@@ -119,7 +119,7 @@ def loss_metrics(scored: DataFrame) -> DataFrame:
     test_mape divides by at least a small constant instead of leaving zeros out.
     """
     error = F.col("y") - F.col("yhat")
-    floor = F.greatest(F.abs("y"), F.lit(KERAS_EPSILON))
+    floor = F.greatest(F.abs("y"), F.lit(MAPE_FLOOR))
     return scored.groupBy(*KEYS).agg(
         F.avg(error * error).alias("test_loss"),
         F.avg(F.abs(error)).alias("test_mae"),

@@ -31,7 +31,7 @@ def list_models() -> list[str]:
 
 def get_model(name: str):
     if name not in _TYPES:
-        raise ValueError(f"Unknown model type: {name}. Available: {list_models()}")
+        raise ValueError(f"No model type {name!r}; there are {list_models()}")
     return _TYPES[name]
 
 
@@ -104,14 +104,7 @@ def load_sequence(spark: SparkSession, path: str) -> sequence.SequenceModel:
 
 
 def model_summary(metadata: dict, metrics: dict | None = None) -> str:
-    """A few lines about a saved model and its latest metrics."""
-    lines = [
-        f"Type: {metadata.get('model_type')}",
-        f"Trained: {metadata.get('is_trained', False)}",
-        f"Target: {metadata.get('target_name')}",
-        f"Features: {metadata.get('feature_names')}",
-    ]
-    numeric = {k: v for k, v in (metrics or {}).items() if isinstance(v, (int, float))}
-    if numeric:
-        lines += ["", "Latest metrics:", *[f"  {k}: {v:.4f}" for k, v in numeric.items()]]
-    return "\n".join(lines)
+    """What a saved model is, and its latest numeric metrics, one fact a line."""
+    facts = {k: metadata.get(k) for k in ("model_type", "is_trained", "target_name", "feature_names", "saved_at")}
+    facts.update({k: f"{v:.4f}" for k, v in (metrics or {}).items() if isinstance(v, (int, float))})
+    return "\n".join(f"{name} = {value}" for name, value in facts.items())

@@ -24,10 +24,11 @@ def interest_over_time(
     in name order, five to a request.
     """
     found = [F.col(group).cast("string").alias("group_id")] if group else []
+    day = F.to_date(ts) if bucket == "day" else F.trunc(F.to_date(ts), bucket)
     complete = F.col(key).isNotNull() & F.col(ts).isNotNull()
     counts = (
         log.where(complete & F.col(group).isNotNull() if group else complete)
-        .select(*found, F.col(key).cast("string").alias("series_id"), F.date_trunc(bucket, ts).cast("date").alias("ds"))
+        .select(*found, F.col(key).cast("string").alias("series_id"), day.alias("ds"))
         .groupBy(*[c for c in ("group_id",) if group], "series_id", "ds")
         .agg(F.count("*").alias("n"))
     )

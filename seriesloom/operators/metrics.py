@@ -10,7 +10,7 @@ from ..schema import KEYS
 
 METRICS = ["mae", "mse", "rmse", "mape", "r2"]
 HIGHER_IS_BETTER = ("r2", "accuracy")  # fixed value: every other metric is a loss
-KERAS_EPSILON = 1e-7  # fixed value: floor of the divisor in test_mape
+MAPE_FLOOR = 1e-7  # fixed value: least divisor in test_mape
 
 
 def metric_columns(y: str = "y", yhat: str = "yhat") -> dict[str, Column]:

@@ -30,7 +30,7 @@ def make_sequences(
     none. ``within`` names columns a window must not cross.
     """
     if target not in df.columns:
-        raise ValueError(f"Target column '{target}' not found in data")
+        raise ValueError(f"No column {target!r} to predict")
     inputs = features or [target, *[c for c in CALENDAR_FEATURES if c in df.columns]]
     past = F.collect_list(_as_floats(inputs)).over(in_time(*within).rowsBetween(-length, -1))
     if steps == 1:

@@ -24,6 +24,11 @@ from .preprocess import preprocess
 log = logging.getLogger(__name__)
 
 ALL_TYPES = (sequence.MODEL_NAME, additive.MODEL_NAME)
+METRICS_SCHEMA = "group_id string, series_id string, model string, metric string, value double"
+FORECASTS_SCHEMA = (
+    "group_id string, series_id string, model string, ds date, yhat double, yhat_lower double, yhat_upper double"
+)
+ERRORS_SCHEMA = "group_id string, series_id string, model string, stage string, error string"
 
 
 @dataclass
@@ -96,25 +101,51 @@ def score_test(trained: Trained, split_df: DataFrame, config: ModelConfig = Mode
     return scored
 
 
-def evaluate(trained: Trained, split_df: DataFrame, config: ModelConfig = ModelConfig()) -> DataFrame:
+def _model_metrics(trained: Trained, model: str, scored: DataFrame) -> DataFrame:
+    """metrics rows of one model type: the common five, and its own."""
+    common = regression_metrics(scored, KEYS)
+    if model == additive.MODEL_NAME:
+        own = additive.usable(trained.additive).select(*KEYS, "changepoint_prior_scale")
+        names = [*METRICS, "changepoint_prior_scale"]
+    else:
+        own = sequence.loss_metrics(scored)
+        names = [*METRICS, "test_loss", "test_mae", "test_mape"]
+    return to_long_metrics(common.join(own, KEYS).withColumn("model", F.lit(model)), names)
+
+
+def evaluate(
+    trained: Trained, split_df: DataFrame, config: ModelConfig = ModelConfig(), scalers: DataFrame | None = None
+) -> DataFrame:
     """metrics(group_id, series_id, model, metric, value) on the test rows.
 
     Next to the common five a type adds its own: the additive model its prior
-    scale, the sequence model its test losses. A series whose model failed has no
-    rows here and one in ``errors``.
+    scale, the sequence model its test losses. Values are in the units of
+    ``split_df``, or with ``scalers`` in original ones. A series whose model
+    failed has no rows here and one in ``errors``.
     """
     parts = []
     for model, scored in score_test(trained, split_df, config).items():
-        common = regression_metrics(scored, KEYS)
-        if model == additive.MODEL_NAME:
-            own = additive.usable(trained.additive).select(*KEYS, "changepoint_prior_scale")
-            names = [*METRICS, "changepoint_prior_scale"]
-        else:
-            own = sequence.loss_metrics(scored)
-            names = [*METRICS, "test_loss", "test_mae", "test_mape"]
-        wide = common.join(own, KEYS).withColumn("model", F.lit(model))
-        parts.append(to_long_metrics(wide, names))
-    return _union(parts, split_df, "group_id string, series_id string, model string, metric string, value double")
+        if scalers is not None:
+            scored = inverse_scale(scored, scalers, columns=["y"], scaler_column={"yhat": "y"})
+        parts.append(_model_metrics(trained, model, scored))
+    return _union(parts, split_df, METRICS_SCHEMA)
+
+
+def _one_by_one(trained: Trained, like: DataFrame, stage: str, build) -> list[DataFrame]:
+    """Run ``build`` for each model type by itself; one that fails becomes an error row."""
+    done = []
+    for name in trained.names:
+        single = replace(
+            trained,
+            additive=trained.additive if name == additive.MODEL_NAME else None,
+            sequence=trained.sequence if name == sequence.MODEL_NAME else None,
+        )
+        try:
+            done.append(stage_table(build(single), f"{stage}-{name}"))
+        except Exception as problem:  # one type must not stop the others
+            log.error("Failed to %s with %s: %s", stage, name, problem)
+            trained.errors.append(_type_error(like, name, stage, problem))
+    return done
 
 
 def forecast(
@@ -154,8 +185,7 @@ def forecast(
                 F.lit(sequence.MODEL_NAME).alias("model"),
             )
         )
-    schema = "group_id string, series_id string, ds date, yhat double, yhat_lower double, yhat_upper double, model string"
-    out = _union(parts, processed, schema)
+    out = _union(parts, processed, FORECASTS_SCHEMA)
     if scalers is not None:
         out = inverse_scale(out, scalers, columns=[], scaler_column={c: "y" for c in ("yhat", "yhat_lower", "yhat_upper")})
     return out.select(*KEYS, "model", "ds", "yhat", "yhat_lower", "yhat_upper")
@@ -178,21 +208,40 @@ def run(
     types=ALL_TYPES,
     freq: str | None = None,
     output: str | None = None,
+    original_units: bool = False,
 ) -> dict:
     """Preprocess, train, score, forecast and report; all series unless one is named.
 
     The processed rows are read by every later step, so they are written once to
-    the shared folder. With ``output`` predictions and summary are written there.
+    the shared folder. A model type that fails at any step is reported in
+    ``errors`` and the others go on. With ``output`` predictions and summary are
+    written there.
     """
     prepared = preprocess(raw, config.data, target, select=True, model_config=config.model)
     rows = stage_table(prepared.rows, "processed")
     processed = replace(prepared, rows=rows)
+    scalers = processed.scalers
     split_df = prepare(processed.data, config.model)
     trained = train_models(split_df, types, config.model, periods)
-    metrics = stage_table(evaluate(trained, split_df, config.model), "metrics")
-    scalers = processed.scalers
-    forecasts = stage_table(
-        forecast(trained, processed.data, periods, config.model, freq, scalers), "forecasts"
+    metrics = _union(
+        _one_by_one(
+            trained,
+            raw,
+            "evaluate",
+            lambda single: evaluate(single, split_df, config.model, scalers if original_units else None),
+        ),
+        raw,
+        METRICS_SCHEMA,
+    )
+    forecasts = _union(
+        _one_by_one(
+            trained,
+            raw,
+            "forecast",
+            lambda single: forecast(single, processed.data, periods, config.model, freq, scalers),
+        ),
+        raw,
+        FORECASTS_SCHEMA,
     )
     chosen = raw if target is None else raw.join(rows.select(*KEYS).distinct(), KEYS, "left_semi")
     summary = results_summary(chosen, metrics, forecasts)
@@ -204,9 +253,7 @@ def run(
         "split": split_df,
         "models": trained,
         "metrics": metrics,
-        "errors": _union(
-            trained.errors, raw, "group_id string, series_id string, model string, stage string, error string"
-        ),
+        "errors": _union(trained.errors, raw, ERRORS_SCHEMA),
         "forecasts": forecasts,
         "summary": summary,
         "report": report_tables(chosen, forecasts, metrics),

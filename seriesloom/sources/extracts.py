@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import logging
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +13,8 @@ from pyspark.sql import types as T
 from ..operators.cleaning import PARTIAL_FLAG
 from ..schema import KEYS, SERIES_SCHEMA
 
+log = logging.getLogger(__name__)
+
 
 def wide_schema(keywords: list[str], index: str = "date", partial: bool = True, kind: str = "double") -> T.StructType:
     """Schema of an extract: the date, a column per keyword, the marker column."""
@@ -54,10 +58,22 @@ def to_wide(long: DataFrame, keywords: list[str], keys=("ds",)) -> DataFrame:
     return long.groupBy(*keys).pivot("series_id", list(keywords)).agg(F.first("y"))
 
 
+def read_periods(spark: SparkSession, paths: list[str], fmt: str = "csv", schema: T.StructType | None = None) -> list:
+    """Extracts of successive periods for ``merge_periods``; one that never landed is skipped."""
+    found = []
+    for path in paths:
+        try:
+            found.append(read_trends(spark, path, fmt, schema))
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            log.warning("No extract at %s", path)
+    return found
+
+
 def extract_metadata(df: DataFrame, timeframe: str, geo: str, collected_at: dt.datetime | None = None) -> DataFrame:
     """The one-row description of an extract, of what was asked for."""
     facts = df.agg(
-        F.array_sort(F.collect_set("series_id")).alias("keywords"),
         F.countDistinct("ds").alias("n_dates"),
         F.countDistinct("series_id").alias("n_keywords"),
         F.min("ds").alias("first_date"),
@@ -71,11 +87,17 @@ def extract_metadata(df: DataFrame, timeframe: str, geo: str, collected_at: dt.d
     )
 
 
+def extract_keywords(df: DataFrame) -> DataFrame:
+    """The keywords of an extract, as a table: there may be more than fit in a row."""
+    return df.select(*KEYS).distinct()
+
+
 def write_raw(df: DataFrame, path: str, timeframe: str, geo: str, fmt: str = "parquet") -> None:
-    """Write an extract by region, with its description next to it."""
+    """Write an extract by region, with its description and keywords next to it."""
     tagged = df.withColumn("geo", F.lit(geo or "Worldwide"))
     writer = tagged.write.mode("overwrite").partitionBy("geo").format(fmt)
     if fmt == "csv":
         writer = writer.option("header", True)
     writer.save(f"{path}/data")
+    extract_keywords(df).write.mode("overwrite").json(f"{path}/keywords")
     extract_metadata(df, timeframe, geo).write.mode("overwrite").json(f"{path}/metadata")

@@ -19,10 +19,14 @@ def series_from_log(
     filter from later joins, on one side only, and a plan that uses the table
     twice cannot share its shuffle.
     """
-    ds = F.to_date(ts) if bucket == "day" else F.date_trunc(bucket, ts).cast("date")
+    ds = F.to_date(ts) if bucket == "day" else F.trunc(F.to_date(ts), bucket)
     total = F.count("*") if value is None else F.sum(value)
-    return (
+    summed = (
         log.where(group.isNotNull() & series.isNotNull() & F.col(ts).isNotNull())
-        .groupBy(group.cast("string").alias("group_id"), series.cast("string").alias("series_id"), ds.alias("ds"))
-        .agg(total.cast("double").alias("y"))
+        .groupBy(group.alias("group_id"), series.alias("series_id"), ds.alias("ds"))
+        .agg(total.alias("y"))
+    )
+    # Keys turn into text once per result row, not once per log row.
+    return summed.select(
+        F.col("group_id").cast("string"), F.col("series_id").cast("string"), "ds", F.col("y").cast("double")
     )

@@ -6,7 +6,7 @@ ORACLES = {}
 
 _DAILY = """daily AS (
   SELECT o_orderstatus AS group_id, o_orderpriority AS series_id, CAST(o_orderdate AS DATE) AS ds,
-         CAST(sum(CAST(round(o_totalprice) AS BIGINT)) AS DOUBLE) AS y
+         CAST(sum(CAST(floor(o_totalprice + 0.5) AS BIGINT)) AS DOUBLE) AS y
   FROM orders GROUP BY 1, 2, 3)"""
 
 _WEEKLY = _DAILY.replace("daily AS", "weekly AS").replace(
@@ -21,7 +21,7 @@ _EVENTS = """events_daily AS (
 _NATION = """nation_weekly AS (
   SELECT CAST(n_nationkey // 5 AS VARCHAR) AS group_id, n_name AS series_id,
          CAST(date_trunc('week', o_orderdate) AS DATE) AS ds,
-         CAST(sum(CAST(round(l_extendedprice) AS BIGINT)) AS DOUBLE) AS y
+         CAST(sum(CAST(floor(l_extendedprice + 0.5) AS BIGINT)) AS DOUBLE) AS y
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
   JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2, 3)"""
 
@@ -29,7 +29,7 @@ _NATION = """nation_weekly AS (
 _SUPPLIER = """supplier_weekly AS (
   SELECT CAST(s_nationkey AS VARCHAR) AS group_id, CAST(s_suppkey AS VARCHAR) AS series_id,
          CAST(date_trunc('week', l_shipdate) AS DATE) AS ds,
-         CAST(sum(CAST(round(l_extendedprice) AS BIGINT)) AS DOUBLE) AS y
+         CAST(sum(CAST(floor(l_extendedprice + 0.5) AS BIGINT)) AS DOUBLE) AS y
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2, 3)"""
 
 
@@ -176,10 +176,10 @@ oracle("write_raw", _DAILY, "SELECT group_id, series_id, ds, y, 'Worldwide' AS g
 oracle(
     "extract_metadata",
     _DAILY,
-    """SELECT string_agg(DISTINCT series_id, ',' ORDER BY series_id) AS keywords, count(DISTINCT ds) AS n_dates,
-       count(DISTINCT series_id) AS n_keywords, min(ds) AS first_date, max(ds) AS last_date,
+    """SELECT count(DISTINCT ds) AS n_dates, count(DISTINCT series_id) AS n_keywords, min(ds) AS first_date, max(ds) AS last_date,
        'today 5-y' AS timeframe, 'Worldwide' AS geo FROM daily""",
 )
+oracle("extract_keywords", _DAILY, "SELECT DISTINCT group_id, series_id FROM daily")
 oracle(
     "write_processed",
     _PREPARED,

@@ -182,15 +182,12 @@ def write_raw(spark, d):
 @query
 def extract_metadata(spark, d):
     about = extracts.extract_metadata(daily(spark, d), "today 5-y", "")
-    return about.select(
-        F.array_join("keywords", ",").alias("keywords"),
-        "n_dates",
-        "n_keywords",
-        "first_date",
-        "last_date",
-        "timeframe",
-        "geo",
-    )
+    return about.drop("collected_at")
+
+
+@query
+def extract_keywords(spark, d):
+    return extracts.extract_keywords(daily(spark, d))
 
 
 @query

@@ -18,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def whole(column: str) -> Column:
-    return F.round(F.col(column)).cast("bigint")
+    return F.floor(F.col(column) + 0.5)
 
 
 def orders_series(spark: SparkSession, sf_dir: str, bucket: str = "day") -> DataFrame:

@@ -72,6 +72,19 @@ def test_first_period_wins_even_with_a_null(spark):
         merging.merge_periods([])
 
 
+def test_periods_that_never_landed_are_skipped(spark, year_long, tmp_path):
+    year_long.write.parquet(str(tmp_path / "p1"))
+    found = extracts.read_periods(spark, [str(tmp_path / "p0"), str(tmp_path / "p1")], "parquet")
+    assert len(found) == 1 and merging.merge_periods(found).count() == 732
+
+
+def test_finer_than_a_day_is_refused(spark):
+    df = spark.sql("select 'g' group_id, 's' series_id, timestamp_ntz'2020-01-01 10:00:00' ds, 1d y")
+    for use in (merging.complete_grid, cleaning.fill_time):
+        with pytest.raises(ValueError, match="date"):
+            use(df)
+
+
 def test_batches_meet_on_the_date(spark):
     first = pd.DataFrame({"a": [1.0, 2.0]}, index=pd.date_range("2020-01-01", periods=2))
     second = pd.DataFrame({"b": [3.0, 4.0]}, index=pd.date_range("2020-01-02", periods=2))
@@ -99,6 +112,8 @@ def test_raw_and_processed_round_trip(spark, year_long, tmp_path):
     about = spark.read.json(str(tmp_path / "raw/metadata")).first()
     assert (about.geo, about.timeframe, about.n_dates, about.n_keywords) == ("KR", "today 12-m", 366, 2)
 
+    assert spark.read.json(str(tmp_path / "raw/keywords")).count() == 2
+
     done = preprocess(year_long)
     processed.write_processed(done.data, done.scalers, str(tmp_path / "p"))
     data, scalers = processed.read_processed(spark, str(tmp_path / "p"))

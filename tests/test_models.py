@@ -233,7 +233,7 @@ def test_saved_models_come_back(spark, wave_split, fitted, tmp_path):
     store.save_additive(models, str(tmp_path / "a"))
     assert store.load_additive(spark, str(tmp_path / "a")).collect() == models.collect()
     about = store.read_metadata(spark, str(tmp_path / "a"))
-    assert about["model_type"] == "additive" and "Trained: True" in store.model_summary(about, {"mae": 1.0})
+    assert about["model_type"] == "additive" and "is_trained = True" in store.model_summary(about, {"mae": 1.0})
     assert store.read_metadata(spark, str(tmp_path / "nowhere")) == {}
 
 
@@ -246,7 +246,7 @@ def test_registry():
     assert store.set_params(ModelConfig(), interval_width=0.8).interval_width == 0.8
 
 
-def test_run_everything(spark, three_waves, tmp_path):
+def test_run_everything(spark, three_waves, tmp_path, monkeypatch):
     raw = long_frame(spark, three_waves[["keyword1", "keyword2"]])
     done = forecasting.run(raw, periods=5, types=["additive", "sequence", "unheard of"], output=str(tmp_path))
     assert done["models"].names == ["additive", "sequence"] and done["errors"].isEmpty()
@@ -259,6 +259,21 @@ def test_run_everything(spark, three_waves, tmp_path):
     assert spark.read.text(str(tmp_path / "summary")).count() == 2
     assert done["report"]["correlation"].count() == 4 and done["report"]["rmse"].count() == 4
 
+    def broken(*_):
+        raise RuntimeError("lost")
+
+    scaled = done["metrics"].where("metric = 'mae' and series_id = 'keyword1'").collect()
+    real = forecasting.evaluate(done["models"], done["split"], scalers=done["processed"].scalers)
+    for row in scaled:
+        other = real.where((F.col("metric") == "mae") & (F.col("model") == row["model"])).where("series_id = 'keyword1'")
+        span = done["processed"].scalers.where("series_id = 'keyword1' and column = 'y'").first()["scale"]
+        assert np.isclose(other.first()["value"], row["value"] * span)
+
+    monkeypatch.setattr(forecasting.sequence, "forecast_recursive", broken)
+    partly = forecasting.run(raw, periods=2, types=["sequence", "additive"])
+    assert {r["model"] for r in partly["forecasts"].collect()} == {"additive"}
+    assert [(r["model"], r["stage"], r["error"]) for r in partly["errors"].collect()] == [("sequence", "forecast", "lost")]
+
     single = forecasting.run(raw, periods=3, target="keyword2", types=["additive"])
     assert {r["series_id"] for r in single["forecasts"].collect()} == {"keyword2"}
 
