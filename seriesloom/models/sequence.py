@@ -55,8 +55,7 @@ def vectors(sequences: DataFrame, size: int) -> DataFrame:
     The size is stated as column metadata. Otherwise a fit looks it up in the
     first row, a job that shuffles the input once more.
     """
-    flat = array_to_vector(F.flatten("x").cast("array<double>"))
-    sized = flat.alias("features", metadata={"ml_attr": {"num_attrs": size}})
+    sized = array_to_vector(F.col("x").cast("array<double>")).alias("features", metadata={"ml_attr": {"num_attrs": size}})
     return sequences.select("*", sized, F.col("yt").cast("double").alias("label"))
 
 
@@ -108,7 +107,7 @@ def predict_sequence_batch(model: SequenceModel | None, sequences: DataFrame) ->
         raise ValueError("Model not trained")
     kept = [c for c in ("split", "length") if c in sequences.columns]
     if model.direct and "step" not in sequences.columns:
-        sequences = sequences.withColumn("x", with_step("x", F.lit(1), len(model.features)))
+        sequences = sequences.withColumn("x", with_step(F.col("x"), F.lit(1), len(model.features)))
     scored = model.model.transform(vectors(sequences, model.size))
     return scored.select(*KEYS, "ds", *kept, F.col("label").alias("y"), F.col("prediction").alias("yhat"))
 
@@ -258,10 +257,11 @@ def forecast_direct(model: SequenceModel, df: DataFrame, future: DataFrame, leng
     This is how boosted trees forecast: no step waits for the one before it.
     """
     row = F.array(*[F.col(c).cast("float") for c in model.features])
-    blank = F.array(*[F.lit(0.0).cast("float") for _ in model.features])
+    width = len(model.features)
+    blank = F.array_repeat(F.lit(0.0).cast("float"), (F.lit(model.length) - F.col("length")) * width)
     windows = last_rows(df, model.length, {"row": row}, lengths).select(
-        *KEYS, F.concat(F.array_repeat(blank, F.lit(model.length) - F.col("length")), F.col("rows.row")).alias("x")
+        *KEYS, F.concat(blank, F.flatten("rows.row")).alias("x")
     )
     ready = windows.join(future, KEYS).withColumn("yt", F.lit(0.0))
-    ready = ready.withColumn("x", with_step("x", F.col("step"), len(model.features)))
+    ready = ready.withColumn("x", with_step(F.col("x"), F.col("step"), width))
     return model.model.transform(vectors(ready, model.size)).select(*KEYS, "ds", F.col("prediction").alias("yhat"))

@@ -1,17 +1,39 @@
-"""Lag windows: the supervised form of a series."""
+"""Lag windows: the supervised form of a series.
+
+A series is packed into one row of arrays in date order, and each window is a
+slice of them. A ``collect_list`` over a moving frame builds the same windows by
+re-adding every row of the frame for every row of the series, about thirty times
+the work. What is packed is bounded by the calendar, see ``schema``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import CALENDAR_FEATURES, KEYS, by_series, check_series, in_time
+from ..schema import CALENDAR_FEATURES, KEYS, check_series
 
 MAX_LENGTH = 30  # fixed value: longest lookback of the adaptive rule
 
 
-def _as_floats(features: list[str]) -> Column:
-    return F.array(*[F.col(c).cast("float") for c in features])
+def _inputs(df: DataFrame, features: list[str] | None, target: str = "y") -> list[str]:
+    return features or [target, *[c for c in CALENDAR_FEATURES if c in df.columns]]
+
+
+def _pack(df: DataFrame, inputs: list[str], target: str, by: tuple[str, ...], *aggregates: Column) -> DataFrame:
+    """One row per series with the arrays ``at`` (dates), ``v`` (target) and ``f`` (feature rows)."""
+    cell = F.struct(
+        F.col("ds").alias("at"),
+        F.col(target).cast("float").alias("v"),
+        F.array(*[F.col(c).cast("float") for c in inputs]).alias("f"),
+    )
+    packed = check_series(df).groupBy(*KEYS, *by).agg(F.sort_array(F.collect_list(cell)).alias("rows"), *aggregates)
+    return packed.select("*", "rows.at", "rows.v", "rows.f", F.size("rows").alias("n")).drop("rows")
+
+
+def _positions(first: Column, last: Column) -> Column:
+    """The whole numbers from first to last; none if they are the wrong way round."""
+    return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
 
 
 def make_sequences(
@@ -31,18 +53,19 @@ def make_sequences(
     """
     if target not in df.columns:
         raise ValueError(f"No column {target!r} to predict")
-    inputs = features or [target, *[c for c in CALENDAR_FEATURES if c in df.columns]]
-    past = F.collect_list(_as_floats(inputs)).over(in_time(*within).rowsBetween(-length, -1))
-    if steps == 1:
-        ahead = F.array(F.col(target).cast("float"))
-    else:
-        # Wrapped, because collect_list leaves nulls out.
-        ahead = F.flatten(
-            F.collect_list(F.array(F.col(target).cast("float"))).over(in_time(*within).rowsBetween(0, steps - 1))
-        )
-    rows = check_series(df).select(*KEYS, *within, "ds", past.alias("x"), ahead.alias("yt"))
-    full = rows.where((F.size("x") == length) & (F.size("yt") == steps))
-    return full.withColumn("yt", F.element_at("yt", 1)) if steps == 1 else full
+    packed = _pack(df, _inputs(df, features, target), target, within)
+    # The dates are listed before they are exploded: the explode itself then stays
+    # inside generated code, which passes the arrays on without copying them.
+    listed = packed.withColumn("positions", _positions(F.lit(length), F.col("n") - steps))
+    at = listed.withColumn("i", F.explode("positions"))
+    values = F.element_at("v", F.col("i") + 1) if steps == 1 else F.slice("v", F.col("i") + 1, F.lit(steps))
+    return at.select(
+        *KEYS,
+        *within,
+        F.element_at("at", F.col("i") + 1).alias("ds"),
+        F.slice("f", F.col("i") - length + 1, F.lit(length)).alias("x"),
+        values.alias("yt"),
+    )
 
 
 def adaptive_length(split_df: DataFrame, longest: int = MAX_LENGTH) -> DataFrame:
@@ -59,66 +82,79 @@ def split_sequences(
     features: list[str] | None = None,
     steps: tuple[int, ...] | None = None,
 ) -> DataFrame:
-    """Windows for the lag-window model, each inside one split, with adaptive length.
+    """Flat windows for the lag-window model, each inside one split, with adaptive length.
 
-    Every window is ``longest`` rows: a series with a shorter lookback is padded
-    with zero rows in front, so one model serves all series. ``length`` keeps the
-    lookback used. If the val rows of a series are too few for a window, the last
-    fifth of its training windows take their place.
+    ``x`` is array<float>: ``longest`` feature rows one after the other. A series
+    with a shorter lookback has zero rows in front, so one model serves all
+    series; ``length`` keeps the lookback used. If the val rows of a series are
+    too few for a window, the last fifth of its training windows take their
+    place. ``split`` must be contiguous, as ``temporal_split`` makes it.
 
     With ``steps`` a window comes once per step, with the value that many rows
-    ahead (in the same split) and the step as a last row of the window.
+    ahead (in the same split) and the step as a last feature row.
     """
-    inputs = features or ["y", *[c for c in CALENDAR_FEATURES if c in split_df.columns]]
-    count = F.count_if(F.col("split") == "train").over(by_series())
-    length = F.least(F.lit(longest), F.floor(count / 4)).cast("int")
-    sized = split_df.withColumn("length", length).withColumn(
-        "__val", F.count_if(F.col("split") == "val").over(by_series())
+    inputs = _inputs(split_df, features)
+    width = len(inputs)
+    packed = _pack(
+        split_df,
+        inputs,
+        "y",
+        (),
+        F.count_if(F.col("split") == "train").cast("int").alias("n_train"),
+        F.count_if(F.col("split") == "val").cast("int").alias("n_val"),
     )
-    past = F.collect_list(_as_floats(inputs)).over(in_time("split").rowsBetween(-longest, -1))
-    blank = F.array(*[F.lit(0.0).cast("float") for _ in inputs])
-    value = F.col("y").cast("float")
-    if steps is not None:
-        later = [F.struct(F.lit(s).alias("step"), F.lead(value, s - 1).over(in_time("split")).alias("v")) for s in steps]
-        value = F.filter(F.array(*later), lambda t: t["v"].isNotNull())
-    windows = (
-        sized.select(*KEYS, "ds", "split", "length", "__val", value.alias("yt"), past.alias("past"))
-        .where((F.col("length") > 0) & (F.size("past") >= F.col("length")))
+    length, val_from = F.col("length"), F.col("n_train")
+    test_from = F.col("n_train") + F.col("n_val")
+    listed = (
+        packed.withColumn("length", F.least(F.lit(longest), F.floor(F.col("n_train") / 4)).cast("int"))
+        .where(length > 0)
+        .withColumn("flat", F.flatten("f"))
         .withColumn(
-            "x",
+            "positions",
             F.concat(
-                F.array_repeat(blank, F.lit(longest) - F.col("length")),
-                F.slice("past", F.size("past") - F.col("length") + 1, F.col("length")),
+                _positions(length, val_from - 1),
+                _positions(val_from + length, test_from - 1),
+                _positions(test_from + length, F.col("n") - 1),
             ),
         )
-        .drop("past")
+        .select(*KEYS, "at", "v", "n", "n_train", "n_val", "length", "flat", "positions")
+    )
+    i = F.col("i")
+    split = F.when(i < val_from, "train").when(i < test_from, "val").otherwise("test")
+    window = F.concat(
+        F.array_repeat(F.lit(0.0).cast("float"), (F.lit(longest) - length) * width),
+        F.slice("flat", (i - length) * width + 1, length * width),
     )
-    windows = val_fallback(windows).drop("__val")
+    at = listed.withColumn("i", F.explode("positions"))
+    relabelled = F.when(_late_window(i, length), "val").otherwise(split)
     if steps is None:
-        return windows
-    each = windows.withColumn("t", F.explode("yt")).withColumn("step", F.col("t.step")).withColumn("yt", F.col("t.v"))
-    return each.drop("t").withColumn("x", with_step("x", F.col("step"), len(inputs)))
-
+        return at.select(
+            *KEYS,
+            F.element_at("at", i + 1).alias("ds"),
+            relabelled.alias("split"),
+            "length",
+            window.alias("x"),
+            F.element_at("v", i + 1).alias("yt"),
+        )
+    end = F.when(i < val_from, val_from).when(i < test_from, test_from).otherwise(F.col("n"))
+    each = at.withColumn("step", F.explode(F.array(*[F.lit(s) for s in steps]))).where(i + F.col("step") <= end)
+    return each.select(
+        *KEYS,
+        F.element_at("at", i + 1).alias("ds"),
+        relabelled.alias("split"),
+        "length",
+        with_step(window, F.col("step"), width).alias("x"),
+        F.element_at("v", i + F.col("step")).alias("yt"),
+        "step",
+    )
 
-def with_step(x: str, step: Column, width: int) -> Column:
-    """The window with the step ahead as one more row."""
-    return F.concat(x, F.array(F.array_repeat(step.cast("float"), width)))
 
+def _late_window(i: Column, length: Column) -> Column:
+    """Whether a training window serves for validation: the val split has no room for one."""
+    windows = F.col("n_train") - length
+    return (i < F.col("n_train")) & (F.col("n_val") <= length) & (i - length >= F.floor(windows * F.lit(0.8)))
 
-def val_fallback(windows: DataFrame) -> DataFrame:
-    """Relabel training windows where a series has no room for val windows.
 
-    Expects ``length`` (the lookback) and ``__val`` (rows of the val split).
-    Windows of a val split that is too short never come up, as they need more
-    than ``length`` rows.
-    """
-    at = F.row_number().over(in_time("split")) - 1
-    total = F.count("*").over(by_series("split"))
-    short = (F.col("split") == "train") & (F.col("__val") <= F.col("length"))
-    late = F.col("__at") >= F.floor(F.col("__n") * F.lit(0.8))
-    return (
-        windows.withColumn("__at", at)
-        .withColumn("__n", total)
-        .withColumn("split", F.when(short & late, "val").otherwise(F.col("split")))
-        .drop("__at", "__n")
-    )
+def with_step(x: Column, step: Column, width: int) -> Column:
+    """The flat window with the step ahead as one more feature row."""
+    return F.concat(x, F.array_repeat(step.cast("float"), width))

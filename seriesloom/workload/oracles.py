@@ -361,7 +361,7 @@ oracle(
         FROM sized c WHERE length > 0 AND pos >= length)
        SELECT group_id, series_id, ds, CASE WHEN split = 'train' AND n_val <= length
          AND nth >= floor(n_windows * 0.8::DOUBLE) THEN 'val' ELSE split END AS split,
-        CAST(length AS INTEGER) AS length, 30 AS x_rows, x_sum, y AS yt FROM windows""",
+        CAST(length AS INTEGER) AS length, 60 AS x_size, x_sum, y AS yt FROM windows""",
 )
 
 _RANK = "row_number() OVER (PARTITION BY group_id, series_id ORDER BY ds)"

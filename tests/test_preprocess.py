@@ -166,5 +166,5 @@ def test_short_series_is_padded(spark):
     wide = pd.DataFrame({"s": np.arange(1.0, 41.0)}, index=pd.date_range("2020-01-01", periods=40))
     rows = splitting.temporal_split(features.calendar_features(long_frame(spark, wide)))
     first = windows.split_sequences(rows, features=["y", "day"]).where("split = 'train'").orderBy("ds").first()
-    assert first["length"] == 7 and len(first["x"]) == 30
-    assert [r[0] for r in first["x"]] == [0.0] * 23 + [1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0] and first["yt"] == 8.0
+    assert first["length"] == 7 and len(first["x"]) == 60
+    assert first["x"][0::2] == [0.0] * 23 + [1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0] and first["yt"] == 8.0
