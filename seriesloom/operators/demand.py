@@ -135,5 +135,7 @@ def trending(
         .groupBy(F.col("geo"), F.col(query).alias("query"))
         .agg(F.count("*").alias("n"))
     )
-    best = Window.partitionBy("geo").orderBy(F.col("n").desc(), "query")
-    return counted.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    # Each task keeps its best k, and only those are ranked.
+    best = [F.col("n").desc(), F.col("query")]
+    top = counted.orderBy(*best).limit(k)
+    return top.withColumn("rank", F.row_number().over(Window.partitionBy("geo").orderBy(*best)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
+from dataclasses import replace
 
 
 from pyspark.sql import DataFrame, SparkSession
@@ -71,8 +72,14 @@ def prepared(spark, d):
     return preprocess(grid(spark, d), select=True)
 
 
-def split_rows(spark, d):
-    return splitting.temporal_split(prepared(spark, d).data)
+def staged(spark, d):
+    """Prepared rows, written once for the several jobs of a model."""
+    done = prepared(spark, d)
+    return replace(done, rows=stage_table(done.rows, "prepared"))
+
+
+def staged_split(spark, d):
+    return splitting.temporal_split(staged(spark, d).data)
 
 
 def orders_by_nation(spark, d):
@@ -398,15 +405,14 @@ def custom_seasonalities(spark, d):
     )
 
 
-def _fitted(spark, d, config=ModelConfig()):
-    train = split_rows(spark, d).where("split <> 'test'")
-    return stage_table(additive.fit_additive(train, config), "additive")
+def _fitted(split_df):
+    return stage_table(additive.fit_additive(split_df.where("split <> 'test'")), "additive")
 
 
 @query
 def predict_dates(spark, d):
-    test = split_rows(spark, d).where("split = 'test'")
-    return rounded(additive.predict_dates(_fitted(spark, d), test), 4, "yhat")
+    split_df = staged_split(spark, d)
+    return rounded(additive.predict_dates(_fitted(split_df), split_df.where("split = 'test'")), 4, "yhat")
 
 
 @query
@@ -444,21 +450,21 @@ def cv_metrics(spark, d):
 
 @query
 def components(spark, d):
-    rows = split_rows(spark, d)
-    return rounded(additive.components(_fitted(spark, d), rows), 4, "trend", "yearly", "weekly")
+    split_df = staged_split(spark, d)
+    return rounded(additive.components(_fitted(split_df), split_df), 4, "trend", "yearly", "weekly")
 
 
 @query
 def component_importance(spark, d):
-    rows = split_rows(spark, d).where("split <> 'test'")
-    shares = additive.component_importance(_fitted(spark, d), rows)
+    split_df = staged_split(spark, d)
+    shares = additive.component_importance(_fitted(split_df), split_df.where("split <> 'test'"))
     return shares.groupBy(*KEYS).agg(
         F.count("*").alias("n_components"), F.round(F.sum("importance"), 6).alias("total")
     )
 
 
 def _windows(spark, d):
-    split_df = stage_table(split_rows(spark, d), "split")
+    split_df = staged_split(spark, d)
     return split_df, windows.split_sequences(split_df)
 
 
@@ -517,7 +523,7 @@ def regression_metrics(spark, d):
 @query
 def evaluate(spark, d):
     """Additive model on the test rows, with the rows each metric rests on."""
-    split_df = split_rows(spark, d)
+    split_df = staged_split(spark, d)
     config = ModelConfig()
     trained = forecasting.train_models(split_df, ["additive"], config)
     return forecasting.evaluate(trained, split_df, config).select(
@@ -528,7 +534,7 @@ def evaluate(spark, d):
 @query
 def train_models(spark, d):
     """Types asked for, trained in turn; an unknown one is skipped."""
-    trained = forecasting.train_models(split_rows(spark, d), ["additive", "unheard-of", "sequence"])
+    trained = forecasting.train_models(staged_split(spark, d), ["additive", "unheard-of", "sequence"])
     models = trained.additive.groupBy("group_id").agg(F.count("*").alias("n_models"))
     return models.withColumn("types", F.lit(",".join(trained.names)))
 
@@ -556,9 +562,8 @@ def future_dates_monthly(spark, d):
 @query
 def forecast(spark, d):
     """Both models, in original units."""
-    split_df = split_rows(spark, d)
-    done = prepared(spark, d)
-    trained = forecasting.train_models(split_df, periods=7)
+    done = staged(spark, d)
+    trained = forecasting.train_models(splitting.temporal_split(done.data), periods=7)
     ahead = forecasting.forecast(trained, done.data, 7, scalers=done.scalers)
     return ahead.select(*KEYS, "model", "ds", F.col("yhat").isNotNull().alias("forecast"))
 
