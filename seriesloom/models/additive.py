@@ -21,6 +21,7 @@ from ..config import ModelConfig
 from ..functions import additive_terms as terms
 from ..functions.calendar import step_date
 from ..schema import KEYS, check_series
+from ..session import spread_series
 from . import map_fit
 
 MODEL_NAME = "additive"
@@ -103,7 +104,7 @@ def fit_additive(df: DataFrame, config: ModelConfig = ModelConfig()) -> DataFram
             out["error"] = str(problem)
         return pa.Table.from_pylist([out], schema=schema)
 
-    return _observations(df).groupBy(*KEYS).applyInArrow(fit, PARAMS_SCHEMA)
+    return spread_series(_observations(df)).groupBy(*KEYS).applyInArrow(fit, PARAMS_SCHEMA)
 
 
 def usable(models: DataFrame) -> DataFrame:
@@ -256,8 +257,8 @@ def cross_validate(
                 parts.append(part)
         return pd.concat(parts)[_CV_NAMES] if parts else pd.DataFrame(columns=_CV_NAMES)
 
-    history = _observations(df).groupBy(*KEYS)
-    return history.cogroup(cutoffs.groupBy(*KEYS)).applyInPandas(score, _CV_SCHEMA)
+    history = spread_series(_observations(df)).groupBy(*KEYS)
+    return history.cogroup(spread_series(cutoffs).groupBy(*KEYS)).applyInPandas(score, _CV_SCHEMA)
 
 
 def cv_metrics(scored: DataFrame) -> DataFrame:

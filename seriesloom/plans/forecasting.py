@@ -17,7 +17,7 @@ from ..operators.scaling import inverse_scale
 from ..operators.splitting import temporal_split
 from ..operators.windows import adaptive_length, split_sequences
 from ..schema import KEYS
-from ..session import stage_table
+from ..session import spread_series, stage_table
 from ..sources.results import results_summary, write_predictions, write_summary
 from .preprocess import preprocess
 
@@ -42,8 +42,8 @@ class Trained:
 
 
 def prepare(rows: DataFrame, config: ModelConfig = ModelConfig()) -> DataFrame:
-    """Processed rows with their split."""
-    return temporal_split(rows, config.test_size, config.validation_split)
+    """Processed rows with their split, placed for model fitting."""
+    return temporal_split(spread_series(rows), config.test_size, config.validation_split)
 
 
 def _type_error(split_df: DataFrame, model: str, stage: str, problem: Exception) -> DataFrame:

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .schema import KEYS
+
 SESSION_DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -23,12 +25,25 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     return (
         builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", memory)
+        # Small tables still use every core: partitions are merged up to 128 KB only.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
 
+def spread_series(df: DataFrame) -> DataFrame:
+    """Place whole series over all shuffle partitions.
+
+    For stages that fit models: a series costs them processor time and few bytes,
+    while adaptive execution merges partitions by their bytes. This takes the
+    place of the shuffle a grouping by series would need; it adds none.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks, *KEYS)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names for checkpoints.
 

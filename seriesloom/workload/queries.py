@@ -79,7 +79,7 @@ def staged(spark, d):
 
 
 def staged_split(spark, d):
-    return splitting.temporal_split(staged(spark, d).data)
+    return forecasting.prepare(staged(spark, d).data)
 
 
 def orders_by_nation(spark, d):
@@ -563,7 +563,7 @@ def future_dates_monthly(spark, d):
 def forecast(spark, d):
     """Both models, in original units."""
     done = staged(spark, d)
-    trained = forecasting.train_models(splitting.temporal_split(done.data), periods=7)
+    trained = forecasting.train_models(forecasting.prepare(done.data), periods=7)
     ahead = forecasting.forecast(trained, done.data, 7, scalers=done.scalers)
     return ahead.select(*KEYS, "model", "ds", F.col("yhat").isNotNull().alias("forecast"))
 
