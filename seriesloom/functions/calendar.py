@@ -31,6 +31,22 @@ def parse_timeframe(timeframe: str, today: dt.date | None = None) -> tuple[str,
     return start.isoformat(), end.isoformat()
 
 
+BUCKETS = ("day", "week", "month", "quarter", "year")
+
+
+def bucket_date(ts: str, bucket: str) -> Column:
+    """First day of the bucket a time falls in; buckets are days or longer."""
+    if bucket not in BUCKETS:
+        raise ValueError(f"No bucket {bucket!r}; there are {list(BUCKETS)}")
+    day = F.to_date(ts)
+    return day if bucket == "day" else F.trunc(day, bucket)
+
+
+def known(column: str) -> Column:
+    """The value, or null for NaN: a missing number may arrive as either."""
+    return F.when(~F.isnan(column), F.col(column))
+
+
 def calendar_columns(ds: str = "ds") -> dict[str, Column]:
     """Calendar fields of a date; Monday is day 0 and weeks are ISO weeks."""
     return {

@@ -19,7 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..config import ModelConfig
 from ..functions import additive_terms as terms
-from ..functions.calendar import step_date
+from ..functions.calendar import known, step_date
 from ..schema import KEYS, check_series
 from ..session import spread_series
 from . import map_fit
@@ -69,7 +69,7 @@ def _observations(df: DataFrame) -> DataFrame:
     Makes a date one row however often it is observed, so that what a task
     receives for a series is bounded by the calendar. Combines on the map side.
     """
-    seen = check_series(df).where(F.col("y").isNotNull() & F.col("ds").isNotNull())
+    seen = check_series(df).where(known("y").isNotNull() & F.col("ds").isNotNull())
     return seen.groupBy(*KEYS, F.unix_date("ds").alias("day")).agg(
         F.avg("y").alias("mean"),
         F.count("*").cast("double").alias("weight"),
@@ -83,7 +83,7 @@ def _fit_arrays(day: np.ndarray, mean: np.ndarray, weight: np.ndarray, within: n
 
 
 _FIT_INPUTS = ["day", "mean", "weight", "within"]
-_FIT_FAILURES = (ValueError, ZeroDivisionError, np.linalg.LinAlgError)
+_FIT_FAILURES = (ValueError, ArithmeticError, np.linalg.LinAlgError)
 
 
 def fit_additive(df: DataFrame, config: ModelConfig = ModelConfig()) -> DataFrame:
@@ -207,7 +207,7 @@ def component_importance(models: DataFrame, df: DataFrame, names=("yearly", "wee
 def cv_cutoffs(df: DataFrame, initial: int = 730, period: int = 180, horizon: int = 90) -> DataFrame:
     """Cutoffs of each series: from ``horizon`` days before its end, back by
     ``period`` while ``initial`` days of history remain."""
-    span = df.where(F.col("y").isNotNull()).groupBy(*KEYS).agg(F.min("ds").alias("first"), F.max("ds").alias("last"))
+    span = df.where(known("y").isNotNull()).groupBy(*KEYS).agg(F.min("ds").alias("first"), F.max("ds").alias("last"))
     room = F.datediff("last", "first") - horizon - initial
     return (
         span.withColumn("room", room)

@@ -119,6 +119,8 @@ def fit_map(days: np.ndarray, mean: np.ndarray, weight: np.ndarray, within: floa
     """
     if len(days) < 2:
         raise ValueError("A series needs two dates with a value")
+    if not np.isfinite(mean).all():
+        raise ValueError("A series needs finite values")
     n = float(weight.sum())
     t0, t_days = int(days[0]), float(days[-1] - days[0])
     t = (days - t0) / t_days

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.calendar import known
 from ..schema import check_series, in_time
 
 PARTIAL_FLAG = "isPartial"  # fixed value: marker column of an unfinished period
@@ -17,13 +18,13 @@ def drop_partial(df: DataFrame) -> DataFrame:
 
 def clean(df: DataFrame, column: str = "y") -> DataFrame:
     """Drop the marker column, turn text that is no number, and nulls, into 0."""
-    number = F.col(column).try_cast("double")
-    return drop_partial(df).withColumn(column, F.coalesce(number, F.lit(0.0)))
+    numbers = drop_partial(df).withColumn(column, F.col(column).try_cast("double"))
+    return numbers.withColumn(column, F.coalesce(known(column), F.lit(0.0)))
 
 
 def missing_count(df: DataFrame) -> DataFrame:
     """Missing values per group."""
-    return df.groupBy("group_id").agg(F.count_if(F.col("y").isNull()).alias("missing"))
+    return df.groupBy("group_id").agg(F.count_if(known("y").isNull()).alias("missing"))
 
 
 def fill_time(df: DataFrame) -> DataFrame:
@@ -34,15 +35,16 @@ def fill_time(df: DataFrame) -> DataFrame:
     series would be re-read for every row.
     """
     over = "over (partition by group_id, series_id order by ds"
-    known = check_series(df).withColumn("known", F.when(F.col("y").isNotNull(), F.struct("ds", "y")))
-    walked = known.withColumn(
-        "before", F.expr(f"last(known, true) {over} rows between unbounded preceding and current row)")
-    ).withColumn("after", F.expr(f"lead(known, 1) ignore nulls {over})"))
+    numbers = check_series(df).withColumn("y", known("y"))
+    seen = numbers.withColumn("seen", F.when(F.col("y").isNotNull(), F.struct("ds", "y")))
+    walked = seen.withColumn(
+        "before", F.expr(f"last(seen, true) {over} rows between unbounded preceding and current row)")
+    ).withColumn("after", F.expr(f"lead(seen, 1) ignore nulls {over})"))
     elapsed = F.datediff("ds", "before.ds").cast("double")
     span = F.datediff("after.ds", "before.ds").cast("double")
     between = F.col("before.y") + (F.col("after.y") - F.col("before.y")) * elapsed / span
     filled = F.coalesce("y", between, "before.y", "after.y")
-    return walked.withColumn("y", filled).drop("known", "before", "after")
+    return walked.withColumn("y", filled).drop("seen", "before", "after")
 
 
 def drop_missing(df: DataFrame) -> DataFrame:
@@ -51,7 +53,7 @@ def drop_missing(df: DataFrame) -> DataFrame:
     Only the dates with a null are gathered, so the table removed from is not
     sorted or windowed by date.
     """
-    holes = df.where(F.col("y").isNull()).select("group_id", "ds").distinct()
+    holes = df.where(known("y").isNull()).select("group_id", "ds").distinct()
     return df.join(holes, ["group_id", "ds"], "left_anti").select(*df.columns)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..functions.calendar import known
 from ..schema import KEYS, check_series
 
 BLOCK = 64  # series per block; a task holds two blocks
@@ -24,8 +25,9 @@ def correlation_matrix(df: DataFrame, digits: int | None = None, block: int = BL
     a large one spreads over many tasks, and no row per (pair, date) exists.
     """
     named = Window.partitionBy("group_id").orderBy("series_id")
+    df = check_series(df).withColumn("y", known("y"))
     placed = (
-        check_series(df).groupBy(*KEYS)
+        df.groupBy(*KEYS)
         .agg(F.avg("y").alias("mean"))
         .withColumn("block", F.floor((F.row_number().over(named) - 1) / block).cast("int"))
         .withColumn("blocks", F.max("block").over(Window.partitionBy("group_id")) + 1)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..functions.calendar import known
 from ..schema import by_series, check_series, in_time
 
 # Fixed values: (more rows than, period), first match wins; period 7 otherwise.
@@ -41,7 +42,7 @@ def seasonal_decompose(df: DataFrame, period: int | None = None) -> DataFrame:
     count = F.count("*").over(by_series())
     rows = (
         check_series(df).withColumn("__n", count)
-        .withColumn("__nulls", F.count_if(F.col("y").isNull()).over(by_series()))
+        .withColumn("__nulls", F.count_if(known("y").isNull()).over(by_series()))
         .withColumn("__at", F.row_number().over(in_time()) - 1)
         .withColumn("__mean", F.avg("y").over(by_series()))
         .withColumn("__total", F.sum(F.col("y") - F.col("__mean")).over(in_time().rowsBetween(Window.unboundedPreceding, 0)))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..functions.calendar import bucket_date
 from ..schema import KEYS
 from .merging import MAX_KEYWORDS, check_request
 
@@ -24,7 +25,7 @@ def interest_over_time(
     in name order, five to a request.
     """
     found = [F.col(group).cast("string").alias("group_id")] if group else []
-    day = F.to_date(ts) if bucket == "day" else F.trunc(F.to_date(ts), bucket)
+    day = bucket_date(ts, bucket)
     complete = F.col(key).isNotNull() & F.col(ts).isNotNull()
     counts = (
         log.where(complete & F.col(group).isNotNull() if group else complete)
@@ -79,11 +80,15 @@ def related_queries(
     """
     wanted = check_request(keywords)
     columns = ["series_id", "kind", "query", "value"]
-    # Two timestamps; fetched so that the halves are literals in the next scan.
-    first, last = span or log.agg(F.min(ts), F.max(ts)).first()
-    if first is None:
+    # One time, fetched so that it is a literal in the next scan. It travels as
+    # text, which the session's time zone reads as it wrote it.
+    if span is None:
+        first, last = F.min(ts), F.max(ts)
+        middle = log.agg((first + (last - first) / 2).cast("string")).first()[0]
+    else:
+        middle = str(span[0] + (span[1] - span[0]) / 2)
+    if middle is None:
         return log.sparkSession.createDataFrame([], "series_id string, kind string, query string, value bigint")
-    middle = first + (last - first) / 2
     late = F.col(ts) > F.lit(middle).cast(log.schema[ts].dataType)
     searches = (
         log.groupBy(F.col(user).alias("user"), F.col(query).alias("query"))
@@ -126,7 +131,7 @@ def trending(
     There is no worldwide list: '' is no country and gives no rows.
     """
     here = log.where(F.lower("geo") == geo.lower())
-    latest = here.agg(F.date_trunc(bucket, F.max(ts)).alias("t")).first()["t"]
+    latest = here.agg(F.date_trunc(bucket, F.max(ts)).cast("string")).first()[0]
     schema = f"geo string, query {log.schema[query].dataType.simpleString()}, n bigint, rank int"
     if not geo or latest is None:
         return log.sparkSession.createDataFrame([], schema)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.calendar import known
 from ..schema import KEYS, by_series
 
 
@@ -15,7 +16,7 @@ def overview(df: DataFrame) -> DataFrame:
         F.countDistinct("ds").alias("data_points"),
         F.min("ds").alias("first_date"),
         F.max("ds").alias("last_date"),
-        F.count_if(F.col("y").isNull()).alias("missing"),
+        F.count_if(known("y").isNull()).alias("missing"),
     )
 
 
@@ -32,7 +33,7 @@ def distribution(df: DataFrame, bins: int = 30) -> DataFrame:
     range half a unit to both sides of its value.
     """
     ranged = (
-        df.where(F.col("y").isNotNull())
+        df.where(known("y").isNotNull())
         .withColumn("low", F.min("y").over(by_series()))
         .withColumn("high", F.max("y").over(by_series()))
     )

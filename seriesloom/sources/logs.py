@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.calendar import bucket_date
+
 
 def series_from_log(
     log: DataFrame, group: Column, series: Column, ts: str, value: Column | None = None, bucket: str = "day"
@@ -19,7 +21,7 @@ def series_from_log(
     filter from later joins, on one side only, and a plan that uses the table
     twice cannot share its shuffle.
     """
-    ds = F.to_date(ts) if bucket == "day" else F.trunc(F.to_date(ts), bucket)
+    ds = bucket_date(ts, bucket)
     total = F.count("*") if value is None else F.sum(value)
     summed = (
         log.where(group.isNotNull() & series.isNotNull() & F.col(ts).isNotNull())

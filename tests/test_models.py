@@ -142,9 +142,11 @@ def test_failing_series_does_not_stop_the_others(spark, four_years):
     long = long_frame(spark, four_years[:200].to_frame("s")).unionByName(
         spark.createDataFrame([("g", "one", day("2020-01-01"), 1.0)], "group_id string, series_id string, ds date, y double")
     )
-    models = additive.fit_additive(long)
+    infinite = long.where("series_id = 's'").withColumn("series_id", F.lit("inf")).withColumn("y", F.lit(float("inf")))
+    holes = long.where("series_id = 's'").withColumn("series_id", F.lit("nan")).withColumn("y", F.lit(float("nan")))
+    models = additive.fit_additive(long.unionByName(infinite).unionByName(holes))
     errors = additive.model_errors(models).collect()
-    assert [(e["series_id"], e["model"]) for e in errors] == [("one", "additive")]
+    assert {(e["series_id"], e["model"]) for e in errors} == {("one", "additive"), ("inf", "additive")}
     assert additive.usable(models).count() == 1 and additive.predict_horizon(models, 3).count() == 3
 
 

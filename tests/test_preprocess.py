@@ -36,6 +36,14 @@ def test_fill_and_smooth_match_pandas(spark, values, width, data):
     np.testing.assert_allclose(got.to_numpy(), want.to_numpy(), rtol=1e-9, atol=1e-7)
 
 
+def test_nan_is_missing(spark, year_long):
+    holes = year_long.withColumn("y", F.coalesce("y", F.lit(float("nan"))))
+    assert cleaning.missing_count(holes).first()["missing"] == 5
+    for step in (cleaning.fill_time, cleaning.drop_missing, cleaning.clean):
+        got, want = step(holes), step(year_long)
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
 def test_causal_smoothing_looks_back_only(spark):
     wide = pd.DataFrame({"s": [1.0, 2.0, 6.0, 8.0]}, index=pd.date_range("2020-01-01", periods=4))
     assert series_of(cleaning.smooth(long_frame(spark, wide), 2, causal=True), "s").tolist() == [1.0, 1.5, 4.0, 7.0]
