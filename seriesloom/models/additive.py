@@ -116,10 +116,10 @@ def model_errors(models: DataFrame, stage: str = "fit") -> DataFrame:
     return failed.select(*KEYS, F.lit(MODEL_NAME).alias("model"), F.lit(stage).alias("stage"), "error")
 
 
-def predict_dates(models: DataFrame, dates: DataFrame) -> DataFrame:
-    """yhat for the dates of a (group_id, series_id, ds) table."""
-    joined = dates.select(*KEYS, "ds").join(usable(models), KEYS)
-    return joined.select(*KEYS, "ds", terms.yhat(F.col("ds")).alias("yhat"))
+def predict_dates(models: DataFrame, dates: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """yhat for the dates of a (group_id, series_id, ds) table, next to the columns to ``keep``."""
+    joined = dates.select(*KEYS, "ds", *keep).join(usable(models), KEYS)
+    return joined.select(*KEYS, "ds", *keep, terms.yhat(F.col("ds")).alias("yhat"))
 
 
 def horizon_dates(models: DataFrame, periods: int, freq: str | DataFrame = "D") -> DataFrame:

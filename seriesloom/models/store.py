@@ -89,6 +89,7 @@ def save_sequence(
         "target_name": "y",
         "kind": model.kind,
         "length": model.length,
+        "direct": model.direct,
     }
     _write_metadata(spark, path, payload)
 
@@ -100,7 +101,7 @@ def load_sequence(spark: SparkSession, path: str) -> sequence.SequenceModel:
     kind = about.get("kind", defaults.sequence_kind)
     model = _SEQUENCE_KINDS[kind].load(f"{path}/model")
     features = about.get("feature_names") or ["y", *sequence.CALENDAR_FEATURES]
-    return sequence.SequenceModel(model, kind, about.get("length", defaults.sequence_length), features)
+    return sequence.SequenceModel(model, kind, about.get("length", defaults.sequence_length), features, about.get("direct", False))
 
 
 def model_summary(metadata: dict, metrics: dict | None = None) -> str:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import AppConfig, ModelConfig
 from ..models import additive, sequence
-from ..operators.horizon import future_dates, infer_freq
+from ..operators.horizon import future_dates
 from ..operators.metrics import METRICS, regression_metrics, to_long_metrics
 from ..operators.reports import report_tables
 from ..operators.scaling import inverse_scale
@@ -92,9 +92,8 @@ def score_test(trained: Trained, split_df: DataFrame, config: ModelConfig = Mode
     """Actual and forecast on the test rows, per model type."""
     scored = {}
     if trained.additive is not None:
-        test = split_df.where(F.col("split") == "test").select(*KEYS, "ds", "y")
-        ahead = additive.predict_dates(trained.additive, test)
-        scored[additive.MODEL_NAME] = test.join(ahead, [*KEYS, "ds"])
+        test = split_df.where(F.col("split") == "test")
+        scored[additive.MODEL_NAME] = additive.predict_dates(trained.additive, test, keep=("y",))
     if trained.sequence is not None:
         windows = split_sequences(split_df, config.sequence_length).where(F.col("split") == "test")
         scored[sequence.MODEL_NAME] = sequence.predict_sequence_batch(trained.sequence, windows)

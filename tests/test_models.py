@@ -214,7 +214,7 @@ def test_recursion_equals_the_loop(spark, wave_split, compat):
     np.testing.assert_allclose(path.to_numpy(), want, rtol=1e-7, atol=1e-8)
 
 
-def test_trees_stop_early_and_forecast_directly(spark, wave_split):
+def test_trees_stop_early_and_forecast_directly(spark, wave_split, tmp_path):
     done, split_df = wave_split
     config = ModelConfig(sequence_kind="gbt", sequence_max_iter=3)
     trained = forecasting.train_models(split_df, ["sequence"], config, periods=4)
@@ -222,6 +222,9 @@ def test_trees_stop_early_and_forecast_directly(spark, wave_split):
     ahead = forecasting.forecast(trained, done.data, 4, config).toPandas()
     assert len(ahead) == 12 and ahead["yhat"].between(-0.5, 1.5).all()
     assert forecasting.evaluate(trained, split_df, config).where("metric = 'rmse'").count() == 3
+    store.save_sequence(spark, trained.sequence, str(tmp_path), config)
+    again = store.load_sequence(spark, str(tmp_path))
+    assert (again.kind, again.direct, again.size) == ("gbt", True, 310)
 
 
 def test_saved_models_come_back(spark, wave_split, fitted, tmp_path):
