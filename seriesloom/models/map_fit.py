@@ -209,27 +209,44 @@ def evaluate(params: dict, days: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return level, sums["multiplicative"], sums["additive"]
 
 
+DATES_AT_ONCE = 512
+
+
 def simulate(params: dict, days: np.ndarray, samples: int, width: float, seed: int):
     """(yhat, lower, upper) in data units.
 
     After the training span rate changes go on at the pace and mean size seen in
-    it; every sample adds observation noise. ``seed`` makes it repeatable.
+    it; every sample adds observation noise. ``seed`` makes it repeatable. The
+    futures are drawn once and followed through the dates piece by piece, so the
+    memory in use does not grow with their number.
     """
     rng = np.random.default_rng(seed)
-    t = (days - params["t0"]) / params["t_days"]
-    level, share, extra = evaluate(params, days)
-    deltas = np.asarray(params["deltas"], float)
-    paths = np.repeat(level[None, :], samples, axis=0)
-    reach = t.max() if len(t) else 0.0
-    if reach > 1 and len(deltas):
-        size = np.mean(np.abs(deltas)) + 1e-8
-        counts = rng.poisson(len(deltas) * (reach - 1), samples)
-        for i in np.flatnonzero(counts):
-            when = 1 + rng.random(counts[i]) * (reach - 1)
-            bend = rng.laplace(0.0, size, counts[i])
-            paths[i] += np.maximum(t[:, None] - when[None, :], 0.0) @ bend
-    values = paths * (1 + share) + extra + rng.normal(0.0, params["sigma"], paths.shape)
+    futures = _draw_futures(params, days, samples, rng)
     tail = 100 * (1 - width) / 2
-    lower, upper = np.percentile(values, [tail, 100 - tail], axis=0)
-    scale = params["y_scale"]
-    return (level * (1 + share) + extra) * scale, lower * scale, upper * scale
+    parts = []
+    for first in range(0, len(days), DATES_AT_ONCE):
+        some = days[first : first + DATES_AT_ONCE]
+        t = (some - params["t0"]) / params["t_days"]
+        level, share, extra = evaluate(params, some)
+        paths = np.repeat(level[None, :], samples, axis=0)
+        for i, when, bend in futures:
+            paths[i] += np.maximum(t[:, None] - when[None, :], 0.0) @ bend
+        values = paths * (1 + share) + extra + rng.normal(0.0, params["sigma"], paths.shape)
+        lower, upper = np.percentile(values, [tail, 100 - tail], axis=0)
+        parts.append((level * (1 + share) + extra, lower, upper))
+    if not parts:
+        return (np.empty(0),) * 3
+    return tuple(np.concatenate(column) * params["y_scale"] for column in zip(*parts))
+
+
+def _draw_futures(params: dict, days: np.ndarray, samples: int, rng) -> list:
+    """(sample, times, rate changes) of the samples whose trend bends after training."""
+    reach = ((days - params["t0"]) / params["t_days"]).max(initial=0.0)
+    deltas = np.asarray(params["deltas"], float)
+    if reach <= 1 or not len(deltas):
+        return []
+    size = np.mean(np.abs(deltas)) + 1e-8
+    counts = rng.poisson(len(deltas) * (reach - 1), samples)
+    return [
+        (i, 1 + rng.random(counts[i]) * (reach - 1), rng.laplace(0.0, size, counts[i])) for i in np.flatnonzero(counts)
+    ]

@@ -158,6 +158,18 @@ def test_interval_does_not_depend_on_partitioning(fitted):
     assert one == many
 
 
+def test_simulation_in_pieces(four_years, monkeypatch):
+    days, y = days_of(four_years), four_years.to_numpy()
+    params = map_fit.fit_map(days[:1000], y[:1000], np.ones(1000), 0.0, ModelConfig())
+    whole = map_fit.simulate(params, days, 400, 0.9, 1)
+    monkeypatch.setattr(map_fit, "DATES_AT_ONCE", 100)
+    pieces = map_fit.simulate(params, days, 400, 0.9, 1)
+    np.testing.assert_allclose(whole[0], pieces[0])
+    spread = whole[2] - whole[1]
+    assert np.abs(pieces[2] - pieces[1] - spread).max() < 0.35 * spread.max()
+    assert map_fit.simulate(params, days[:0], 10, 0.9, 1)[0].size == 0
+
+
 def test_cross_validation(spark, four_years):
     long = long_frame(spark, four_years.to_frame("s"))
     cuts = [r["cutoff"] for r in additive.cv_cutoffs(long).orderBy("cutoff").collect()]
