@@ -378,12 +378,6 @@ oracle(
        FROM (SELECT DISTINCT group_id, series_id FROM daily), (VALUES ('yearly', 365.25::DOUBLE, 20),
         ('weekly', 7::DOUBLE, 6), ('quarterly', 91.3125::DOUBLE, 8)) t(name, period, n_coef)""",
 )
-oracle(
-    "predict_horizon",
-    _WEEKLY,
-    """SELECT group_id, series_id, max(ds) + CAST(7 * step AS INTEGER) AS ds, true AS forecast
-       FROM weekly, range(1, 9) t(step) GROUP BY group_id, series_id, step""",
-)
 oracle(
     "predict_interval",
     _DAILY,
@@ -482,35 +476,42 @@ for _name, _cte, _source in (("daily", _DAILY, "daily"), ("weekly", _WEEKLY, "we
         f"SELECT group_id, series_id, CAST(gap AS INTEGER) AS gap_days, {_CLASS} FROM common",
     )
 oracle(
-    "future_dates_weekly",
+    "save_load_additive",
     _WEEKLY,
-    """SELECT group_id, series_id, CAST(s AS INTEGER) AS step, max(ds) + CAST(7 * s AS INTEGER) AS ds
-       FROM weekly, range(1, 7) t(s) GROUP BY group_id, series_id, s""",
+    """SELECT group_id, series_id, min(ds) AS t0, max(ds) AS last_ds, count(*) AS n_obs, max(abs(y)) AS y_scale
+       FROM weekly GROUP BY 1, 2""",
 )
+
+
+def _ahead(source: str, periods: int) -> str:
+    """The dates after the last of each series, by its most common gap."""
+    return f"""{_freq(source)},
+       lasts AS (SELECT group_id, series_id, max(ds) AS last FROM {source} GROUP BY 1, 2),
+       ahead AS (SELECT l.group_id, l.series_id, CAST(s AS INTEGER) AS step,
+         CASE WHEN gap = 7 THEN last + CAST(7 * s AS INTEGER)
+              WHEN gap BETWEEN 28 AND 31 THEN CAST(last + to_months(CAST(s AS INTEGER)) AS DATE)
+              ELSE last + CAST(s AS INTEGER) END AS ds
+         FROM lasts l LEFT JOIN common c ON c.group_id = l.group_id AND c.series_id = l.series_id,
+          range(1, {periods + 1}) t(s))"""
+
+
+oracle("future_dates_weekly", f"{_WEEKLY}, {_ahead('weekly', 6)}", "SELECT * FROM ahead")
+oracle("future_dates_monthly", f"{_MONTHLY}, {_ahead('monthly', 6)}", "SELECT * FROM ahead")
 oracle(
-    "future_dates_monthly",
-    _MONTHLY,
-    """SELECT group_id, series_id, CAST(s AS INTEGER) AS step, CAST(max(ds) + to_months(CAST(s AS INTEGER)) AS DATE) AS ds
-       FROM monthly, range(1, 7) t(s) GROUP BY group_id, series_id, s""",
+    "predict_horizon",
+    f"{_WEEKLY}, {_ahead('weekly', 8)}",
+    "SELECT group_id, series_id, ds, true AS forecast FROM ahead",
 )
 oracle(
     "forecast",
-    _GRID,
-    """SELECT group_id, series_id, model, max(ds) + CAST(s AS INTEGER) AS ds, true AS forecast
-       FROM grid, range(1, 8) t(s), (VALUES ('additive'), ('sequence')) m(model)
-       GROUP BY group_id, series_id, model, s""",
-)
-oracle(
-    "save_load_additive",
-    _WEEKLY,
-    """SELECT group_id, series_id, min(ds) AS t0, max(ds) AS last_ds, count(*) AS n_obs, max(abs(y)) AS y_scale
-       FROM weekly GROUP BY 1, 2""",
+    f"{_GRID}, {_ahead('grid', 7)}",
+    """SELECT group_id, series_id, model, ds, true AS forecast
+       FROM ahead, (VALUES ('additive'), ('sequence')) m(model)""",
 )
 oracle(
     "run_all_nations",
-    f"{_NATION}, {_grid('nation_weekly')}",
-    """SELECT group_id, series_id, 'additive' AS model, max(ds) + CAST(7 * s AS INTEGER) AS ds, true AS forecast
-       FROM grid, range(1, 5) t(s) GROUP BY group_id, series_id, s""",
+    f"{_NATION}, {_grid('nation_weekly')}, {_ahead('grid', 4)}",
+    "SELECT group_id, series_id, 'additive' AS model, ds, true AS forecast FROM ahead",
 )
 
 
