@@ -4,16 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesloom.llm import simhash
+from seriesloom.llm import quality, simhash
 from seriesloom.session import stage_table
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Failing lines go; documents go that fail the base rules or lose too much of their text."""
+    return quality.keep_clean(docs)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, whole and unchanged."""
     return simhash.keep_one(docs, shingle=4, max_bits=4)
 
 
 STAGES = [
+    ("quality_rules", quality_rules),
     ("near_duplicates", near_duplicates),
 ]
 
