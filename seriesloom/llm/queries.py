@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality, simhash
+from . import mixing, quality, simhash
 from .oracles import ORACLES
 
 
@@ -20,9 +21,15 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measures(read(spark, sf_dir, "documents"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_copies(read(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5)
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op3_quality": op3_quality,
+    "op9_mixing": op9_mixing,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
