@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality, simhash
+from . import bpe, mixing, quality, simhash, substrings
 from .oracles import ORACLES
 
 
@@ -31,11 +31,17 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substrings.remove_repeated(read(spark, sf_dir, "documents"), window=13)
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_bpe": op2_bpe,
     "op3_quality": op3_quality,
     "op9_mixing": op9_mixing,
+    "op10_substrings": op10_substrings,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
