@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality, simhash, substrings
+from . import bpe, lines, mixing, quality, simhash, substrings
 from .oracles import ORACLES
 
 
@@ -26,6 +26,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measures(read(spark, sf_dir, "documents"))
 
 
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = lines.dedup_lines(read(spark, sf_dir, "documents"), shingle=5, similarity=0.8)
+    return left.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_copies(read(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5)
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -40,6 +45,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_bpe": op2_bpe,
     "op3_quality": op3_quality,
+    "op8_lines": op8_lines,
     "op9_mixing": op9_mixing,
     "op10_substrings": op10_substrings,
 }

@@ -126,6 +126,8 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
 def run_hashes(hashes: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
     """A hash of each run of ``length`` consecutive hashes; entry ``i`` is of ``hashes[i:i + length]``."""
     total = np.zeros(max(0, len(hashes) - length + 1), np.uint64)
+    if not len(total):
+        return total
     factor = 1
     for j in range(length):
         factor = factor * _BASES[seed] % 2**64
