@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lines, mixing, quality, simhash, substrings
+from . import bpe, feistel, lines, mixing, quality, simhash, substrings, vptree
 from .oracles import ORACLES
 
 
@@ -26,6 +26,15 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measures(read(spark, sf_dir, "documents"))
 
 
+def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # 49407 is the vocabulary's end-of-text id.
+    return feistel.write_training_order(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=49407)
+
+
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, factor=1.0)
+
+
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = lines.dedup_lines(read(spark, sf_dir, "documents"), shingle=5, similarity=0.8)
     return left.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
@@ -45,6 +54,8 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_bpe": op2_bpe,
     "op3_quality": op3_quality,
+    "op4_training_order": op4_training_order,
+    "op5_nearest": op5_nearest,
     "op8_lines": op8_lines,
     "op9_mixing": op9_mixing,
     "op10_substrings": op10_substrings,
