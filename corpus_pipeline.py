@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesloom.llm import quality, simhash
+from seriesloom.llm import bpe, lines, mixing, quality, simhash
 from seriesloom.session import stage_table
 
 
@@ -13,14 +14,32 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_clean(docs)
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines go that match an earlier line; all documents stay, some with less text."""
+    return lines.without_repeated_lines(docs, shingle=5, similarity=0.8)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, whole and unchanged."""
     return simhash.keep_one(docs, shingle=4, max_bits=4)
 
 
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document appears as often as the mix takes it: not at all, once or twice."""
+    return mixing.mixed_documents(docs, weights=(3, 1, 2), share=1.5)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token count of every document, with digests of its ids and of the text they decode to."""
+    return bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 STAGES = [
     ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
     ("near_duplicates", near_duplicates),
+    ("mix_sources", mix_sources),
+    ("encode", encode),
 ]
 
 # Fingerprints and byte-pair codes are beyond SQL; tests hold the pipeline against plain Python.

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, feistel, lines, mixing, quality, simhash, substrings, vptree
+from . import bpe, feistel, lines, mixing, quality, simhash, substrings, unigram, vptree, warc
 from .oracles import ORACLES
 
 
@@ -35,6 +35,17 @@ def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, factor=1.0)
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The table has no fetch date; every response gets the same one.
+    records = warc.responses(read(spark, sf_dir, "pages"), date="2024-01-01T00:00:00Z")
+    made = warc.derivatives(records)
+    return made.withColumn("record_sha256", F.sha2("data", 256)).drop("data")
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = lines.dedup_lines(read(spark, sf_dir, "documents"), shingle=5, similarity=0.8)
     return left.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
@@ -56,6 +67,8 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_training_order": op4_training_order,
     "op5_nearest": op5_nearest,
+    "op6_warc": op6_warc,
+    "op7_token_counts": op7_token_counts,
     "op8_lines": op8_lines,
     "op9_mixing": op9_mixing,
     "op10_substrings": op10_substrings,
