@@ -36,7 +36,8 @@ def test_stages_match_plain_python(spark, tmp_path):
         if measures(r.text)[-1]:
             assert r.doc_id not in kept
         elif labels.get(r.doc_id) == 1:
-            assert kept[r.doc_id] == r
+            # A clean document may hold a line of a page's furniture; nothing else goes.
+            assert kept[r.doc_id].text == "\n".join(x for x in r.text.split("\n") if x != "All rights reserved.")
     assert not any(labels.get(i) == 0 for i in kept)
 
     before, after = steps["line_dedup"]
