@@ -69,10 +69,20 @@ def cycle_columns() -> dict[str, Column]:
     return out
 
 
-def step_date(anchor: Column, freq: Column, steps: Column) -> Column:
-    """``anchor`` moved by ``steps`` days, weeks or months (``freq`` D, W or M)."""
-    return (
-        F.when(freq == "M", F.add_months(anchor, steps.cast("int")))
-        .when(freq == "W", F.date_add(anchor, (steps * 7).cast("int")))
-        .otherwise(F.date_add(anchor, steps.cast("int")))
-    )
+# Months of one step of a calendar class; a class with E keeps to the ends of months.
+MONTHS = {"M": 1, "Q": 3, "Y": 12}
+
+
+def step_date(anchor: Column, freq: Column, steps: Column, days: Column | None = None) -> Column:
+    """``anchor`` moved by ``steps`` of ``freq``.
+
+    W is a week; M, Q and Y are months, quarters and years from the anchor, and
+    ME, QE and YE the same from one month's end to another's; D is ``days`` days
+    (one, if not given or null).
+    """
+    out = F.when(freq == "W", F.date_add(anchor, (steps * 7).cast("int")))
+    for name, months in MONTHS.items():
+        moved = F.add_months(anchor, (steps * months).cast("int"))
+        out = out.when(freq == name, moved).when(freq == f"{name}E", F.last_day(moved))
+    each = F.lit(1) if days is None else F.coalesce(days, F.lit(1))
+    return out.otherwise(F.date_add(anchor, (steps * each).cast("int")))

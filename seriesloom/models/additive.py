@@ -125,12 +125,17 @@ def predict_dates(models: DataFrame, dates: DataFrame, keep: tuple[str, ...] = (
 def horizon_dates(models: DataFrame, periods: int, freq: str | DataFrame = "D") -> DataFrame:
     """The ``periods`` dates after the end of training of each model.
 
-    ``freq`` is D, W or M for all series, or a table with a ``freq`` per series.
+    ``freq`` is one step (see ``step_date``) for all series, or the table of ``infer_freq``.
     """
     last = usable(models).select(*KEYS, "last_ds")
-    stepped = last.withColumn("freq", F.lit(freq)) if isinstance(freq, str) else last.join(freq, KEYS)
+    if isinstance(freq, str):
+        stepped = last.withColumns({"freq": F.lit(freq), "gap_days": F.lit(1)})
+    else:
+        stepped = last.join(freq, KEYS)
+        if "gap_days" not in freq.columns:
+            stepped = stepped.withColumn("gap_days", F.lit(1))
     ahead = stepped.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(periods))))
-    return ahead.select(*KEYS, step_date(F.col("last_ds"), F.col("freq"), F.col("step")).alias("ds"))
+    return ahead.select(*KEYS, step_date(F.col("last_ds"), F.col("freq"), F.col("step"), F.col("gap_days")).alias("ds"))
 
 
 def predict_horizon(models: DataFrame, periods: int, freq: str | DataFrame = "D") -> DataFrame:

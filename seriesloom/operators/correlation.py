@@ -10,57 +10,102 @@ from pyspark.sql import Window
 
 from ..functions.calendar import known
 from ..schema import KEYS, check_series
+from ..session import numbered
 
-BLOCK = 64  # series per block; a task holds two blocks
+REQUEST = 64  # series compared with one another, where no other size is asked for; a task holds two times as many
 
 _SCHEMA = "group_id string, a string, b string, corr double"
 
 
-def correlation_matrix(df: DataFrame, digits: int | None = None, block: int = BLOCK) -> DataFrame:
-    """Pearson correlation of every two series, over the dates both have a value.
+def correlation_matrix(
+    df: DataFrame, digits: int | None = None, size: int = REQUEST, top_k: int | None = None
+) -> DataFrame:
+    """Pearson correlation of series with one another, over the dates both have a value.
 
-    A product of blocks: the series of a group are numbered and cut into blocks,
-    a series goes to each pair of blocks it takes part in, and a task turns one
-    pair into matrix products. A usual group is one block, so nothing is copied;
-    a large one spreads over many tasks, and no row per (pair, date) exists.
+    The series of a group, in name order, are cut into requests of ``size``, and a
+    request has its whole matrix; a usual group is one request. With ``top_k`` all
+    requests of a group meet, and a series keeps its ``top_k`` strongest partners
+    (by size of the correlation, then by name; itself left out), so a large group
+    gives that many rows a series and not its square. A task turns one or two
+    requests into matrix products; no row per (pair, date) exists.
     """
-    named = Window.partitionBy("group_id").orderBy("series_id")
-    df = check_series(df).withColumn("y", known("y"))
-    placed = (
-        df.groupBy(*KEYS)
-        .agg(F.avg("y").alias("mean"))
-        .withColumn("block", F.floor((F.row_number().over(named) - 1) / block).cast("int"))
-        .withColumn("blocks", F.max("block").over(Window.partitionBy("group_id")) + 1)
-    )
-    routed = (
-        df.join(placed, KEYS)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(
-            *KEYS,
-            "ds",
-            # Centered first: raw moments of a large, flat series cancel badly.
-            (F.col("y") - F.col("mean")).alias("y"),
-            F.least("block", "other").alias("i"),
-            F.greatest("block", "other").alias("j"),
-            "block",
-        )
-    )
-    pairs = routed.groupBy("group_id", "i", "j").applyInPandas(_correlate_blocks, _SCHEMA)
+    placed = _placed(df, size, None)
+    routed = df.withColumn("y", known("y")).join(placed, KEYS)
+    if top_k is None:
+        routed = routed.withColumn("other", F.col("block"))
+    else:
+        last = placed.groupBy("group_id").agg(F.max("block").alias("last"))
+        routed = routed.join(last, "group_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
+
+    def correlate(rows: pd.DataFrame) -> pd.DataFrame:
+        out = _correlate_blocks(rows, False)
+        return out if top_k is None else _strongest(out[out["a"] != out["b"]], top_k)
+
+    pairs = _by_block(routed).applyInPandas(correlate, _SCHEMA)
+    if top_k is not None:
+        best = Window.partitionBy("group_id", "a").orderBy(F.abs("corr").desc_nulls_last(), "b")
+        pairs = pairs.withColumn("__r", F.row_number().over(best)).where(F.col("__r") <= top_k).drop("__r")
     if digits is None:
         return pairs
     return pairs.withColumn("corr", F.round("corr", digits))
 
 
-def _correlate_blocks(rows: pd.DataFrame) -> pd.DataFrame:
+def correlation_lower(
+    df: DataFrame, digits: int | None = None, size: int = REQUEST, order: list[str] | None = None
+) -> DataFrame:
+    """The strictly lower triangle of each request's matrix: ``a`` comes after ``b``.
+
+    Series come in the ``order`` they were asked for, those not named behind by name;
+    without it in name order. Only the triangle is made.
+    """
+    placed = _placed(df, size, order)
+    routed = df.withColumn("y", known("y")).join(placed, KEYS).withColumn("other", F.col("block"))
+    pairs = _by_block(routed).applyInPandas(lambda rows: _correlate_blocks(rows, True), _SCHEMA)
+    return pairs if digits is None else pairs.withColumn("corr", F.round("corr", digits))
+
+
+def _placed(df: DataFrame, size: int, order: list[str] | None) -> DataFrame:
+    """Mean, number in its group and request of each series."""
+    asked = F.array(*[F.lit(s) for s in order or []]).cast("array<string>")
+    place = F.array_position(asked, F.col("series_id"))
+    series = check_series(df).groupBy(*KEYS).agg(F.avg(known("y")).alias("mean"))
+    series = series.withColumn("place", F.when(place > 0, place).otherwise(F.lit(len(order or []) + 1)))
+    return numbered(series, ["place", "series_id"], ["group_id"]).select(
+        *KEYS, "mean", "number", F.floor(F.col("number") / size).cast("int").alias("block")
+    )
+
+
+def _by_block(routed: DataFrame):
+    return routed.select(
+        *KEYS,
+        "ds",
+        # Centered first: raw moments of a large, flat series cancel badly.
+        (F.col("y") - F.col("mean")).alias("y"),
+        F.least("block", "other").alias("i"),
+        F.greatest("block", "other").alias("j"),
+        "block",
+        "number",
+    ).groupBy("group_id", "i", "j")
+
+
+def _strongest(pairs: pd.DataFrame, count: int) -> pd.DataFrame:
+    ranked = pairs.assign(size=pairs["corr"].abs()).sort_values(["a", "size", "b"], ascending=[True, False, True])
+    return ranked.groupby("a", sort=False).head(count)[["group_id", "a", "b", "corr"]]
+
+
+def _correlate_blocks(rows: pd.DataFrame, lower: bool) -> pd.DataFrame:
     first, second = rows["i"].iat[0], rows["j"].iat[0]
     grid = rows.pivot(index="ds", columns="series_id", values="y")
-    home = rows.drop_duplicates("series_id").set_index("series_id")["block"].reindex(grid.columns).to_numpy()
+    about = rows.drop_duplicates("series_id").set_index("series_id").loc[grid.columns]
+    home, number = about["block"].to_numpy(), about["number"].to_numpy()
     values = grid.to_numpy(dtype=float)
     left, right = np.flatnonzero(home == first), np.flatnonzero(home == second)
     corr = _pairwise(values[:, left], values[:, right])
     names = grid.columns.to_numpy()
-    a, b = np.repeat(names[left], len(right)), np.tile(names[right], len(left))
-    out = pd.DataFrame({"group_id": rows["group_id"].iat[0], "a": a, "b": b, "corr": corr.ravel()})
+    a, b = np.repeat(left, len(right)), np.tile(right, len(left))
+    out = pd.DataFrame({"group_id": rows["group_id"].iat[0], "a": names[a], "b": names[b], "corr": corr.ravel()})
+    if lower:
+        return out[number[a] > number[b]]
     if first != second:
         out = pd.concat([out, out.rename(columns={"a": "b", "b": "a"})[out.columns]])
     return out
@@ -80,8 +125,3 @@ def _pairwise(x: np.ndarray, z: np.ndarray) -> np.ndarray:
         corr = cov / np.sqrt(var_x * var_z)
     corr[(n < 2) | (var_x <= 0) | (var_z <= 0)] = np.nan
     return np.clip(corr, -1.0, 1.0)
-
-
-def correlation_lower(df: DataFrame, digits: int | None = None, block: int = BLOCK) -> DataFrame:
-    """The strictly lower triangle of the matrix, series in name order."""
-    return correlation_matrix(df, digits, block).where(F.col("a") > F.col("b"))

@@ -13,16 +13,17 @@ from pyspark.sql import Window
 
 from ..functions.calendar import bucket_date
 from ..schema import KEYS
-from .merging import MAX_KEYWORDS, check_request
+from ..session import numbered
+from .merging import MAX_KEYWORDS
 
 
 def interest_over_time(
-    log: DataFrame, key: str, ts: str, bucket: str = "day", group: str | None = None
+    log: DataFrame, key: str, ts: str, bucket: str = "day", group: str | None = None, size: int = MAX_KEYWORDS
 ) -> DataFrame:
     """Counts per key and bucket, scaled so that the peak of the group is 100.
 
     The result is a series table. Without a ``group`` column the keys are taken
-    in name order, five to a request.
+    in name order, ``size`` to a request.
     """
     found = [F.col(group).cast("string").alias("group_id")] if group else []
     day = bucket_date(ts, bucket)
@@ -34,33 +35,14 @@ def interest_over_time(
         .agg(F.count("*").alias("n"))
     )
     if not group:
-        counts = counts.join(_numbered_requests(counts), "series_id")
+        names = numbered(counts.select("series_id").distinct(), ["series_id"])
+        requests = names.select("series_id", F.floor(F.col("number") / size).cast("string").alias("group_id"))
+        counts = counts.join(requests, "series_id")
     peaks = counts.groupBy("group_id").agg(F.max("n").alias("peak"))
     scaled = F.round(F.col("n") * 100 / F.col("peak"))
     return counts.join(peaks, "group_id").select(*KEYS, "ds", scaled.alias("y"))
 
 
-def _numbered_requests(counts: DataFrame) -> DataFrame:
-    """Requests of five: keys are ranged by name, and numbered within and across ranges.
-
-    Each range of names is numbered by itself; a small table of range sizes
-    shifts it. One window over all keys would put the vocabulary in one task.
-    """
-    names = counts.select("series_id").distinct()
-    ranged = names.repartitionByRange("series_id").withColumn("__part", F.spark_partition_id())
-    sizes = ranged.groupBy("__part").agg(F.count("*").alias("__size"))
-    # One row per task of the range shuffle, so this window is small.
-    before = F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select("__part", F.coalesce(before, F.lit(0)).alias("__before"))
-    inside = F.row_number().over(Window.partitionBy("__part").orderBy("series_id")) - 1
-    at = F.col("__inside") + F.col("__before")
-    return (
-        ranged.withColumn("__inside", inside)
-        .join(offsets, "__part")
-        .select("series_id", F.floor(at / MAX_KEYWORDS).cast("string").alias("group_id"))
-    )
-
-
 def related_queries(
     log: DataFrame,
     keywords: list[str],
@@ -74,11 +56,11 @@ def related_queries(
 
     Growth compares the second half of the log's span with the first, in percent
     of the first (of one search where there was none). A keyword nobody searched
-    for has no rows. A user is marked with the request's keywords, at most five,
-    instead of being paired with itself. ``span`` (first, last) saves looking the
-    ends of the log up.
+    for has no rows. A user is marked with those of the request's keywords that it
+    searched for, instead of being paired with itself. ``span`` (first, last) saves
+    looking the ends of the log up.
     """
-    wanted = check_request(keywords)
+    wanted = list(keywords)
     columns = ["series_id", "kind", "query", "value"]
     # One time, fetched so that it is a literal in the next scan. It travels as
     # text, which the session's time zone reads as it wrote it.
@@ -127,10 +109,12 @@ def trending(
 ) -> DataFrame:
     """Most frequent queries of one country in the latest bucket of its log.
 
-    The latest time is fetched first, so the counting scan reads one bucket only.
-    There is no worldwide list: '' is no country and gives no rows.
+    Country codes are compared in upper case, as ``sources.logs.normalize_geo``
+    lands them; so a plain predicate reaches the scan. The latest time is fetched
+    first, so the counting scan reads one bucket only. There is no worldwide
+    list: '' is no country and gives no rows.
     """
-    here = log.where(F.lower("geo") == geo.lower())
+    here = log.where(F.col("geo") == geo.strip().upper())
     latest = here.agg(F.date_trunc(bucket, F.max(ts)).cast("string")).first()[0]
     schema = f"geo string, query {log.schema[query].dataType.simpleString()}, n bigint, rank int"
     if not geo or latest is None:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..schema import KEYS, check_series
 
-MAX_KEYWORDS = 5  # fixed value: keywords one request may carry
+MAX_KEYWORDS = 5  # fixed value: keywords of a request, where no other size is asked for
+GROUP_PARTS = 64  # parts a group's series are dealt to when they meet its dates
 
 
 def _stack(frames: list[DataFrame]) -> DataFrame:
@@ -47,35 +48,42 @@ def complete_grid(df: DataFrame) -> DataFrame:
 
     A series travels as one array (one element per calendar day at most), meets
     its group's distinct dates, and gains the missing ones when it is exploded
-    again. So the rows are shuffled once, and the (group, series) distribution
-    is the one later per-series windows need.
+    again. The dates meet the series by group and a part of the group, so that a
+    group of very many series, or the only group there is, spreads over the parts.
+    If the dates are small enough to broadcast, the (group, series) distribution
+    stays the one later windows need; otherwise those shuffle once more.
     """
+    part = F.pmod(F.xxhash64("series_id"), F.lit(GROUP_PARTS)).cast("int")
     packed = check_series(df).groupBy(*KEYS).agg(F.collect_list(F.struct("ds", "y")).alias("seen"))
+    packed = packed.withColumn("part", part)
     dates = (
-        packed.select("group_id", F.explode("seen.ds").alias("ds"))
+        packed.select("group_id", "part", F.explode("seen.ds").alias("ds"))
         .groupBy("group_id")
-        .agg(F.collect_set("ds").alias("dates"))
+        .agg(F.collect_set("ds").alias("dates"), F.collect_set("part").alias("parts"))
+        .select("group_id", "dates", F.explode("parts").alias("part"))
     )
     gaps = F.transform(
         F.array_except("dates", F.col("seen.ds")),
         lambda d: F.struct(d.alias("ds"), F.lit(None).cast("double").alias("y")),
     )
     return (
-        packed.join(dates, "group_id")
+        packed.join(dates, ["group_id", "part"])
         .select(*KEYS, F.explode(F.concat("seen", gaps)).alias("cell"))
         .select(*KEYS, "cell.ds", "cell.y")
     )
 
 
 def batch_keywords(keywords: DataFrame, size: int = MAX_KEYWORDS, order: str = "ordinal") -> DataFrame:
-    """Add ``batch``, the request a keyword travels in; a request carries at most five."""
-    return keywords.withColumn("batch", F.floor(F.col(order) / min(size, MAX_KEYWORDS)).cast("int"))
+    """Add ``batch``, the request a keyword travels in; ``size`` keywords to a request."""
+    if size < 1:
+        raise ValueError(f"A request takes at least one keyword, not {size}")
+    return keywords.withColumn("batch", F.floor(F.col(order) / size).cast("int"))
 
 
-def check_request(keywords: list[str]) -> list[str]:
-    """A single request with more keywords than allowed is an error."""
-    if len(keywords) > MAX_KEYWORDS:
-        raise ValueError(f"A request takes at most {MAX_KEYWORDS} keywords, got {len(keywords)}")
+def check_request(keywords: list[str], size: int = MAX_KEYWORDS) -> list[str]:
+    """A single request with more keywords than ``size`` is an error."""
+    if len(keywords) > size:
+        raise ValueError(f"A request takes at most {size} keywords, got {len(keywords)}")
     return keywords
 
 

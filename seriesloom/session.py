@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from .schema import KEYS
 
@@ -70,3 +71,23 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/seriesloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(rows: DataFrame, order: list[str], within: list[str] | None = None) -> DataFrame:
+    """``rows`` with ``number``: 0, 1, … in the order of columns whose values are unique together.
+
+    With ``within`` each combination of those columns counts from 0; they come first
+    in the order. Rows are ranged and written once, numbered inside each range and
+    shifted by the ranges before it, so no task holds all of them, or all of a group.
+    """
+    keys = [*(within or []), *order]
+    ranged = rows.repartitionByRange(*keys).withColumn("__range", F.spark_partition_id())
+    ranged = stage_table(ranged, "ranged")
+    own = ["__range", *(within or [])]
+    sizes = ranged.groupBy(*own).agg(F.count("*").alias("__size"))
+    # One row per range, and group in it.
+    before = Window.partitionBy(*(within or [])).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(before), F.lit(0))).drop("__size")
+    inside = F.row_number().over(Window.partitionBy(*own).orderBy(*order)) - 1
+    out = ranged.withColumn("__inside", inside).join(shifts, own)
+    return out.withColumn("number", F.col("__inside") + F.col("__before")).select(*rows.columns, "number")

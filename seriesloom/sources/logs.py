@@ -32,3 +32,8 @@ def series_from_log(
     return summed.select(
         F.col("group_id").cast("string"), F.col("series_id").cast("string"), "ds", F.col("y").cast("double")
     )
+
+
+def normalize_geo(log: DataFrame, column: str = "geo") -> DataFrame:
+    """Country codes as the operators compare them: trimmed, in upper case. Apply when a log is landed."""
+    return log.withColumn(column, F.upper(F.trim(column)))

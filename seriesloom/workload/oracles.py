@@ -154,23 +154,12 @@ oracle(
     _DAILY,
     "SELECT group_id, series_id, ds, CASE WHEN ds <= DATE '1998-12-31' THEN y ELSE y * 2 END AS y FROM daily",
 )
-oracle(
-    "merge_batches",
-    ", ".join(
-        [
-            _DAILY,
-            """kept AS (SELECT * FROM daily WHERE series_id < '4'
-               OR ds BETWEEN DATE '1996-01-01' AND DATE '2000-12-31')""",
-            _grid("kept"),
-        ]
-    ),
-    "SELECT * FROM grid",
-)
+oracle("merge_batches", _GRID, "SELECT * FROM grid")
 oracle("complete_grid", _GRID, "SELECT * FROM grid")
 oracle(
     "batch_keywords",
     _DAILY,
-    "SELECT s_name AS keyword, s_suppkey AS ordinal, CAST(s_suppkey // 5 AS INTEGER) AS batch FROM supplier",
+    "SELECT s_name AS keyword, s_suppkey AS ordinal, CAST(s_suppkey // 7 AS INTEGER) AS batch FROM supplier",
 )
 oracle("write_raw", _DAILY, "SELECT group_id, series_id, ds, y, 'Worldwide' AS geo FROM daily")
 oracle(
@@ -206,6 +195,9 @@ oracle(
     """SELECT group_id, series_id, ds, round(n * 100 / max(n) OVER (PARTITION BY group_id)) AS y
        FROM counts JOIN names USING (series_id)""",
 )
+ORACLES["interest_over_time_sevens"] = (
+    ORACLES["interest_over_time_batched"].replace("// 5", "// 7").replace("date_trunc('week'", "date_trunc('month'")
+)
 oracle(
     "related_queries",
     """middle AS (SELECT min(ts) + (max(ts) - min(ts)) / 2 AS m FROM events),
@@ -468,7 +460,8 @@ def _freq(source: str) -> str:
         QUALIFY row_number() OVER (PARTITION BY group_id, series_id ORDER BY count(*) DESC, gap) = 1)"""
 
 
-_CLASS = "CASE WHEN gap = 7 THEN 'W' WHEN gap BETWEEN 28 AND 31 THEN 'M' ELSE 'D' END AS freq"
+_CLASS = """CASE WHEN gap = 7 THEN 'W' WHEN gap BETWEEN 28 AND 31 THEN 'M' WHEN gap BETWEEN 89 AND 92 THEN 'Q'
+       WHEN gap BETWEEN 365 AND 366 THEN 'Y' ELSE 'D' END AS freq"""
 for _name, _cte, _source in (("daily", _DAILY, "daily"), ("weekly", _WEEKLY, "weekly")):
     oracle(
         f"infer_freq_{_name}",
@@ -490,13 +483,40 @@ def _ahead(source: str, periods: int) -> str:
        ahead AS (SELECT l.group_id, l.series_id, CAST(s AS INTEGER) AS step,
          CASE WHEN gap = 7 THEN last + CAST(7 * s AS INTEGER)
               WHEN gap BETWEEN 28 AND 31 THEN CAST(last + to_months(CAST(s AS INTEGER)) AS DATE)
-              ELSE last + CAST(s AS INTEGER) END AS ds
+              WHEN gap BETWEEN 89 AND 92 THEN CAST(last + to_months(CAST(3 * s AS INTEGER)) AS DATE)
+              WHEN gap BETWEEN 365 AND 366 THEN CAST(last + to_years(CAST(s AS INTEGER)) AS DATE)
+              ELSE last + CAST(coalesce(gap, 1) * s AS INTEGER) END AS ds
          FROM lasts l LEFT JOIN common c ON c.group_id = l.group_id AND c.series_id = l.series_id,
           range(1, {periods + 1}) t(s))"""
 
 
 oracle("future_dates_weekly", f"{_WEEKLY}, {_ahead('weekly', 6)}", "SELECT * FROM ahead")
 oracle("future_dates_monthly", f"{_MONTHLY}, {_ahead('monthly', 6)}", "SELECT * FROM ahead")
+# The first day of the next period is found from the period itself, not by stepping from the last date.
+_MONTH_ENDS = f"""{_MONTHLY}, ends AS (SELECT group_id, series_id, last_day(ds) AS ds, y FROM monthly),
+  {_freq('ends')}"""
+oracle(
+    "infer_freq_month_end",
+    _MONTH_ENDS,
+    """SELECT group_id, series_id, CAST(gap AS INTEGER) AS gap_days,
+       CASE WHEN gap BETWEEN 28 AND 31 THEN 'ME' WHEN gap BETWEEN 89 AND 92 THEN 'QE' ELSE 'D' END AS freq FROM common""",
+)
+oracle(
+    "future_dates_month_end",
+    _MONTHLY,
+    """SELECT group_id, series_id, CAST(s AS INTEGER) AS step,
+       CAST(date_trunc('month', max(ds)) + to_months(CAST(s + 1 AS INTEGER)) AS DATE) - 1 AS ds
+       FROM monthly, range(1, 15) t(s) GROUP BY group_id, series_id, s""",
+)
+for _unit, _months in (("quarter", 3), ("year", 12)):
+    oracle(
+        f"future_dates_{_unit}ly",
+        _WEEKLY.replace("weekly AS", "periods AS").replace("'week'", f"'{_unit}'"),
+        f"""SELECT group_id, series_id, CAST(s AS INTEGER) AS step,
+       make_date(CAST((year(max(ds)) * 12 + month(max(ds)) - 1 + {_months} * s) // 12 AS BIGINT),
+        CAST((year(max(ds)) * 12 + month(max(ds)) - 1 + {_months} * s) % 12 + 1 AS BIGINT), 1) AS ds
+       FROM periods, range(1, 7) t(s) GROUP BY group_id, series_id, s""",
+    )
 oracle(
     "predict_horizon",
     f"{_WEEKLY}, {_ahead('weekly', 8)}",
@@ -517,12 +537,35 @@ oracle(
 
 def _corr(source: str, digits: int, condition: str) -> str:
     return f"""SELECT l.group_id, l.series_id AS a, r.series_id AS b, round(corr(l.y, r.y), {digits}) AS corr
-       FROM {source} l JOIN {source} r ON l.group_id = r.group_id AND l.ds = r.ds {condition} GROUP BY 1, 2, 3"""
+       FROM {source} l JOIN {source} r ON l.group_id = r.group_id AND l.ds = r.ds {condition}
+       JOIN requests p ON p.group_id = l.group_id AND p.series_id = l.series_id
+       JOIN requests q ON q.group_id = r.group_id AND q.series_id = r.series_id AND p.request = q.request
+       GROUP BY 1, 2, 3"""
+
 
+def _requests(source: str) -> str:
+    return f"""{{}}, requests AS (SELECT group_id, series_id,
+        (row_number() OVER (PARTITION BY group_id ORDER BY series_id) - 1) // 64 AS request
+        FROM (SELECT DISTINCT group_id, series_id FROM {source}))"""
 
-oracle("correlation_suppliers", _SUPPLIER, _corr("supplier_weekly", 6, ""))
-oracle("correlation_matrix", _DAILY, _corr("daily", 6, ""))
-oracle("correlation_lower", _NATION, _corr("nation_weekly", 2, "AND l.series_id > r.series_id"))
+
+for _name, _cte, _source, _digits, _which in (
+    ("correlation_suppliers", _SUPPLIER, "supplier_weekly", 6, ""),
+    ("correlation_matrix", _DAILY, "daily", 6, ""),
+    ("correlation_lower", _NATION, "nation_weekly", 2, "AND l.series_id > r.series_id"),
+    # Asked for from the last priority to the first.
+    ("correlation_lower_requested", _DAILY, "daily", 6, "AND l.series_id < r.series_id"),
+):
+    oracle(_name, _requests(_source).format(_cte), _corr(_source, _digits, _which))
+oracle(
+    "correlation_strongest",
+    _SUPPLIER,
+    """, pairs AS (SELECT l.group_id, l.series_id AS a, r.series_id AS b, corr(l.y, r.y) AS c
+        FROM supplier_weekly l JOIN supplier_weekly r ON l.group_id = r.group_id AND l.ds = r.ds
+        AND l.series_id <> r.series_id GROUP BY 1, 2, 3)
+       SELECT group_id, a, least(count(*), 3) AS n, round(max(abs(c)) FILTER (NOT isnan(c)), 6) AS strongest
+       FROM pairs GROUP BY 1, 2""",
+)
 
 
 def _decomposed(source: str, period: int) -> str:

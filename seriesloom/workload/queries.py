@@ -20,6 +20,7 @@ from ..plans.preprocess import preprocess
 from ..schema import KEYS, in_time
 from ..session import shared_dir, stage_table
 from ..sources import extracts, processed, results
+from ..sources.logs import normalize_geo
 from . import views
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -161,10 +162,7 @@ def merge_periods(spark, d):
 @query
 def merge_batches(spark, d):
     first = daily(spark, d).where(F.col("series_id").isin(PRIORITIES[:3]))
-    second = selection.filter_timeframe(
-        daily(spark, d).where(F.col("series_id").isin(PRIORITIES[3:])), "1996-01-01 2000-12-31"
-    )
-    return merging.merge_batches([first, second])
+    return merging.merge_batches([first, daily(spark, d).where(F.col("series_id").isin(PRIORITIES[3:]))])
 
 
 @query
@@ -231,9 +229,14 @@ def related_queries(spark, d):
     return demand.related_queries(log, EVENT_TYPES, 3)
 
 
+@query
+def interest_over_time_sevens(spark, d):
+    return demand.interest_over_time(views.table(spark, d, "events"), "user_id", "ts", "month", size=7)
+
+
 @query
 def trending(spark, d):
-    return demand.trending(orders_by_nation(spark, d), "NATION_7", 3, bucket="month")
+    return demand.trending(normalize_geo(orders_by_nation(spark, d)), "nation_7", 3, bucket="month")
 
 
 @query
@@ -559,6 +562,30 @@ def future_dates_monthly(spark, d):
     return horizon.future_dates(views.orders_series(spark, d, "month"), 6)
 
 
+def month_ends(spark, d):
+    return views.orders_series(spark, d, "month").withColumn("ds", F.last_day("ds"))
+
+
+@query
+def infer_freq_month_end(spark, d):
+    return horizon.infer_freq(month_ends(spark, d))
+
+
+@query
+def future_dates_month_end(spark, d):
+    return horizon.future_dates(month_ends(spark, d), 14)
+
+
+@query
+def future_dates_quarterly(spark, d):
+    return horizon.future_dates(views.orders_series(spark, d, "quarter"), 6)
+
+
+@query
+def future_dates_yearly(spark, d):
+    return horizon.future_dates(views.orders_series(spark, d, "year"), 6)
+
+
 @query
 def forecast(spark, d):
     """Both models, in original units."""
@@ -641,6 +668,19 @@ def correlation_lower(spark, d):
     return correlation.correlation_lower(views.nation_series(spark, d), 2)
 
 
+@query
+def correlation_lower_requested(spark, d):
+    """Series in the order they were asked for."""
+    return correlation.correlation_lower(daily(spark, d), 6, order=PRIORITIES[::-1])
+
+
+@query
+def correlation_strongest(spark, d):
+    """The three strongest partners of each supplier in its nation."""
+    best = correlation.correlation_matrix(views.supplier_series(spark, d), 6, size=8, top_k=3)
+    return best.groupBy("group_id", "a").agg(F.count("*").alias("n"), F.max(F.abs("corr")).alias("strongest"))
+
+
 @query
 def seasonal_decompose_weekly(spark, d):
     rows = decomposition.seasonal_decompose(weekly_filled(spark, d), 52)

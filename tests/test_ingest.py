@@ -9,6 +9,7 @@ from seriesloom.config import DataConfig
 from seriesloom.operators import cleaning, demand, merging, selection
 from seriesloom.plans.preprocess import preprocess
 from seriesloom.sources import extracts, processed, results
+from seriesloom.sources.logs import normalize_geo
 
 
 def test_wide_and_long(spark, year_wide, year_long):
@@ -96,15 +97,18 @@ def test_batches_meet_on_the_date(spark):
 
 def test_request_size():
     assert merging.check_request(list("abcde")) == list("abcde")
+    assert merging.check_request(list("abcdef"), 6) == list("abcdef")
     with pytest.raises(ValueError):
         merging.check_request(list("abcdef"))
     assert merging.split_keywords(" a, b ,,c") == ["a", "b", "c"]
 
 
-def test_batch_size_is_capped(spark):
+def test_batch_size_is_honoured(spark):
     words = spark.range(12).select(F.col("id").alias("ordinal"))
-    assert [r.batch for r in merging.batch_keywords(words, 9).orderBy("ordinal").collect()] == [0] * 5 + [1] * 5 + [2] * 2
-    assert [r.batch for r in merging.batch_keywords(words, 6 - 4).orderBy("ordinal").collect()][:4] == [0, 0, 1, 1]
+    assert [r.batch for r in merging.batch_keywords(words, 9).orderBy("ordinal").collect()] == [0] * 9 + [1] * 3
+    assert [r.batch for r in merging.batch_keywords(words).orderBy("ordinal").collect()] == [0] * 5 + [1] * 5 + [2] * 2
+    with pytest.raises(ValueError):
+        merging.batch_keywords(words, 0)
 
 
 def test_raw_and_processed_round_trip(spark, year_long, tmp_path):
@@ -145,8 +149,8 @@ def test_related_queries(spark):
     assert {r["series_id"] for r in found} == {"tea"}
     assert demand.related_queries(searches(spark).limit(0), ["tea"]).isEmpty()
     assert demand.related_queries(searches(spark), ["lone"]).isEmpty()
-    with pytest.raises(ValueError):
-        demand.related_queries(searches(spark), list("abcdef"))
+    many = ["tea", "milk", "cake", "lone", "x", "y", "z"]
+    assert {r["series_id"] for r in demand.related_queries(searches(spark), many).collect()} == {"tea", "milk", "cake"}
 
 
 def test_landed_related_queries(spark):
@@ -163,6 +167,11 @@ def test_trending(spark):
     out = demand.trending(searches(spark), "us").collect()
     assert [(r["query"], r["n"], r["rank"]) for r in out] == [("cake", 1, 1)]
     assert demand.trending(searches(spark), "FR").isEmpty() and demand.trending(searches(spark), "").isEmpty()
+    mixed = normalize_geo(searches(spark).withColumn("geo", F.when(F.col("query") == "milk", " us ").otherwise("Us")))
+    found = demand.trending(mixed, "uS", bucket="year").collect()
+    assert [(r["geo"], r["query"], r["n"], r["rank"]) for r in found] == [
+        ("US", "milk", 3, 1), ("US", "cake", 2, 2), ("US", "tea", 2, 3), ("US", "lone", 1, 4)
+    ]
 
 
 def test_interest_peaks_at_100_per_request(spark):

@@ -26,18 +26,17 @@ def test_metrics_and_edges(spark):
     assert {r["model"] for r in ranked if r["metric"] in ("r2", "mae")} == {"good"}
 
 
-@pytest.mark.parametrize("block", [64, 2])
-def test_correlation_with_gaps(spark, three_waves, block):
+def test_correlation_with_gaps(spark, three_waves):
     wide = three_waves.copy()
     wide["flat"] = 1.0
     wide.iloc[5:40, 0] = np.nan
     wide.iloc[:100, 1] = np.nan
     want = wide.corr()
-    got = correlation.correlation_matrix(long_frame(spark, wide), block=block).toPandas()
+    got = correlation.correlation_matrix(long_frame(spark, wide)).toPandas()
     assert len(got) == 16
     table = got.pivot(index="a", columns="b", values="corr").loc[want.index, want.columns]
     np.testing.assert_allclose(table.to_numpy(float), want.to_numpy(), atol=1e-9, equal_nan=True)
-    lower = correlation.correlation_lower(long_frame(spark, wide), block=block).toPandas()
+    lower = correlation.correlation_lower(long_frame(spark, wide)).toPandas()
     assert len(lower) == 6 and (lower["a"] > lower["b"]).all()
 
 
@@ -102,6 +101,19 @@ def test_frequency_and_dates(spark):
     assert forced["ds"] == day("2020-02-10")
 
 
+@pytest.mark.parametrize(
+    ("first", "rule", "freq"),
+    [("2020-01-31", "ME", "ME"), ("2020-01-31", "QE", "QE"), ("2019-12-31", "YE", "YE"), ("2020-01-01", "QS", "Q"),
+     ("2019-02-01", "12MS", "Y"), ("2020-01-15", "14D", "D"), ("2020-02-29", "ME", "ME")],
+)
+def test_steps_of_months_quarters_and_years(spark, first, rule, freq):
+    dates = pd.date_range(first, periods=9, freq=rule)
+    long = long_frame(spark, pd.DataFrame({"x": 1.0}, index=dates[:5]))
+    assert horizon.infer_freq(long).first()["freq"] == freq
+    ahead = [r["ds"] for r in horizon.future_dates(long, 4).orderBy("step").collect()]
+    assert ahead == [d.date() for d in dates[5:]]
+
+
 def test_forecast_tables(spark):
     rows = [("g", "s", "up", day("2020-02-01"), 1.0), ("g", "s", "up", day("2020-02-02"), 3.06)]
     rows += [("g", "s", "same", day("2020-02-01"), 2.0), ("g", "s", "same", day("2020-02-02"), 2.0)]

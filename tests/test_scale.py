@@ -60,16 +60,28 @@ def test_batches_of_many_keys_against_brute_force(spark):
     assert len(names) == 123 and dict(zip(got["series_id"], got["group_id"])) == want
 
 
-def test_group_larger_than_a_block(spark):
+def test_group_larger_than_a_request(spark):
     wide = spark.range(40 * 25).select(
         F.lit("g").alias("group_id"),
         F.format_string("s%03d", F.col("id") % 25).alias("series_id"),
         F.date_add(F.lit(day("2024-01-01")), (F.col("id") / 25).cast("int")).alias("ds"),
         F.sin(F.col("id") * F.col("id")).alias("y"),
     )
-    got = correlation.correlation_matrix(wide, block=4).toPandas().pivot(index="a", columns="b", values="corr")
     want = wide.toPandas().pivot(index="ds", columns="series_id", values="y").corr()
-    assert got.shape == (25, 25) and abs(got.to_numpy(float) - want.to_numpy()).max() < 1e-9
+    whole = correlation.correlation_matrix(wide).toPandas().pivot(index="a", columns="b", values="corr")
+    assert whole.shape == (25, 25) and abs(whole.to_numpy(float) - want.to_numpy()).max() < 1e-9
+    cut = correlation.correlation_matrix(wide, size=4).toPandas()
+    names = list(want.columns)
+    assert len(cut) == 6 * 16 + 1 and all(names.index(a) // 4 == names.index(b) // 4 for a, b in zip(cut["a"], cut["b"]))
+    best = correlation.correlation_matrix(wide, size=4, top_k=3).toPandas()
+    for name in names:
+        own = want[name].drop(name)
+        strongest = own.reindex(own.abs().sort_values(ascending=False).index)[:3]
+        got = best[best["a"] == name].set_index("b")["corr"]
+        assert set(got.index) == set(strongest.index) and abs(got - strongest[got.index]).max() < 1e-9
+    rows = correlation.correlation_lower(wide, size=25, order=["s007", "s003"]).toPandas()
+    assert len(rows) == 300 and not (rows["a"] == "s007").any()
+    assert set(rows.loc[rows["a"] == "s003", "b"]) == {"s007"} and len(rows[rows["b"] == "s007"]) == 24
 
 
 def test_top_k_is_limited_before_the_shuffle(spark):
@@ -95,6 +107,49 @@ def test_grid_costs_one_shuffle_of_rows(spark, tmp_path):
     assert "SortMergeJoin" in final or "BroadcastHashJoin" in final
 
 
+@pytest.fixture
+def no_broadcast(spark):
+    names = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    for name in names:
+        spark.conf.set(name, -1)
+    # So small a table would be merged into one partition whatever its distribution.
+    merging_name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(merging_name, "false")
+    yield
+    for name in [*names, merging_name]:
+        spark.conf.unset(name)
+
+
+@pytest.mark.parametrize("literal", [True, False])
+def test_grid_of_one_hot_group_is_many_tasks(spark, no_broadcast, literal):
+    rows = spark.range(400 * 50).select(
+        (F.lit("g") if literal else F.concat(F.lit("g"), F.col("id") * 0)).alias("group_id"),
+        F.concat(F.lit("s"), F.col("id") % 400).alias("series_id"),
+        F.date_add(F.lit(day("2024-01-01")), (F.floor(F.col("id") / 400) * 3 + F.col("id") % 3).cast("int")).alias("ds"),
+        F.col("id").cast("double").alias("y"),
+    )
+    filled = cleaning.fill_time(merging.complete_grid(rows))
+    assert "CartesianProduct" not in plan_of(filled) and "NestedLoop" not in plan_of(filled)
+    dates = rows.select("ds").distinct().count()
+    spread = filled.withColumn("task", F.spark_partition_id())
+    assert spread.select("task").distinct().count() > 1
+    assert filled.count() == 400 * dates and filled.where("y is null").isEmpty()
+
+
+def test_requests_do_not_depend_on_shared_exchanges(spark):
+    log = hot_log(spark, 6_000)
+    want = {tuple(r) for r in demand.interest_over_time(log, "user_id", "ts", "month").collect()}
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        assert {tuple(r) for r in demand.interest_over_time(log, "user_id", "ts", "month").collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    sizes = {}
+    for group, series, *_ in want:
+        sizes.setdefault(group, set()).add(series)
+    assert sorted(map(len, sizes.values()))[1:] == [5] * (len(sizes) - 1)
+
+
 def test_entry_has_rows(spark):
     df = entry.entry(spark)
     assert df.columns[:4] == ["group_id", "series_id", "ds", "y"] and not df.isEmpty()
