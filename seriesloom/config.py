@@ -7,16 +7,16 @@ from dataclasses import asdict, dataclass, field, fields
 import yaml
 
 
+# The defaults below are those a user of such settings expects.
+
+
 @dataclass(frozen=True)
 class DataConfig:
     geo: str = ""  # worldwide
     timeframe: str = "today 5-y"
-    language: str = "en-US"
     normalize: bool = True
     interpolate_missing: bool = True
     smoothing_window: int = 7
-    raw_data_path: str = "./data/raw"
-    processed_data_path: str = "./data/processed"
     # The defaults fit the scaler on all rows and smooth with a centered frame,
     # which lets test rows influence training rows. These two switch that off.
     fit_on: str = "all"  # or "train"
@@ -41,18 +41,23 @@ class ModelConfig:
     seasonality_mode: str = "additive"
     yearly_seasonality: bool = True
     weekly_seasonality: bool = True
-    daily_seasonality: bool = False
+    daily_seasonality: bool = False  # series are days or longer, on which a daily wave is constant; True is refused
     interval_width: float = 0.95
     uncertainty_samples: int = 1000
     custom_seasonalities: tuple = ()
-    model_save_path: str = "./models"
+    # most rounds of a fit, and passes between trend and multiplicative seasons; the parameters say whether it settled
+    fit_rounds: int = 300
+    fit_passes: int = 15
+
+    def __post_init__(self):
+        if self.daily_seasonality:
+            raise ValueError("daily_seasonality needs series finer than a day")
 
 
 @dataclass(frozen=True)
 class AppConfig:
     data: DataConfig = field(default_factory=DataConfig)
     model: ModelConfig = field(default_factory=ModelConfig)
-    log_level: str = "INFO"
 
     @classmethod
     def from_yaml(cls, path: str) -> "AppConfig":
@@ -62,7 +67,6 @@ class AppConfig:
         return cls(
             data=_section(DataConfig, raw.get("data")),
             model=_section(ModelConfig, raw.get("model")),
-            log_level=raw.get("log_level", cls.log_level),
         )
 
     def to_yaml(self, path: str) -> None:

@@ -50,6 +50,8 @@ PARAMS_SCHEMA = (
     .add("n_obs", "long")
     .add("last_ds", "date")
     .add("changepoint_prior_scale", "double")
+    .add("passes", "integer")
+    .add("converged", "boolean")
     .add("error", "string")
 )
 FORECAST_SCHEMA = "group_id string, series_id string, ds date, yhat double, yhat_lower double, yhat_upper double"
@@ -222,9 +224,9 @@ def cv_cutoffs(df: DataFrame, initial: int = 730, period: int = 180, horizon: in
     )
 
 
-_CV_NAMES = ["group_id", "series_id", "cutoff", "ds", "y", "yhat", "yhat_lower", "yhat_upper"]
-_CV_SCHEMA = ", ".join(
-    f"{name} {kind}" for name, kind in zip(_CV_NAMES, ["string"] * 2 + ["date"] * 2 + ["double"] * 4)
+_CV_SCHEMA = (
+    "group_id string, series_id string, cutoff date, ds date, y double, yhat double, yhat_lower double, "
+    "yhat_upper double, error string"
 )
 
 
@@ -233,45 +235,57 @@ def cross_validate(
 ) -> DataFrame:
     """Rolling-origin forecasts: fit up to each cutoff, score the horizon after it.
 
-    A series meets its cutoffs in one task, which fits them in turn, so history
-    is not copied per cutoff. A series that is too short, or a fit that fails,
-    gives no rows.
+    Each cutoff of a series is a task's work of its own, with the history up to it;
+    a series comes at most (span - initial - horizon) / period + 1 times. A series too
+    short for a cutoff, a cutoff without rows to score and a fit that fails give a row
+    with ``error`` and no date; see ``cv_errors``.
     """
     cutoffs = cv_cutoffs(df, initial, period, horizon)
+    rows = _observations(df)
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    reach = F.unix_date("cutoff") + horizon
+    dealt = rows.join(cutoffs, KEYS).where(F.col("day") <= reach).repartition(tasks, *KEYS, "cutoff")
+
+    def score(rows: pd.DataFrame) -> pd.DataFrame:
+        group, series, cutoff = (rows[c].iat[0] for c in (*KEYS, "cutoff"))
+        edge = _day(cutoff)
+        past, ahead = rows[rows["day"] <= edge], rows[rows["day"] > edge].sort_values("day")
+        try:
+            if ahead.empty:
+                raise ValueError("No rows after the cutoff")
+            params = _fit_arrays(*[past[c].to_numpy() for c in _FIT_INPUTS], config)
+            days = ahead["day"].to_numpy()
+            seed = _seed(config.random_state, group, series, cutoff.isoformat())
+            values = map_fit.simulate(params, days, config.uncertainty_samples, config.interval_width, seed)
+        except _FIT_FAILURES as problem:
+            failed = pd.DataFrame({"group_id": [group], "series_id": [series], "cutoff": [cutoff], "ds": [None]})
+            return failed.assign(y=np.nan, yhat=np.nan, yhat_lower=np.nan, yhat_upper=np.nan, error=str(problem))
+        part = _interval_rows(group, series, [_date(d) for d in days], *values)
+        part.insert(2, "cutoff", cutoff)
+        part.insert(4, "y", ahead["mean"].to_numpy())
+        return part.assign(error=None)
+
+    scored = dealt.groupBy(*KEYS, "cutoff").applyInPandas(score, _CV_SCHEMA)
+    short = df.select(*KEYS).distinct().join(cutoffs.select(*KEYS).distinct(), KEYS, "left_anti")
+    names = [part.split()[0] for part in _CV_SCHEMA.split(", ")]
+    empty = {c: F.lit(None) for c in names if c not in KEYS}
+    empty["error"] = F.lit("Too short for a cutoff")
+    return scored.unionByName(short.select(*KEYS, *[v.alias(c) for c, v in empty.items()]))
+
 
-    def score(rows: pd.DataFrame, cuts: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        if len(rows) and len(cuts):
-            group, series = rows["group_id"].iat[0], rows["series_id"].iat[0]
-            for cutoff in sorted(cuts["cutoff"]):
-                edge = _day(cutoff)
-                past = rows[rows["day"] <= edge]
-                ahead = rows[(rows["day"] > edge) & (rows["day"] <= edge + horizon)].sort_values("day")
-                if ahead.empty:
-                    continue
-                try:
-                    params = _fit_arrays(*[past[c].to_numpy() for c in _FIT_INPUTS], config)
-                except _FIT_FAILURES:
-                    continue
-                days = ahead["day"].to_numpy()
-                seed = _seed(config.random_state, group, series, cutoff.isoformat())
-                values = map_fit.simulate(params, days, config.uncertainty_samples, config.interval_width, seed)
-                part = _interval_rows(group, series, [_date(d) for d in days], *values)
-                part.insert(2, "cutoff", cutoff)
-                part.insert(4, "y", ahead["mean"].to_numpy())
-                parts.append(part)
-        return pd.concat(parts)[_CV_NAMES] if parts else pd.DataFrame(columns=_CV_NAMES)
-
-    history = spread_series(_observations(df)).groupBy(*KEYS)
-    return history.cogroup(spread_series(cutoffs).groupBy(*KEYS)).applyInPandas(score, _CV_SCHEMA)
+def cv_errors(scored: DataFrame) -> DataFrame:
+    """The series and cutoffs that could not be scored, and why."""
+    return scored.where(F.col("error").isNotNull()).select(*KEYS, "cutoff", "error")
 
 
 def cv_metrics(scored: DataFrame) -> DataFrame:
     """cv_rmse, cv_mae, cv_mape (a fraction) and cv_coverage of each series.
 
     Each is taken per day of the horizon and averaged over the days. Days with a
-    zero actual have no mape.
+    zero actual have no mape. Rows with an ``error`` take no part.
     """
+    if "error" in scored.columns:
+        scored = scored.where(F.col("error").isNull())
     error = F.col("y") - F.col("yhat")
     inside = (F.col("y") >= F.col("yhat_lower")) & (F.col("y") <= F.col("yhat_upper"))
     by_day = scored.groupBy(*KEYS, F.datediff("ds", "cutoff").alias("h")).agg(

@@ -17,7 +17,7 @@ import numpy as np
 # Fixed values of the published model.
 GROWTH_PRIOR = 5.0  # standard deviation of k and m
 NOISE_PRIOR = 0.5  # scale of the half-normal prior of sigma
-ORDERS = {"yearly": (365.25, 10), "weekly": (7.0, 3), "daily": (1.0, 4)}
+ORDERS = {"yearly": (365.25, 10), "weekly": (7.0, 3)}
 
 
 @dataclass
@@ -31,11 +31,7 @@ class Term:
 
 def terms_of(config) -> list[Term]:
     """Seasonal terms the settings ask for, custom ones last."""
-    asked = {
-        "yearly": config.yearly_seasonality,
-        "weekly": config.weekly_seasonality,
-        "daily": config.daily_seasonality,
-    }
+    asked = {"yearly": config.yearly_seasonality, "weekly": config.weekly_seasonality}
     mode, prior = config.seasonality_mode, config.seasonality_prior_scale
     terms = [Term(n, *ORDERS[n], mode, prior) for n, wanted in asked.items() if wanted]
     for extra in config.custom_seasonalities:
@@ -98,6 +94,7 @@ def _fit_linear(design, y, w, n, within, laplace: np.ndarray, normal: np.ndarray
     size = np.full(design.shape[1], tau)
     beta = np.zeros(design.shape[1])
     floor = 1e-3
+    settled = False
     for _ in range(rounds):
         penalty = np.where(laplace, sigma**2 / (tau * np.maximum(size, floor)), sigma**2 / normal**2)
         new = ridge.solve(penalty + 1e-10)
@@ -106,8 +103,9 @@ def _fit_linear(design, y, w, n, within, laplace: np.ndarray, normal: np.ndarray
         beta, size = new, np.abs(new)
         floor = max(floor * 0.6, 1e-9)
         if moved < 1e-7 and floor <= 1e-6:
+            settled = True
             break
-    return beta, sigma
+    return beta, sigma, settled
 
 
 def fit_map(days: np.ndarray, mean: np.ndarray, weight: np.ndarray, within: float, config) -> dict:
@@ -143,23 +141,23 @@ def fit_map(days: np.ndarray, mean: np.ndarray, weight: np.ndarray, within: floa
         prior[mode] = np.concatenate([np.full(2 * s.order, s.prior) for s in members]) if members else np.empty(0)
 
     share = np.zeros(matrix["multiplicative"].shape[1])
-    sigma, rounds = 0.1, 40
+    sigma, settled = 0.1, False
     width = base.shape[1]
-    passes = 15 if len(share) else 1
-    for _ in range(passes):
+    passes = config.fit_passes if len(share) else 1
+    for done_passes in range(1, passes + 1):
         # Given the multiplicative share the model is linear, and given the trend
         # the share is; alternate between the two.
         factor = 1 + matrix["multiplicative"] @ share
         design = np.hstack([base * factor[:, None], matrix["additive"]])
         kind = np.r_[laplace, np.zeros(matrix["additive"].shape[1], bool)]
-        beta, sigma = _fit_linear(
-            design, y, weight, n, within, kind, np.r_[growth, prior["additive"]], tau, sigma, rounds
+        beta, sigma, settled = _fit_linear(
+            design, y, weight, n, within, kind, np.r_[growth, prior["additive"]], tau, sigma, config.fit_rounds
         )
         if not len(share):
             break
         level = base @ beta[:width]
         rest = y - level - matrix["additive"] @ beta[width:]
-        new, sigma = _fit_linear(
+        new, sigma, _ = _fit_linear(
             matrix["multiplicative"] * level[:, None],
             rest,
             weight,
@@ -171,10 +169,11 @@ def fit_map(days: np.ndarray, mean: np.ndarray, weight: np.ndarray, within: floa
             sigma,
             10,
         )
-        done = np.max(np.abs(new - share)) < 1e-6
+        steady = np.max(np.abs(new - share)) < 1e-6
         share = new
-        if done:
+        if steady:
             break
+        settled = False
 
     coefs = {"additive": beta[width:], "multiplicative": share}
     fitted, at = [], {"additive": 0, "multiplicative": 0}
@@ -194,6 +193,8 @@ def fit_map(days: np.ndarray, mean: np.ndarray, weight: np.ndarray, within: floa
         "terms": fitted,
         "n_obs": int(n),
         "last_day": int(days[-1]),
+        "passes": done_passes,
+        "converged": bool(settled),
     }
 
 

@@ -7,7 +7,7 @@ over the data; 'gbt' are boosted trees that stop early on the val windows.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression, LinearRegressionModel
@@ -27,7 +27,7 @@ MODEL_NAME = "sequence"
 
 @dataclass
 class SequenceModel:
-    """A fitted regression with the shape of its windows."""
+    """A fitted regression with the shape of its windows, and its ``training_history``."""
 
     model: LinearRegressionModel | GBTRegressionModel
     kind: str
@@ -77,7 +77,7 @@ def fit_sequence(
             solver="normal", regParam=config.sequence_reg, elasticNetParam=0.0, aggregationDepth=3
         )
         model = solver.fit(ready.where(F.col("split") == "train"))
-        return SequenceModel(model, "linear", config.sequence_length, inputs, direct)
+        return _with_history(SequenceModel(model, "linear", config.sequence_length, inputs, direct), sequences)
     if config.sequence_kind == "gbt":
         flagged = ready.withColumn("is_val", F.col("split") == "val")
         trees = GBTRegressor(
@@ -85,10 +85,14 @@ def fit_sequence(
         )
         has_val = not flagged.where("is_val").select("is_val").isEmpty()
         model = (trees.setValidationIndicatorCol("is_val") if has_val else trees).fit(flagged)
-        return SequenceModel(model, "gbt", config.sequence_length, inputs, direct)
+        return _with_history(SequenceModel(model, "gbt", config.sequence_length, inputs, direct), sequences)
     raise ValueError(f"Unknown sequence model: {config.sequence_kind}. Known: ['linear', 'gbt']")
 
 
+def _with_history(model: SequenceModel, sequences: DataFrame) -> SequenceModel:
+    return replace(model, history=training_history(model, sequences))
+
+
 def sequence_errors(split_df: DataFrame, sequences: DataFrame) -> DataFrame:
     """Series without a single training window."""
     trained = sequences.where(F.col("split") == "train").select(*KEYS).distinct()

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 import json
-from dataclasses import asdict, replace
+from collections.abc import Callable
+from dataclasses import asdict, dataclass, replace
 
 from pyspark.errors import AnalysisException
 from pyspark.ml.regression import GBTRegressionModel, LinearRegressionModel
@@ -13,16 +14,35 @@ from pyspark.sql import DataFrame, SparkSession
 from ..config import ModelConfig
 from . import additive, sequence
 
-# The registry: model type → what trains it. ``register`` adds a type.
+
+
+@dataclass(frozen=True)
+class TableModel:
+    """A model type whose models are a table, a row for each series.
+
+    ``fit(rows, config)`` makes it of processed rows, and ``predict(models, dates,
+    keep)`` gives ``yhat`` for the dates of a table, next to the columns to keep.
+    """
+
+    fit: Callable
+    predict: Callable
+
+
+# The registry: model type → how it is trained. ``plans.forecasting`` trains, scores
+# and forecasts the types named here; ``register`` adds one.
 _TYPES = {
-    additive.MODEL_NAME: additive.fit_additive,
+    additive.MODEL_NAME: TableModel(additive.fit_additive, additive.predict_dates),
     sequence.MODEL_NAME: sequence.fit_sequence,
 }
 _SEQUENCE_KINDS = {"linear": LinearRegressionModel, "gbt": GBTRegressionModel}
 
 
-def register(name: str, fit) -> None:
-    _TYPES[name] = fit
+def register(name: str, kind) -> None:
+    _TYPES[name] = kind
+
+
+def unregister(name: str) -> None:
+    del _TYPES[name]
 
 
 def list_models() -> list[str]:
@@ -101,7 +121,17 @@ def load_sequence(spark: SparkSession, path: str) -> sequence.SequenceModel:
     kind = about.get("kind", defaults.sequence_kind)
     model = _SEQUENCE_KINDS[kind].load(f"{path}/model")
     features = about.get("feature_names") or ["y", *sequence.CALENDAR_FEATURES]
-    return sequence.SequenceModel(model, kind, about.get("length", defaults.sequence_length), features, about.get("direct", False))
+    length = about.get("length", defaults.sequence_length)
+    return sequence.SequenceModel(model, kind, length, features, about.get("direct", False), _history(spark, path))
+
+
+def _history(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.schema("iteration int, metric string, value double").parquet(f"{path}/history")
+    except AnalysisException as missing:
+        if missing.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def model_summary(metadata: dict, metrics: dict | None = None) -> str:

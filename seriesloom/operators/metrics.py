@@ -43,13 +43,17 @@ def to_long_metrics(wide: DataFrame, names=METRICS, by=(*KEYS, "model")) -> Data
     return wide.unpivot(list(by), list(names), "metric", "value")
 
 
-def metrics_table(metrics: DataFrame, names: list[str], digits: int | None = 4, by=(*KEYS, "model")) -> DataFrame:
+def metrics_table(
+    metrics: DataFrame, names: list[str] | None = None, digits: int | None = 4, by=(*KEYS, "model")
+) -> DataFrame:
     """Model × metric matrix; a missing or NaN metric is null.
 
-    The names are given, so that the pivot needs no job to find them.
+    Without ``names`` the columns are all metrics that occur, sorted, which costs a
+    job to find them; names that are given are the columns, and no others.
     """
     usable = metrics.where(~F.isnan("value"))
-    table = usable.groupBy(*by).pivot("metric", list(names)).agg(F.first("value"))
+    names = metric_names(metrics) if names is None else list(names)
+    table = usable.groupBy(*by).pivot("metric", names).agg(F.first("value"))
     if digits is None:
         return table
     return table.withColumns({n: F.round(n, digits) for n in names})

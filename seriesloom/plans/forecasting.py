@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import AppConfig, ModelConfig
-from ..models import additive, sequence
+from ..models import additive, sequence, store
 from ..operators.horizon import future_dates
 from ..operators.metrics import METRICS, regression_metrics, to_long_metrics
 from ..operators.reports import report_tables
@@ -33,10 +33,14 @@ ERRORS_SCHEMA = "group_id string, series_id string, model string, stage string,
 
 @dataclass
 class Trained:
-    """Models by type; ``errors`` says which series or types failed, and where."""
+    """Models by type; ``errors`` says which series or types failed, and where.
+
+    ``tables`` has those of registered types beside the additive one.
+    """
 
     additive: DataFrame | None = None
     sequence: sequence.SequenceModel | None = None
+    tables: dict[str, DataFrame] = field(default_factory=dict)
     errors: list[DataFrame] = field(default_factory=list)
     names: list[str] = field(default_factory=list)
 
@@ -60,7 +64,7 @@ def _type_error(split_df: DataFrame, model: str, stage: str, problem: Exception)
 def train_models(
     split_df: DataFrame, types=ALL_TYPES, config: ModelConfig = ModelConfig(), periods: int = 30
 ) -> Trained:
-    """Fit every type asked for. An unknown type is skipped, a failing one isolated.
+    """Fit every registered type asked for. An unknown type is skipped, a failing one isolated.
 
     Boosted trees forecast each step directly, so they are trained for ``periods``
     steps ahead.
@@ -78,6 +82,9 @@ def train_models(
                 windows = split_sequences(split_df, config.sequence_length, steps=steps)
                 out.sequence = sequence.fit_sequence(windows, config)
                 out.errors.append(sequence.sequence_errors(split_df, windows))
+            elif kind in store.list_models():
+                rows = split_df.where(F.col("split") != "test")
+                out.tables[kind] = stage_table(store.get_model(kind).fit(rows, config), f"{kind}-models")
             else:
                 log.warning("Unknown model type: %s", kind)
                 continue
@@ -97,12 +104,17 @@ def score_test(trained: Trained, split_df: DataFrame, config: ModelConfig = Mode
     if trained.sequence is not None:
         windows = split_sequences(split_df, config.sequence_length).where(F.col("split") == "test")
         scored[sequence.MODEL_NAME] = sequence.predict_sequence_batch(trained.sequence, windows)
+    for name, models in trained.tables.items():
+        test = split_df.where(F.col("split") == "test")
+        scored[name] = store.get_model(name).predict(models, test, keep=("y",))
     return scored
 
 
 def _model_metrics(trained: Trained, model: str, scored: DataFrame) -> DataFrame:
     """metrics rows of one model type: the common five, and its own."""
     common = regression_metrics(scored, KEYS)
+    if model in trained.tables:
+        return to_long_metrics(common.withColumn("model", F.lit(model)))
     if model == additive.MODEL_NAME:
         own = additive.usable(trained.additive).select(*KEYS, "changepoint_prior_scale")
         names = [*METRICS, "changepoint_prior_scale"]
@@ -138,6 +150,7 @@ def _one_by_one(trained: Trained, like: DataFrame, stage: str, build) -> list[Da
             trained,
             additive=trained.additive if name == additive.MODEL_NAME else None,
             sequence=trained.sequence if name == sequence.MODEL_NAME else None,
+            tables={k: v for k, v in trained.tables.items() if k == name},
         )
         try:
             done.append(stage_table(build(single), f"{stage}-{name}"))
@@ -155,18 +168,27 @@ def forecast(
     freq: str | None = None,
     scalers: DataFrame | None = None,
     compat_roll: bool = False,
+    intervals: bool = True,
 ) -> DataFrame:
     """forecasts(group_id, series_id, model, ds, yhat, yhat_lower, yhat_upper).
 
     Dates follow the last row of each series by its own step. With ``scalers``
-    values are in original units.
+    values are in original units. Without ``intervals`` no futures are simulated:
+    yhat is then a column expression and the bounds are null.
     """
     future = future_dates(processed, periods, freq)
     none = F.lit(None).cast("double")
     parts = []
     if trained.additive is not None:
-        ahead = additive.predict_interval(trained.additive, future, config)
+        if intervals:
+            ahead = additive.predict_interval(trained.additive, future, config)
+        else:
+            ahead = additive.predict_dates(trained.additive, future)
+            ahead = ahead.withColumns({"yhat_lower": none, "yhat_upper": none})
         parts.append(ahead.withColumn("model", F.lit(additive.MODEL_NAME)))
+    for name, models in trained.tables.items():
+        ahead = store.get_model(name).predict(models, future)
+        parts.append(ahead.withColumns({"yhat_lower": none, "yhat_upper": none, "model": F.lit(name)}))
     if trained.sequence is not None:
         fitted = trained.sequence
         lengths = adaptive_length(prepare(processed, config), fitted.length)
@@ -208,19 +230,21 @@ def run(
     freq: str | None = None,
     output: str | None = None,
     original_units: bool = False,
+    intervals: bool = True,
 ) -> dict:
     """Preprocess, train, score, forecast and report; all series unless one is named.
 
-    The processed rows are read by every later step, so they are written once to
-    the shared folder. A model type that fails at any step is reported in
+    The raw, the processed and the split rows are read by several later steps, so
+    each is written once to the shared folder. A model type that fails at any step is reported in
     ``errors`` and the others go on. With ``output`` predictions and summary are
     written there.
     """
+    raw = stage_table(raw, "raw")
     prepared = preprocess(raw, config.data, target, select=True, model_config=config.model)
     rows = stage_table(prepared.rows, "processed")
     processed = replace(prepared, rows=rows)
     scalers = processed.scalers
-    split_df = prepare(processed.data, config.model)
+    split_df = stage_table(prepare(processed.data, config.model), "split")
     trained = train_models(split_df, types, config.model, periods)
     metrics = _union(
         _one_by_one(
@@ -237,7 +261,7 @@ def run(
             trained,
             raw,
             "forecast",
-            lambda single: forecast(single, processed.data, periods, config.model, freq, scalers),
+            lambda single: forecast(single, processed.data, periods, config.model, freq, scalers, intervals=intervals),
         ),
         raw,
         FORECASTS_SCHEMA,

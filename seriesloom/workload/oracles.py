@@ -383,7 +383,7 @@ oracle("cv_cutoffs", f"{_DAILY}, {_CUTOFFS}", "SELECT * FROM cutoffs")
 oracle(
     "cross_validate",
     f"{_DAILY}, {_CUTOFFS}",
-    """SELECT c.group_id, c.series_id, cutoff, count(*) AS n, min(ds) AS first_ds, max(ds) AS last_ds, sum(y) AS y_sum
+    """SELECT c.group_id, c.series_id, cutoff, count(*) AS n, min(ds) AS first_ds, max(ds) AS last_ds, sum(y) AS y_sum, true AS good
        FROM cutoffs c JOIN daily d ON c.group_id = d.group_id AND c.series_id = d.series_id
         AND d.ds > cutoff AND d.ds <= cutoff + 90 GROUP BY 1, 2, 3""",
 )
@@ -417,9 +417,106 @@ oracle(
 oracle(
     "evaluate",
     _DAILY,
-    """SELECT group_id, series_id, 'additive' AS model, metric, true AS scored
-       FROM (SELECT DISTINCT group_id, series_id FROM daily),
-        (VALUES ('mae'), ('mse'), ('rmse'), ('mape'), ('r2'), ('changepoint_prior_scale')) t(metric)""",
+    """SELECT group_id, series_id, model, metric, true AS scored FROM (SELECT DISTINCT group_id, series_id FROM daily),
+        (SELECT 'additive' AS model, unnest(['mae', 'mse', 'rmse', 'mape', 'r2', 'changepoint_prior_scale']) AS metric
+         UNION ALL SELECT 'sequence', unnest(['mae', 'mse', 'rmse', 'mape', 'r2', 'test_loss', 'test_mae', 'test_mape']))""",
+)
+oracle(
+    "fit_additive_line",
+    _WEEKLY,
+    """SELECT group_id, series_id, round(regr_slope(y, ds - t0), 0) AS slope, round(regr_intercept(y, ds - t0) / 1000, 0) AS level
+       FROM weekly JOIN (SELECT group_id, series_id, min(ds) AS t0 FROM weekly GROUP BY 1, 2) USING (group_id, series_id)
+       GROUP BY 1, 2""",
+)
+_GIVEN = f"""{_DAILY}, timed AS (SELECT *, (ds - DATE '1995-01-01') / 1000.0::DOUBLE AS t, ds - DATE '1970-01-01' AS n,
+    length(series_id) * 100.0::DOUBLE AS unit FROM daily),
+  parts AS (SELECT *,
+    (1.25::DOUBLE + 0.5::DOUBLE * t + 0.1::DOUBLE * greatest(t - 0.25::DOUBLE, 0) - 0.2::DOUBLE * greatest(t - 0.5::DOUBLE, 0)) * unit AS trend,
+    0.1::DOUBLE * sin(2 * pi() * n / 365.25) + 0.05::DOUBLE * cos(2 * pi() * n / 365.25)
+     + 0.01::DOUBLE * sin(4 * pi() * n / 365.25) + 0.02::DOUBLE * cos(4 * pi() * n / 365.25) AS yearly,
+    (0.02::DOUBLE * sin(2 * pi() * n / 7) - 0.03::DOUBLE * cos(2 * pi() * n / 7)) * unit AS weekly FROM timed)"""
+oracle("predict_dates_given", _GIVEN, "SELECT group_id, series_id, ds, round(trend * (1 + yearly) + weekly, 5) AS yhat FROM parts")
+oracle(
+    "components_given",
+    _GIVEN,
+    """SELECT group_id, series_id, ds, round(trend, 5) AS trend, round(yearly, 5) AS yearly, round(weekly, 5) AS weekly
+       FROM parts""",
+)
+oracle(
+    "component_importance_given",
+    _GIVEN,
+    """, spread AS (SELECT group_id, series_id, stddev_pop(trend) AS a, stddev_pop(yearly) AS b, stddev_pop(weekly) AS c
+        FROM parts GROUP BY 1, 2)
+       SELECT group_id, series_id, unnest(['trend', 'yearly', 'weekly']) AS component,
+        round(unnest([a, b, c]) / (a + b + c) * 100, 6) AS importance FROM spread""",
+)
+oracle(
+    "cross_validation_errors",
+    _EVENTS,
+    """SELECT DISTINCT group_id, series_id, CAST(NULL AS DATE) AS cutoff, 'Too short for a cutoff' AS error
+       FROM events_daily""",
+)
+oracle(
+    "cv_metrics",
+    _DAILY,
+    """SELECT DISTINCT group_id, series_id, true AS cv_rmse, true AS cv_mae, true AS cv_mape, true AS cv_coverage
+       FROM daily""",
+)
+oracle(
+    "cv_metrics_lagged",
+    f"{_FILLED}, {_LAGGED}, {_CUTOFFS.replace('FROM daily', 'FROM filled')}",
+    """, scored AS (SELECT f.group_id, f.series_id, ds - cutoff AS h, y, yhat FROM forecasts f JOIN cutoffs c
+         ON c.group_id = f.group_id AND c.series_id = f.series_id AND ds > cutoff AND ds <= cutoff + 90 WHERE model = 'lag7'),
+       by_day AS (SELECT group_id, series_id, h, sqrt(avg((y - yhat) * (y - yhat))) AS rmse, avg(abs(y - yhat)) AS mae,
+         avg(CASE WHEN y <> 0 THEN abs((y - yhat) / y) END) AS mape,
+         avg(CASE WHEN y >= yhat * 0.5::DOUBLE AND y <= yhat * 1.5::DOUBLE THEN 1.0::DOUBLE ELSE 0 END) AS coverage FROM scored GROUP BY 1, 2, 3)
+       SELECT group_id, series_id, round(avg(rmse), 1) AS cv_rmse, round(avg(mae), 1) AS cv_mae,
+        round(avg(mape), 6) AS cv_mape, round(avg(coverage), 9) AS cv_coverage FROM by_day GROUP BY 1, 2""",
+)
+_GRID_SPLIT = f"{_GRID}, {_SPLIT.format(source='grid')}"
+oracle("predict_dates", _GRID_SPLIT, "SELECT group_id, series_id, ds, true AS forecast FROM split WHERE split = 'test'")
+oracle("components", _GRID, "SELECT group_id, series_id, ds, true AS trend, true AS yearly, true AS weekly FROM grid")
+_WINDOWED = f"""{_GRID_SPLIT}, sized AS (SELECT group_id, series_id, split, count(*) AS n FROM split GROUP BY 1, 2, 3),
+  lengths AS (SELECT group_id, series_id, least(30, n // 4) AS length FROM sized WHERE split = 'train')"""
+oracle(
+    "predict_sequence_batch",
+    _WINDOWED,
+    """SELECT group_id, series_id, n - length AS n, true AS all_finite, true AS beats_mean
+       FROM sized JOIN lengths USING (group_id, series_id) WHERE split = 'test' AND n > length""",
+)
+oracle(
+    "save_load_sequence",
+    _WINDOWED,
+    """SELECT group_id, series_id, split, n - length AS n, true AS same
+       FROM sized JOIN lengths USING (group_id, series_id) WHERE n > length""",
+)
+oracle(
+    "fit_sequence",
+    _DAILY,
+    """SELECT CAST(i AS INTEGER) AS lag_row, input, true AS fitted FROM range(0, 30) t(i),
+        (SELECT unnest(['y', 'year', 'month', 'day', 'day_of_week', 'week_of_year', 'month_sin', 'month_cos', 'day_sin',
+         'day_cos']) AS input) UNION ALL SELECT 30, 'intercept', true""",
+)
+oracle("fit_sequence_trees", _DAILY, "SELECT unnest(['loss', 'val_loss']) AS metric, true AS fell, true AS all_finite")
+oracle("training_history", _DAILY, "SELECT 0 AS iteration, unnest(['loss', 'val_loss']) AS metric, true AS small")
+_ONE_LAG = f"""{_WEEKLY}, {_SPLIT.format(source='(SELECT group_id, series_id, ds, y / 1e6 AS y FROM weekly)')},
+  lagged AS (SELECT group_id, series_id, ds, split, CAST(CAST(y AS FLOAT) AS DOUBLE) AS y,
+    CAST(CAST(lag(y) OVER (PARTITION BY group_id, series_id, split ORDER BY ds) AS FLOAT) AS DOUBLE) AS x FROM split),
+  line AS (SELECT regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM lagged WHERE split = 'train' AND x IS NOT NULL)"""
+oracle("fit_sequence_one_lag", _ONE_LAG, "SELECT round(a, 6) AS slope, round(b, 6) AS intercept FROM line")
+for _name, _part in (("predict_sequence_one_lag", "test"), ("save_load_sequence_one_lag", "val")):
+    oracle(
+        _name,
+        _ONE_LAG,
+        f"""SELECT group_id, series_id, ds, split, round(y, 5) AS y, round(a * x + b, 5) AS yhat FROM lagged, line
+           WHERE split = '{_part}' AND x IS NOT NULL""",
+    )
+oracle(
+    "training_history_one_lag",
+    _ONE_LAG,
+    """SELECT 0 AS iteration, CASE split WHEN 'train' THEN 'loss' ELSE 'val_loss' END AS metric,
+       round(avg((y - a * x - b) * (y - a * x - b)), 6) AS value FROM lagged, line
+       WHERE split IN ('train', 'val') AND x IS NOT NULL GROUP BY split""",
 )
 oracle(
     "train_models",
@@ -531,7 +628,8 @@ oracle(
 oracle(
     "run_all_nations",
     f"{_NATION}, {_grid('nation_weekly')}, {_ahead('grid', 4)}",
-    "SELECT group_id, series_id, 'additive' AS model, ds, true AS forecast FROM ahead",
+    """SELECT group_id, series_id, model, ds, true AS forecast
+       FROM ahead, (VALUES ('additive'), ('sequence')) m(model)""",
 )
 
 

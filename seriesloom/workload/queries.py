@@ -42,6 +42,10 @@ def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
+def finite(column: str):
+    return F.coalesce(F.col(column).isNotNull() & ~F.isnan(column) & (F.abs(column) < float("inf")), F.lit(False))
+
+
 # Inputs shared by the queries below.
 
 
@@ -412,10 +416,56 @@ def _fitted(split_df):
     return stage_table(additive.fit_additive(split_df.where("split <> 'test'")), "additive")
 
 
+@query
+def fit_additive_line(spark, d):
+    """Without seasons and changepoints the fit is a line: slope and level in the data's units."""
+    config = ModelConfig(yearly_seasonality=False, weekly_seasonality=False, n_changepoints=0)
+    rows = additive.fit_additive(weekly(spark, d), config)
+    slope = F.col("k") * F.col("y_scale") / F.col("t_days")
+    return rows.select(*KEYS, F.round(slope, 0).alias("slope"), F.round(F.col("m") * F.col("y_scale") / 1000, 0).alias("level"))
+
+
+def given_models(spark, d):
+    """A parameter row for each series, written by hand."""
+    wave = "struct<name:string,period:double,mode:string,coef:array<double>>"
+    terms = F.array(
+        F.struct(F.lit("yearly"), F.lit(365.25), F.lit("multiplicative"), literal_array([0.1, 0.05, 0.01, 0.02])).cast(wave),
+        F.struct(F.lit("weekly"), F.lit(7.0), F.lit("additive"), literal_array([0.02, -0.03])).cast(wave),
+    )
+    return daily(spark, d).select(*KEYS).distinct().select(
+        *KEYS,
+        F.lit(dt.date(1995, 1, 1)).alias("t0"),
+        F.lit(1000.0).alias("t_days"),
+        (F.length("series_id") * 100.0).alias("y_scale"),
+        F.lit(0.5).alias("k"),
+        F.lit(1.25).alias("m"),
+        literal_array([0.25, 0.5]).alias("changepoints"),
+        literal_array([0.1, -0.2]).alias("deltas"),
+        terms.alias("terms"),
+        F.lit(None).cast("string").alias("error"),
+    )
+
+
+@query
+def predict_dates_given(spark, d):
+    return rounded(additive.predict_dates(given_models(spark, d), daily(spark, d)), 5, "yhat")
+
+
+@query
+def components_given(spark, d):
+    return rounded(additive.components(given_models(spark, d), daily(spark, d)), 5, "trend", "yearly", "weekly")
+
+
+@query
+def component_importance_given(spark, d):
+    return rounded(additive.component_importance(given_models(spark, d), daily(spark, d)), 6, "importance")
+
+
 @query
 def predict_dates(spark, d):
     split_df = staged_split(spark, d)
-    return rounded(additive.predict_dates(_fitted(split_df), split_df.where("split = 'test'")), 4, "yhat")
+    ahead = additive.predict_dates(_fitted(split_df), split_df.where("split = 'test'"))
+    return ahead.select(*KEYS, "ds", finite("yhat").alias("forecast"))
 
 
 @query
@@ -440,21 +490,50 @@ def cv_cutoffs(spark, d):
 
 @query
 def cross_validate(spark, d):
-    scored = additive.cross_validate(daily(spark, d))
+    scored = additive.cross_validate(daily(spark, d)).where("error is null")
+    good = finite("yhat") & (F.col("yhat_lower") < F.col("yhat")) & (F.col("yhat") < F.col("yhat_upper"))
     return scored.groupBy(*KEYS, "cutoff").agg(
-        F.count("*").alias("n"), F.min("ds").alias("first_ds"), F.max("ds").alias("last_ds"), F.sum("y").alias("y_sum")
-    )
+        F.count("*").alias("n"), F.min("ds").alias("first_ds"), F.max("ds").alias("last_ds"), F.sum("y").alias("y_sum"),
+        F.bool_and(good).alias("good"),
+    )
+
+
+@query
+def cross_validation_errors(spark, d):
+    """A month of events is too short for a cutoff."""
+    return additive.cv_errors(additive.cross_validate(views.events_series(spark, d)))
 
 
 @query
 def cv_metrics(spark, d):
-    return additive.cv_metrics(additive.cross_validate(daily(spark, d)))
+    scored = additive.cv_metrics(additive.cross_validate(daily(spark, d)))
+    return scored.select(
+        *KEYS,
+        *[(finite(c) & (F.col(c) > 0)).alias(c) for c in ("cv_rmse", "cv_mae", "cv_mape")],
+        F.col("cv_coverage").between(0.5, 1).alias("cv_coverage"),
+    )
+
+
+@query
+def cv_metrics_lagged(spark, d):
+    """The metrics of a plain forecast: the value of a week before, within half of itself."""
+    cutoffs = additive.cv_cutoffs(filled(spark, d))
+    lagged = views.lagged_forecasts(filled(spark, d)).where("model = 'lag7'").drop("model")
+    days = F.datediff("ds", "cutoff")
+    scored = lagged.join(cutoffs, KEYS).where((days > 0) & (days <= 90))
+    scored = scored.withColumns({"yhat_lower": F.col("yhat") * 0.5, "yhat_upper": F.col("yhat") * 1.5})
+    table = additive.cv_metrics(scored)
+    return table.select(
+        *KEYS, F.round("cv_rmse", 1).alias("cv_rmse"), F.round("cv_mae", 1).alias("cv_mae"),
+        F.round("cv_mape", 6).alias("cv_mape"), F.round("cv_coverage", 9).alias("cv_coverage"),
+    )
 
 
 @query
 def components(spark, d):
     split_df = staged_split(spark, d)
-    return rounded(additive.components(_fitted(split_df), split_df), 4, "trend", "yearly", "weekly")
+    parts = additive.components(_fitted(split_df), split_df)
+    return parts.select(*KEYS, "ds", *[finite(c).alias(c) for c in ("trend", "yearly", "weekly")])
 
 
 @query
@@ -473,26 +552,74 @@ def _windows(spark, d):
 
 @query
 def fit_sequence(spark, d):
-    """Coefficients of the target's own lags."""
+    """Every coefficient, by row of the window and input, and the intercept."""
     _, rows = _windows(spark, d)
-    weights, _ = sequence.fit_sequence(rows).coefficients()
-    return spark.createDataFrame([(i, float(round(w[0], 4))) for i, w in enumerate(weights)], "lag_row int, weight double")
+    model = sequence.fit_sequence(rows)
+    weights, intercept = model.coefficients()
+    cells = [(i, name, float(v)) for i, w in enumerate(weights) for name, v in zip(model.features, w)]
+    cells.append((len(weights), "intercept", float(intercept)))
+    table = spark.createDataFrame(cells, "lag_row int, input string, weight double")
+    return table.select("lag_row", "input", finite("weight").alias("fitted"))
 
 
 @query
 def predict_sequence_batch(spark, d):
+    """Test windows: their number, and whether the forecasts beat the mean of the actuals."""
     _, rows = _windows(spark, d)
-    model = sequence.fit_sequence(rows)
-    return rounded(sequence.predict_sequence_batch(model, rows.where("split = 'test'")), 4, "y", "yhat")
+    scored = sequence.predict_sequence_batch(sequence.fit_sequence(rows), rows.where("split = 'test'"))
+    error = F.col("y") - F.col("yhat")
+    better = F.avg(error * error) < F.var_pop("y")
+    return scored.groupBy(*KEYS).agg(F.count("*").alias("n"), F.bool_and(finite("yhat")).alias("all_finite"), better.alias("beats_mean"))
 
 
 @query
 def fit_sequence_trees(spark, d):
-    config = ModelConfig(sequence_kind="gbt", sequence_max_iter=3)
-    series = preprocess(merging.complete_grid(weekly(spark, d)), select=True).data
-    rows = windows.split_sequences(splitting.temporal_split(series))
-    model = sequence.fit_sequence(rows, config)
-    return sequence.training_history(model, rows)
+    """Boosted trees with the default settings: whether both losses fell."""
+    config = ModelConfig(sequence_kind="gbt")
+    _, rows = _windows(spark, d)
+    history = sequence.fit_sequence(rows, config).history
+    return history.groupBy("metric").agg(
+        (F.max_by("value", "iteration") < F.min_by("value", "iteration")).alias("fell"), F.bool_and(finite("value")).alias("all_finite")
+    )
+
+
+def one_lag(spark, d):
+    """Windows of one lag of the weekly values, in millions."""
+    series = splitting.temporal_split(weekly(spark, d).withColumn("y", F.col("y") / 1e6))
+    return windows.split_sequences(series, longest=1, features=["y"])
+
+
+ONE_LAG = ModelConfig(sequence_length=1, sequence_reg=0.0)
+
+
+@query
+def fit_sequence_one_lag(spark, d):
+    weights, intercept = sequence.fit_sequence(one_lag(spark, d), ONE_LAG, ["y"]).coefficients()
+    return spark.createDataFrame([(round(float(weights[0][0]), 6), round(float(intercept), 6))], "slope double, intercept double")
+
+
+@query
+def predict_sequence_one_lag(spark, d):
+    rows = one_lag(spark, d)
+    model = sequence.fit_sequence(rows, ONE_LAG, ["y"])
+    return rounded(sequence.predict_sequence_batch(model, rows.where("split = 'test'")).drop("length"), 5, "y", "yhat")
+
+
+@query
+def save_load_sequence_one_lag(spark, d):
+    path = scratch(spark, "model")
+    rows = one_lag(spark, d)
+    store.save_sequence(spark, sequence.fit_sequence(rows, ONE_LAG, ["y"]), path, ONE_LAG)
+    model = store.load_sequence(spark, path)
+    return rounded(sequence.predict_sequence_batch(model, rows.where("split = 'val'")).drop("length"), 5, "y", "yhat")
+
+
+@query
+def training_history_one_lag(spark, d):
+    """The history saved with a model."""
+    path = scratch(spark, "model")
+    store.save_sequence(spark, sequence.fit_sequence(one_lag(spark, d), ONE_LAG, ["y"]), path, ONE_LAG)
+    return rounded(store.load_sequence(spark, path).history, 6, "value")
 
 
 @query
@@ -525,13 +652,12 @@ def regression_metrics(spark, d):
 
 @query
 def evaluate(spark, d):
-    """Additive model on the test rows, with the rows each metric rests on."""
+    """Both models on the test rows; the one-step forecast has to beat the mean of the actuals."""
     split_df = staged_split(spark, d)
     config = ModelConfig()
-    trained = forecasting.train_models(split_df, ["additive"], config)
-    return forecasting.evaluate(trained, split_df, config).select(
-        *KEYS, "model", "metric", F.col("value").isNotNull().alias("scored")
-    )
+    trained = forecasting.train_models(split_df, config=config)
+    beats = (F.col("model") != "sequence") | (F.col("metric") != "r2") | (F.col("value") > 0)
+    return forecasting.evaluate(trained, split_df, config).select(*KEYS, "model", "metric", (finite("value") & beats).alias("scored"))
 
 
 @query
@@ -592,7 +718,15 @@ def forecast(spark, d):
     done = staged(spark, d)
     trained = forecasting.train_models(forecasting.prepare(done.data), periods=7)
     ahead = forecasting.forecast(trained, done.data, 7, scalers=done.scalers)
-    return ahead.select(*KEYS, "model", "ds", F.col("yhat").isNotNull().alias("forecast"))
+    return _plausible(ahead, grid(spark, d))
+
+
+def _plausible(forecasts, series):
+    """Whether forecasts stay within the series' range, widened by itself on both sides."""
+    span = series.groupBy(*KEYS).agg(F.min("y").alias("low"), F.max("y").alias("high"))
+    width = F.col("high") - F.col("low")
+    inside = F.col("yhat").between(F.col("low") - width, F.col("high") + width)
+    return forecasts.join(span, KEYS).select(*KEYS, "model", "ds", (finite("yhat") & inside).alias("forecast"))
 
 
 @query
@@ -604,25 +738,31 @@ def save_load_additive(spark, d):
 
 @query
 def save_load_sequence(spark, d):
+    """Whether a model that was saved and loaded forecasts every window as before."""
     path = scratch(spark, "model")
     _, rows = _windows(spark, d)
-    store.save_sequence(spark, sequence.fit_sequence(rows), path)
-    model = store.load_sequence(spark, path)
-    return rounded(sequence.predict_sequence_batch(model, rows.where("split = 'val'")), 4, "y", "yhat")
+    model = sequence.fit_sequence(rows)
+    store.save_sequence(spark, model, path)
+    before = sequence.predict_sequence_batch(model, rows)
+    again = sequence.predict_sequence_batch(store.load_sequence(spark, path), rows)
+    again = again.select(*KEYS, "ds", F.col("yhat").alias("again"))
+    same = F.bool_and((F.col("yhat") == F.col("again")) & finite("yhat"))
+    return before.join(again, [*KEYS, "ds"]).groupBy(*KEYS, "split").agg(F.count("*").alias("n"), same.alias("same"))
 
 
 @query
 def training_history(spark, d):
     _, rows = _windows(spark, d)
-    return rounded(sequence.training_history(sequence.fit_sequence(rows), rows), 6, "value")
+    history = sequence.training_history(sequence.fit_sequence(rows), rows)
+    return history.select("iteration", "metric", (finite("value") & (F.col("value") < 1)).alias("small"))
 
 
 @query
 def run_all_nations(spark, d):
     """Everything from raw series to forecasts, for all nations at once."""
     series = merging.complete_grid(views.nation_series(spark, d))
-    done = forecasting.run(series, AppConfig(), periods=4, types=["additive"])
-    return done["forecasts"].select(*KEYS, "model", "ds", F.col("yhat").isNotNull().alias("forecast"))
+    done = forecasting.run(series, AppConfig(), periods=4)
+    return _plausible(done["forecasts"], series)
 
 
 @query

@@ -8,7 +8,6 @@ from seriesloom.functions.calendar import parse_timeframe
 
 def test_defaults():
     config = AppConfig()
-    assert config.log_level == "INFO"
     assert config.data == DataConfig() and config.model == ModelConfig()
     assert config.data.geo == "" and config.data.timeframe == "today 5-y" and config.data.normalize
     assert config.data.smoothing_window == 7 and config.data.interpolate_missing
@@ -16,6 +15,11 @@ def test_defaults():
     assert config.model.changepoint_prior_scale == 0.05 and config.model.interval_width == 0.95
 
 
+def test_daily_waves_are_refused():
+    with pytest.raises(ValueError):
+        ModelConfig(daily_seasonality=True)
+
+
 def test_yaml_round_trip(tmp_path):
     config = AppConfig(
         data=DataConfig(smoothing_window=3),

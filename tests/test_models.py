@@ -116,6 +116,13 @@ def test_multiplicative_components_are_shares(spark, four_years):
     assert parts["yearly"].abs().max() < 0.2
 
 
+def test_fit_tells_whether_it_settled(spark, four_years):
+    long = long_frame(spark, four_years.to_frame("s"))
+    done = additive.fit_additive(long).first()
+    hasty = additive.fit_additive(long, ModelConfig(fit_rounds=2)).first()
+    assert done["converged"] and done["passes"] == 1 and not hasty["converged"]
+
+
 def test_custom_seasonality(spark):
     days = pd.date_range("2020-01-01", periods=600)
     y = 10 + 3 * np.sin(2 * np.pi * np.arange(600) / 30)
@@ -176,10 +183,14 @@ def test_cross_validation(spark, four_years):
     assert cuts[-1] == day("2023-10-02") and len(cuts) == 4
     assert (cuts[1] - cuts[0]).days == 180 and cuts[0] >= day("2021-12-31")
     scored = additive.cross_validate(long)
-    assert scored.count() == 4 * 90
+    assert scored.count() == 4 * 90 and additive.cv_errors(scored).isEmpty()
     quality = additive.cv_metrics(scored).first()
     assert 4 < quality["cv_rmse"] < 7 and 0 < quality["cv_mape"] < 0.1 and quality["cv_coverage"] > 0.85
-    assert additive.cross_validate(long.where("ds < '2021-01-01'")).isEmpty()
+    short = additive.cross_validate(long.where("ds < '2021-01-01'"))
+    assert [tuple(r) for r in short.collect()] == [("g", "s", *[None] * 6, "Too short for a cutoff")]
+    bad = long.withColumn("y", F.when(F.col("ds") == "2022-01-01", float("inf")).otherwise(F.col("y")))
+    failed = additive.cv_errors(additive.cross_validate(bad)).collect()
+    assert len(failed) == 4 and all("finite" in r["error"] for r in failed)
 
 
 @pytest.fixture(scope="module")
@@ -246,6 +257,7 @@ def test_saved_models_come_back(spark, wave_split, fitted, tmp_path):
     store.save_sequence(spark, model, str(tmp_path / "s"))
     again = store.load_sequence(spark, str(tmp_path / "s"))
     assert again.coefficients() == model.coefficients() and again.length == 30
+    assert sorted(again.history.collect()) == sorted(sequence.training_history(model, rows).collect())
     long, models = fitted
     store.save_additive(models, str(tmp_path / "a"))
     assert store.load_additive(spark, str(tmp_path / "a")).collect() == models.collect()
@@ -260,9 +272,33 @@ def test_registry():
         store.get_model("unheard of")
     store.register("mine", len)
     assert store.get_model("mine") is len
+    store.unregister("mine")
+    with pytest.raises(ValueError):
+        store.get_model("mine")
     assert store.set_params(ModelConfig(), interval_width=0.8).interval_width == 0.8
 
 
+def test_registered_types_are_trained_scored_and_forecast(spark, three_waves):
+    """A type of one's own: the mean of the training rows."""
+
+    def fit(rows, config):
+        return rows.groupBy("group_id", "series_id").agg(F.avg("y").alias("level"))
+
+    def predict(models, dates, keep=()):
+        joined = dates.join(models, ["group_id", "series_id"])
+        return joined.select("group_id", "series_id", "ds", *keep, F.col("level").alias("yhat"))
+
+    store.register("level", store.TableModel(fit, predict))
+    try:
+        raw = long_frame(spark, three_waves[["keyword1", "keyword2"]])
+        done = forecasting.run(raw, periods=3, types=["level", "unheard of"])
+        assert done["models"].names == ["level"] and done["errors"].isEmpty()
+        assert done["forecasts"].groupBy("series_id").agg(F.countDistinct("yhat").alias("n")).collect()[0]["n"] == 1
+        assert done["metrics"].where("model = 'level' and metric = 'rmse'").count() == 2
+    finally:
+        store.unregister("level")
+
+
 def test_run_everything(spark, three_waves, tmp_path, monkeypatch):
     raw = long_frame(spark, three_waves[["keyword1", "keyword2"]])
     done = forecasting.run(raw, periods=5, types=["additive", "sequence", "unheard of"], output=str(tmp_path))
