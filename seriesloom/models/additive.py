@@ -12,7 +12,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -20,7 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..config import ModelConfig
 from ..functions import additive_terms as terms
 from ..functions.calendar import known, step_date
-from ..schema import KEYS, check_series
+from ..schema import KEYS, by_series, check_series
 from ..session import spread_series
 from . import map_fit
 
@@ -278,21 +278,61 @@ def cv_errors(scored: DataFrame) -> DataFrame:
     return scored.where(F.col("error").isNotNull()).select(*KEYS, "cutoff", "error")
 
 
-def cv_metrics(scored: DataFrame) -> DataFrame:
+_CV_METRICS = ["cv_rmse", "cv_mae", "cv_mape", "cv_coverage"]
+
+
+def cv_metrics(scored: DataFrame, rolling: float | None = 0.1) -> DataFrame:
     """cv_rmse, cv_mae, cv_mape (a fraction) and cv_coverage of each series.
 
-    Each is taken per day of the horizon and averaged over the days. Days with a
-    zero actual have no mape. Rows with an ``error`` take no part.
+    Rows are put in order of their horizon. Each metric is taken over a window of
+    the share ``rolling`` of a series' rows, ending at each horizon that has so many
+    rows up to it, and averaged over those windows; of the horizon that a window
+    starts in, its mean counts for the rows that are still missing. With ``rolling``
+    None each day of the horizon is a window. Days with a zero actual have no mape.
+    Rows with an ``error`` take no part.
     """
     if "error" in scored.columns:
         scored = scored.where(F.col("error").isNull())
     error = F.col("y") - F.col("yhat")
     inside = (F.col("y") >= F.col("yhat_lower")) & (F.col("y") <= F.col("yhat_upper"))
+    means = {
+        "cv_rmse": F.avg(error * error),
+        "cv_mae": F.avg(F.abs(error)),
+        "cv_mape": F.avg(F.when(F.col("y") != 0, F.abs(error / F.col("y")))),
+        "cv_coverage": F.avg(inside.cast("double")),
+    }
     by_day = scored.groupBy(*KEYS, F.datediff("ds", "cutoff").alias("h")).agg(
-        F.sqrt(F.avg(error * error)).alias("cv_rmse"),
-        F.avg(F.abs(error)).alias("cv_mae"),
-        F.avg(F.when(F.col("y") != 0, F.abs(error / F.col("y")))).alias("cv_mape"),
-        F.avg(inside.cast("double")).alias("cv_coverage"),
+        F.count("*").alias("n"), *[m.alias(c) for c, m in means.items()]
     )
-    names = ["cv_rmse", "cv_mae", "cv_mape", "cv_coverage"]
-    return by_day.groupBy(*KEYS).agg(*[F.avg(n).alias(n) for n in names])
+    windows = by_day if rolling is None else _rolling(by_day, rolling)
+    windows = windows.withColumn("cv_rmse", F.sqrt("cv_rmse"))
+    return windows.groupBy(*KEYS).agg(*[F.avg(c).alias(c) for c in _CV_METRICS])
+
+
+def _rolling(by_day: DataFrame, share: float) -> DataFrame:
+    """Means over windows of rows that end at each horizon; a series has a row per day of it at most."""
+    series = by_series()
+    in_horizon = series.orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
+    counted = by_day.withColumn("upto", F.sum("n").over(in_horizon)).withColumn("total", F.sum("n").over(series))
+    counted = counted.withColumn("width", F.greatest(F.lit(1), F.floor(F.col("total") * share)))
+    # Sums of a metric over the days that have it, up to a horizon.
+    for c in _CV_METRICS:
+        counted = counted.withColumn(f"{c}_sum", F.coalesce(F.sum(F.col(c) * F.col("n")).over(in_horizon), F.lit(0.0)))
+        counted = counted.withColumn(f"{c}_n", F.sum(F.when(F.col(c).isNotNull(), F.col("n")).otherwise(0)).over(in_horizon))
+    starts = counted.select(
+        *KEYS, (F.col("upto") - F.col("n")).alias("from_row"), F.col("upto").alias("to_row"),
+        *[F.col(c).alias(f"{c}_first") for c in _CV_METRICS],
+        *[F.col(f"{c}_{kind}").alias(f"{c}_first_{kind}") for c in _CV_METRICS for kind in ("sum", "n")],
+    )
+    begin = F.col("upto") - F.col("width")
+    # The day the window starts in: rows before ``begin`` are not in it.
+    paired = counted.where(begin >= 0).join(starts, KEYS).where((F.col("from_row") <= begin) & (begin < F.col("to_row")))
+    part = F.col("to_row") - begin
+    out = {}
+    for c in _CV_METRICS:
+        own = F.col(f"{c}_first")
+        whole_sum, whole_n = F.col(f"{c}_sum") - F.col(f"{c}_first_sum"), F.col(f"{c}_n") - F.col(f"{c}_first_n")
+        total = whole_sum + F.coalesce(own * part, F.lit(0.0))
+        rows = whole_n + F.when(own.isNotNull(), part).otherwise(0)
+        out[c] = F.when(rows > 0, total / rows)
+    return paired.select(*KEYS, "h", *[v.alias(c) for c, v in out.items()])

@@ -269,7 +269,7 @@ def run(
     chosen = raw if target is None else raw.join(rows.select(*KEYS).distinct(), KEYS, "left_semi")
     summary = results_summary(chosen, metrics, forecasts)
     if output is not None:
-        write_predictions(forecasts, trained.names, f"{output}/predictions")
+        write_predictions(forecasts, f"{output}/predictions", trained.names)
         write_summary(summary, f"{output}/summary")
     return {
         "processed": processed,

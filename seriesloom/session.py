@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -61,6 +62,28 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+_STAGED: list[str] = []
+
+
+@contextmanager
+def staging(spark: SparkSession):
+    """Delete the tables staged inside, when what was made of them has been written elsewhere.
+
+    >>> with staging(spark):
+    ...     run(series)["forecasts"].write.parquet(path)
+    """
+    before = len(_STAGED)
+    try:
+        yield
+    finally:
+        made = _STAGED[before:]
+        del _STAGED[before:]
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for path in made:
+            place = hadoop(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and read it back.
 
@@ -70,6 +93,7 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/seriesloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -40,12 +40,15 @@ def _quoted(name: str):
 
 
 def to_long(
-    wide: DataFrame, keywords: list[str], group_id: str | None = None, index: str = "date", kind: str = "double"
+    wide: DataFrame, keywords: list[str] | None = None, group_id: str | None = None, index: str = "date", kind: str = "double"
 ) -> DataFrame:
     """One row per date and keyword. Pass kind='string' to keep text for ``clean``.
 
-    The request is the column ``group_id``, or the given one.
+    The request is the column ``group_id``, or the given one. Without ``keywords``
+    every column but the date, the request and the marker of partial rows is one.
     """
+    if keywords is None:
+        keywords = [c for c in wide.columns if c not in (index, "group_id", "isPartial")]
     group = F.col("group_id") if group_id is None else F.lit(group_id)
     values = [_quoted(k).cast(kind).alias(k) for k in keywords]
     narrow = wide.select(group.alias("group_id"), F.col(index).cast("date").alias("ds"), *values)
@@ -53,8 +56,14 @@ def to_long(
     return long.select(*KEYS, "ds", "y")
 
 
-def to_wide(long: DataFrame, keywords: list[str], keys=("ds",)) -> DataFrame:
-    """One column per keyword. The keywords are given, so no job looks for them."""
+def to_wide(long: DataFrame, keywords: list[str] | None = None, keys=("ds",)) -> DataFrame:
+    """One column per keyword.
+
+    Without ``keywords`` all that occur, sorted, which costs a job to find them;
+    keywords that are given are the columns, and the others are left out.
+    """
+    if keywords is None:
+        keywords = [r["series_id"] for r in long.select("series_id").distinct().orderBy("series_id").collect()]
     return long.groupBy(*keys).pivot("series_id", list(keywords)).agg(F.first("y"))
 
 

@@ -8,12 +8,17 @@ from pyspark.sql import functions as F
 from ..schema import KEYS
 
 
-def predictions_wide(forecasts: DataFrame, models: list[str]) -> DataFrame:
-    """One column per model, aligned by date; a date one model lacks is null."""
+def predictions_wide(forecasts: DataFrame, models: list[str] | None = None) -> DataFrame:
+    """One column per model, aligned by date; a date one model lacks is null.
+
+    Without ``models`` all that occur, sorted: a handful, but a job to find them.
+    """
+    if models is None:
+        models = [r["model"] for r in forecasts.select("model").distinct().orderBy("model").collect()]
     return forecasts.groupBy(*KEYS, "ds").pivot("model", list(models)).agg(F.first("yhat"))
 
 
-def write_predictions(forecasts: DataFrame, models: list[str], path: str) -> None:
+def write_predictions(forecasts: DataFrame, path: str, models: list[str] | None = None) -> None:
     predictions_wide(forecasts, models).write.mode("overwrite").option("header", True).csv(path)
 
 

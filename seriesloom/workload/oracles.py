@@ -473,6 +473,30 @@ oracle(
        SELECT group_id, series_id, round(avg(rmse), 1) AS cv_rmse, round(avg(mae), 1) AS cv_mae,
         round(avg(mape), 6) AS cv_mape, round(avg(coverage), 9) AS cv_coverage FROM by_day GROUP BY 1, 2""",
 )
+# Each row by itself: the window's rows are the last tenth of them up to the end of a horizon, a horizon's rows alike.
+oracle(
+    "cv_metrics_rolling",
+    f"{_FILLED}, {_LAGGED}, {_CUTOFFS.replace('FROM daily', 'FROM filled')}",
+    """, scored AS (SELECT f.group_id, f.series_id, ds - cutoff AS h, y, yhat FROM forecasts f JOIN cutoffs c
+         ON c.group_id = f.group_id AND c.series_id = f.series_id AND ds > cutoff AND ds <= cutoff + 90 WHERE model = 'lag7'),
+       rows AS (SELECT group_id, series_id, h, row_number() OVER (PARTITION BY group_id, series_id ORDER BY h) AS i,
+         count(*) OVER (PARTITION BY group_id, series_id) AS total,
+         avg((y - yhat) * (y - yhat)) OVER d AS mse, avg(abs(y - yhat)) OVER d AS mae, avg(abs((y - yhat) / y)) OVER d AS mape,
+         avg(CASE WHEN y >= yhat * 0.5::DOUBLE AND y <= yhat * 1.5::DOUBLE THEN 1.0::DOUBLE ELSE 0 END) OVER d AS coverage
+         FROM scored WINDOW d AS (PARTITION BY group_id, series_id, h)),
+       ends AS (SELECT group_id, series_id, h, max(i) AS last, greatest(1, floor(any_value(total) * 0.1::DOUBLE)) AS width
+         FROM rows GROUP BY 1, 2, 3),
+       windows AS (SELECT e.group_id, e.series_id, e.h, sqrt(avg(mse)) AS rmse, avg(mae) AS mae, avg(mape) AS mape,
+         avg(coverage) AS coverage FROM ends e JOIN rows r ON r.group_id = e.group_id AND r.series_id = e.series_id
+         AND r.i > last - width AND r.i <= last WHERE last >= width GROUP BY 1, 2, 3)
+       SELECT group_id, series_id, round(avg(rmse), 1) AS cv_rmse, round(avg(mae), 1) AS cv_mae,
+        round(avg(mape), 6) AS cv_mape, round(avg(coverage), 9) AS cv_coverage FROM windows GROUP BY 1, 2""",
+)
+oracle(
+    "metrics_table_all",
+    _SCORED,
+    "SELECT group_id, series_id, model, round(mape, 4) AS mape, round(r2, 4) AS r2 FROM metrics WHERE model = 'lag1'",
+)
 _GRID_SPLIT = f"{_GRID}, {_SPLIT.format(source='grid')}"
 oracle("predict_dates", _GRID_SPLIT, "SELECT group_id, series_id, ds, true AS forecast FROM split WHERE split = 'test'")
 oracle("components", _GRID, "SELECT group_id, series_id, ds, true AS trend, true AS yearly, true AS weekly FROM grid")

@@ -514,21 +514,38 @@ def cv_metrics(spark, d):
     )
 
 
-@query
-def cv_metrics_lagged(spark, d):
+def cv_lagged(spark, d, rolling):
     """The metrics of a plain forecast: the value of a week before, within half of itself."""
     cutoffs = additive.cv_cutoffs(filled(spark, d))
     lagged = views.lagged_forecasts(filled(spark, d)).where("model = 'lag7'").drop("model")
     days = F.datediff("ds", "cutoff")
     scored = lagged.join(cutoffs, KEYS).where((days > 0) & (days <= 90))
     scored = scored.withColumns({"yhat_lower": F.col("yhat") * 0.5, "yhat_upper": F.col("yhat") * 1.5})
-    table = additive.cv_metrics(scored)
+    table = additive.cv_metrics(scored, rolling)
     return table.select(
         *KEYS, F.round("cv_rmse", 1).alias("cv_rmse"), F.round("cv_mae", 1).alias("cv_mae"),
         F.round("cv_mape", 6).alias("cv_mape"), F.round("cv_coverage", 9).alias("cv_coverage"),
     )
 
 
+@query
+def cv_metrics_lagged(spark, d):
+    return cv_lagged(spark, d, None)
+
+
+@query
+def cv_metrics_rolling(spark, d):
+    return cv_lagged(spark, d, 0.1)
+
+
+@query
+def metrics_table_all(spark, d):
+    """All metrics that occur."""
+    scored = metrics.regression_metrics(views.lagged_forecasts(filled(spark, d)))
+    table = metrics.metrics_table(metrics.to_long_metrics(scored, ["mape", "r2"]).where("model = 'lag1'"))
+    return table
+
+
 @query
 def components(spark, d):
     split_df = staged_split(spark, d)

@@ -1,5 +1,7 @@
 """Skew, plan shape and the SQL twins."""
 
+import os
+
 import pytest
 from conftest import day
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from oracle_check import check, connect
 from seriesloom.operators import cleaning, correlation, demand, horizon, merging, reports
+from seriesloom.session import stage_table, staging
 from seriesloom.sources.logs import series_from_log
 
 SMALL = "/root/testdata/sf0.001"
@@ -150,6 +153,14 @@ def test_requests_do_not_depend_on_shared_exchanges(spark):
     assert sorted(map(len, sizes.values()))[1:] == [5] * (len(sizes) - 1)
 
 
+def test_staged_tables_go_with_their_block(spark):
+    with staging(spark):
+        staged = stage_table(spark.range(5), "short-lived")
+        path = staged.inputFiles()[0].rpartition("/")[0].removeprefix("file:").replace("//", "/")
+        assert staged.count() == 5 and os.path.isdir(path)
+    assert not os.path.exists(path)
+
+
 def test_entry_has_rows(spark):
     df = entry.entry(spark)
     assert df.columns[:4] == ["group_id", "series_id", "ds", "y"] and not df.isEmpty()
