@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import math
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -15,7 +16,7 @@ from pyspark.sql import types as T
 from .words import slices
 
 # Nodes of a worker's trie and pre-tokens it remembers; beyond, it starts anew.
-MOST_NODES, KNOWN_WORDS = 2_000_000, 500_000
+MOST_NODES, KNOWN_WORDS = 1_000_000, 500_000
 
 
 class UnigramTrie:
@@ -34,34 +35,34 @@ class UnigramTrie:
         self.clear()
 
     def clear(self) -> None:
-        self.next: list[dict[int, int]] = [{}]
-        self.score = [0.0]
-        self.pieces = [0]
-        self.known.clear()
+        """Forget all nodes but the root."""
+        self.next: dict[int, int] = {}  # 256 times the node plus the byte: the child
+        self.score = array("d", [0.0])
+        self.pieces = array("l", [0])
 
     def insert(self, word: bytes) -> int:
         """The token count of ``word``, scoring those of its prefixes that are new."""
-        path, node, at = [0], 0, 0
-        for at, byte in enumerate(word):
-            child = self.next[node].get(byte)
+        path, node = [0], 0
+        for byte in word:
+            child = self.next.get(node * 256 + byte)
             if child is None:
                 break
             node = child
             path.append(node)
+        scores, score, pieces = self.scores, self.score, self.pieces
         for end in range(len(path), len(word) + 1):
             best, count = -math.inf, -1
             for start in range(max(0, end - self.longest), end):
-                own = self.scores.get(word[start:end])
-                if own is not None and self.score[path[start]] + own > best:
-                    best, count = self.score[path[start]] + own, self.pieces[path[start]] + 1
-            child = len(self.score)
-            self.next[node][word[end - 1]] = child
-            self.next.append({})
-            self.score.append(best)
-            self.pieces.append(count)
+                own = scores.get(word[start:end])
+                if own is not None and score[path[start]] + own > best:
+                    best, count = score[path[start]] + own, pieces[path[start]] + 1
+            child = len(score)
+            self.next[node * 256 + word[end - 1]] = child
+            score.append(best)
+            pieces.append(count)
             path.append(child)
             node = child
-        return self.pieces[node]
+        return pieces[node]
 
     def count(self, words: list[bytes]) -> int:
         known = self.known
@@ -69,12 +70,14 @@ class UnigramTrie:
             return sum(map(known.__getitem__, words))
         except KeyError:
             pass
-        fresh = {w for w in words if w not in known}
-        if len(self.score) + sum(map(len, fresh)) > MOST_NODES or len(known) + len(fresh) > KNOWN_WORDS:
-            self.clear()
+        fresh = set(words).difference(known)
+        if len(known) + len(fresh) > KNOWN_WORDS:
+            known.clear()
             fresh = set(words)
         # In order, neighbours share the most.
         for word in sorted(fresh):
+            if len(self.score) + len(word) > MOST_NODES:
+                self.clear()
             known[word] = self.insert(word)
         return sum(map(known.__getitem__, words))
 
