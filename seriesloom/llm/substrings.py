@@ -65,6 +65,7 @@ def _claims(window: int, piece: int, sketch):
             at = at[often]
             a = run_hashes(hashes, window)[at]
             b = run_hashes(span_hashes(words.data, words.starts, words.ends, seed=1), window, seed=1)[at]
+            b = (b >> np.uint64(32)).astype(np.uint32)
             row = np.searchsorted(words.first, at, side="right") - 1
             rank = part.column("rank").to_numpy()[row]
             order = np.lexsort((rank, b, a))
@@ -74,7 +75,9 @@ def _claims(window: int, piece: int, sketch):
             head = np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
             later = rank > rank[head]
             spot = (at - words.first[row]).astype(np.int32)
+            # In order of the text, neighbours share key and hash and pack well.
             open_rows = np.flatnonzero(~later)
+            open_rows = open_rows[np.argsort(at[open_rows])]
             settled = np.flatnonzero(later)
             settled = settled[np.argsort(row[settled], kind="stable")]
             edges = np.flatnonzero(np.diff(row[settled], prepend=-1))
@@ -84,7 +87,7 @@ def _claims(window: int, piece: int, sketch):
             spots = np.concatenate([spot[open_rows], spot[settled]])
             tie = part.column("tie").to_numpy()
             names = np.concatenate([a[open_rows].view(np.int64), tie[owner]])
-            more = np.concatenate([b[open_rows].view(np.int64), np.zeros(len(owner), np.int64)])
+            more = np.concatenate([b[open_rows].view(np.int32), np.zeros(len(owner), np.int32)])
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(spots))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -141,7 +144,7 @@ def remove_repeated(
 
     A first pass counts, for each piece that stands for windows, the documents it is in,
     in a sketch that may overestimate but never underestimates. A second pass groups the
-    windows whose piece is estimated in two documents or more, by 128 bits of their words.
+    windows whose piece is estimated in two documents or more, by 96 bits of their words.
 
     A null text has no words. A row with a null key is neither smaller nor larger than
     another: it loses nothing and makes nothing go. Rows with the same key do not affect
@@ -156,7 +159,7 @@ def remove_repeated(
     sketch = count_sketch(ranked.select("text"), _pieces(window, piece), expected=size // 32)
     counts = spark.sparkContext.broadcast(sketch)
     claims = ranked.mapInArrow(
-        _claims(window, piece, counts), "a long, b long, rank long, tie long, spots array<int>, settled boolean"
+        _claims(window, piece, counts), "a long, b int, rank long, tie long, spots array<int>, settled boolean"
     )
     first = F.min("rank").over(Window.partitionBy("a", "b"))
     claims = claims.withColumn("least", first).where("settled or rank > least")
