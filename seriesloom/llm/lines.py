@@ -118,28 +118,46 @@ def _candidates(shingle: int, similarity: float, sketch):
 _POSTINGS = "token long, spot int, size int, rank long, line int, s1 long, s2 long, bits1 long, bits2 long"
 
 
-def _postings(similarity: float):
-    """Task side: a row for each prefix token of a line that may be in another line.
+def _live(batch: pa.RecordBatch, similarity: float):
+    """Of a batch of lines: all tokens, first token and size of each, and row and place of its prefix tokens that count."""
+    at = np.append(0, np.cumsum(pc.binary_length(batch.column("tokens")).to_numpy() // 8))
+    token = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), "<u8")
+    size = np.diff(at)
+    live = batch.column("live").to_numpy()
+    count = size - _ceil(similarity * size) + 1 - live
+    row = np.repeat(np.arange(len(size)), count)
+    spot = live[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    return token, at[:-1], size, row, spot
+
+
+def _prefixes(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for batch in batches:
+            if batch.num_rows:
+                token, at, _, row, spot = _live(batch, similarity)
+                yield token[at[row] + spot]
+
+    return run
+
+
+def _postings(similarity: float, sketch):
+    """Task side: a row for each prefix token of a line that may be in the prefix of another.
 
     ``bits1`` and ``bits2`` hold, for 128 classes of tokens, whether the line has an odd
     number of the class: sets differ in at least as many tokens as these differ in bits.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Sketch = sketch.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            at = np.append(0, np.cumsum(pc.binary_length(batch.column("tokens")).to_numpy() // 8))
-            token = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), "<u8")
-            size = np.diff(at)
-            prefix = size - _ceil(similarity * size) + 1
-            live = batch.column("live").to_numpy()
+            token, at, size, row, spot = _live(batch, similarity)
+            often = counts.reaches(token[at[row] + spot])
+            row, spot = row[often], spot[often]
             classes = mix(token + np.uint64(3)) & np.uint64(127)
             flags = [np.where(classes >> np.uint64(6) == half, np.uint64(1) << (classes & np.uint64(63)), np.uint64(0)) for half in (0, 1)]
-            bits = [np.bitwise_xor.reduceat(f, at[:-1]).view(np.int64) for f in flags]
-            count = prefix - live
-            row = np.repeat(np.arange(len(size)), count)
-            spot = live[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            bits = [np.bitwise_xor.reduceat(f, at).view(np.int64) for f in flags]
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -254,7 +272,9 @@ def repeated_lines(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
         F.min(F.struct("rank", "line")).alias("head"), F.first("live").alias("live"), F.first("tokens").alias("tokens")
     )
     reps = stage_table(reps.select("s1", "s2", "head.rank", "head.line", "live", "tokens"), "line-sets")
-    posted = reps.mapInArrow(_postings(similarity), _POSTINGS)
+    # Without the equal lines many of these tokens are in one line only; a second, smaller sketch leaves them out.
+    few = count_sketch(reps.select("live", "tokens"), _prefixes(similarity), expected=10 * reps.count())
+    posted = reps.mapInArrow(_postings(similarity, spark.sparkContext.broadcast(few)), _POSTINGS)
     lists = posted.groupBy("token").count()
     lists = lists.where("count > 1").select("token", F.ceil(F.col("count") / LIST_SIZE).cast("int").alias("lists"))
     posted = posted.join(lists, "token").withColumn("list", F.explode(F.sequence(F.lit(0), F.col("lists") - 1)))
