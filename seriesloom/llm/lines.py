@@ -251,11 +251,35 @@ def _verified(similarity: float):
     return run
 
 
+def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    for batch in batches:
+        yield np.concatenate([batch.column(c).to_numpy() for c in ("b1", "a1")]).view(np.uint64)
+
+
+def _named(sketch):
+    """Task side: the lines that may be named."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: Sketch = sketch.value
+        for batch in batches:
+            keep = names.reaches(batch.column("s1").to_numpy().view(np.uint64))
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
 def _matches(reps: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """``s1, s2`` of the lines with a verified earlier match among ``pairs``."""
+    """``s1, s2`` of the lines with a verified earlier match among ``pairs``.
+
+    Few lines are in a pair; a sketch of their names keeps the tokens of most others
+    out of the joins.
+    """
+    named = count_sketch(pairs.select("b1", "a1"), _names, expected=2 * pairs.count(), levels=(1,))
+    named = _named(reps.sparkSession.sparkContext.broadcast(named))
+    held = reps.select("s1", "s2", "tokens").mapInArrow(named, "s1 long, s2 long, tokens binary")
     pairs = pairs.distinct()
     for side in ("b", "a"):
-        tokens = reps.select(F.col("s1").alias(f"{side}1"), F.col("s2").alias(f"{side}2"), F.col("tokens").alias(f"tokens_{side}"))
+        tokens = held.select(F.col("s1").alias(f"{side}1"), F.col("s2").alias(f"{side}2"), F.col("tokens").alias(f"tokens_{side}"))
         pairs = pairs.join(tokens, [f"{side}1", f"{side}2"])
     return pairs.mapInArrow(_verified(similarity), "s1 long, s2 long").distinct()
 
