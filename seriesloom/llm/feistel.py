@@ -42,57 +42,54 @@ def feistel(index: np.ndarray, count: int, seed: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _count_tokens(path: str):
-    """Task side: the number of tokens of this task's texts, each with an end mark."""
+def _pack_sequences(path: str, end: int, length: int):
+    """Task side: this task's tokens as packed sequences; the last one is filled up with end marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, total = coder(path), 0
-        for part in slices(batches, "text"):
-            texts = [(t or "").encode() for t in part.column("text").to_pylist()]
-            total += sum(code.count(texts)) + len(texts)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total], pa.int64())], names=["part", "tokens"]
-        )
-
-    return run
-
-
-def _pack_sequences(path: str, end: int, length: int, places, count: int, seed: int):
-    """Task side: this task's tokens as sequences with their slots; the last one is filled up with end marks."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = coder(path)
-        first, tokens = places.value.get(TaskContext.get().partitionId(), (0, 0))
+        code, pack, part = coder(path), _codec(), TaskContext.get().partitionId()
         mark = np.array([end], code.kind).tobytes()
         width = length * code.kind.itemsize
-        held, made, seen = b"", 0, 0
+        held, made = b"", 0
 
         def rows(data: bytes, used: list[int]) -> pa.RecordBatch:
-            slots = feistel(np.arange(first + made, first + made + len(used)), count, seed)
-            parts = [data[i * width : (i + 1) * width] for i in range(len(used))]
-            order = pa.array(np.arange(first + made, first + made + len(used)))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(slots), order, pa.array(used, pa.int32()), pa.array(parts, pa.binary())], names=["slot", "sequence", "n_tokens", "data"]
-            )
-
-        for part in slices(batches, "text"):
-            texts = [(t or "").encode() for t in part.column("text").to_pylist()]
+            parts = [pack.compress(data[i * width : (i + 1) * width], asbytes=True) for i in range(len(used))]
+            own = np.full(len(used), part, np.int32)
+            nth = np.arange(made, made + len(used))
+            columns = [pa.array(own), pa.array(nth), pa.array(used, pa.int32()), pa.array(parts, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["part", "nth", "n_tokens", "packed"])
+
+        for batch in slices(batches, "text"):
+            texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
             held += b"".join([c + mark for c in code.encode(texts)])
             whole = len(held) // width
             if whole:
                 yield rows(held, [length] * whole)
-                made, seen, held = made + whole, seen + whole * length, held[whole * width :]
+                made, held = made + whole, held[whole * width :]
         if held:
             used = len(held) // code.kind.itemsize
             yield rows(held + mark * (length - used), [used])
-            seen += used
-        if seen != tokens:
-            raise RuntimeError(f"the input changed between two readings: {tokens} tokens, then {seen}")
 
     return run
 
 
-def _write_shards(folder: str, per_shard: int):
+def _codec() -> pa.Codec:
+    return pa.Codec("zstd", compression_level=6)
+
+
+def _place(firsts, count: int, seed: int):
+    """Task side: the number of each sequence, and its slot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first = np.array([firsts.value[p] for p in batch.column("part").to_pylist()], np.int64)
+            number = first + batch.column("nth").to_numpy()
+            columns = [pa.array(feistel(number, count, seed)), pa.array(number), batch.column("n_tokens"), batch.column("packed")]
+            yield pa.RecordBatch.from_arrays(columns, names=["slot", "sequence", "n_tokens", "packed"])
+
+    return run
+
+
+def _write_shards(folder: str, per_shard: int, stride: int):
     """Task side: shards of this task's slots, each written under another name and then renamed.
 
     Slots come sorted, and a task has whole shards: a lost task writes the same files again.
@@ -103,7 +100,7 @@ def _write_shards(folder: str, per_shard: int):
 
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
-        shard, out, name, at = None, None, None, 0
+        shard, out, name, at, pack = None, None, None, 0, _codec()
 
         def close():
             out.close()
@@ -114,14 +111,15 @@ def _write_shards(folder: str, per_shard: int):
 
         for batch in batches:
             offsets, shards, digests = [], [], []
-            for slot, data in zip(batch.column("slot").to_pylist(), batch.column("data").to_pylist(), strict=True):
+            for slot, packed in zip(batch.column("slot").to_pylist(), batch.column("packed").to_pylist(), strict=True):
+                data = pack.decompress(packed, decompressed_size=stride, asbytes=True)
                 if slot // per_shard != shard:
                     if shard is not None:
                         close()
                     shard, at = slot // per_shard, 0
                     name = f"{root}/.shard-{shard:08d}.{uuid.uuid4().hex}"
                     out = store.open_output_stream(name)
-                if slot != shard * per_shard + at // len(data):
+                if slot != shard * per_shard + at // stride:
                     raise RuntimeError(f"slot {slot} is not next in shard {shard}")
                 out.write(data)
                 shards.append(f"shard-{shard:08d}.bin")
@@ -175,29 +173,31 @@ def write_training_order(
     vocabulary allows: slot s lies at (s mod per_shard) * stride, so a reader can go on
     at any slot. Shards appear whole or not at all.
 
-    ``docs`` is read twice, to count and to pack, and must give the same partitions both
-    times, as a scan of files does; a partition that differs is an error. A null or empty
-    text is its end mark alone. Repeated rows are texts like any other. An empty table
-    writes no shard and gives no rows. Other columns are not looked at.
+    ``docs`` is read once; its sequences are written packed, numbered by the partition
+    that made them, and dealt by slot. Only the number of sequences of each partition
+    comes to the driver: a number for each task. A null or empty text is its end mark
+    alone. Repeated rows are texts like any other. An empty table writes no shard and
+    gives no rows. Other columns are not looked at.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(text).cast("string").alias("text"))
-    counted = rows.mapInArrow(_count_tokens(path), "part long, tokens long").where("tokens > 0").orderBy("part").collect()
-    places, count = {}, 0
-    for part, tokens in counted:
-        places[part] = (count, tokens)
-        count += -(-tokens // length)
+    made = stage_table(rows.mapInArrow(_pack_sequences(path, end, length), "part int, nth long, n_tokens int, packed binary"), "sequences")
+    firsts, count = {}, 0
+    for part, size in sorted(made.groupBy("part").count().collect()):
+        firsts[part], count = count, count + size
     folder = folder or f"{shared_dir(spark).rstrip('/')}/seriesloom/shards-{uuid.uuid4().hex}"
-    folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
-    made = rows.mapInArrow(
-        _pack_sequences(path, end, length, spark.sparkContext.broadcast(places), count, seed),
-        "slot long, sequence long, n_tokens int, data binary",
+    if "://" not in folder:  # a path, or file:/path
+        folder = "file://" + folder.removeprefix("file:")
+    placed = made.mapInArrow(
+        _place(spark.sparkContext.broadcast(firsts), count, seed), "slot long, sequence long, n_tokens int, packed binary"
     )
-    tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(1, -(-count // per_shard)))
+    shards = max(1, -(-count // per_shard))
+    tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), shards)
     # Slots are known to be 0 ... count - 1, so ranges of whole shards need no sample.
-    task = F.floor(F.floor(F.col("slot") / per_shard) * tasks / max(1, -(-count // per_shard))).cast("int")
-    dealt = made.repartitionById(tasks, task).sortWithinPartitions("slot")
+    task = F.floor(F.floor(F.col("slot") / per_shard) * tasks / shards).cast("int")
+    dealt = placed.repartitionById(tasks, task).sortWithinPartitions("slot")
+    stride = length * coder(path).kind.itemsize
     manifest = dealt.mapInArrow(
-        _write_shards(folder, per_shard), "slot long, sequence long, n_tokens int, shard string, byte_offset long, sha256 string"
+        _write_shards(folder, per_shard, stride), "slot long, sequence long, n_tokens int, shard string, byte_offset long, sha256 string"
     )
     return stage_table(manifest, "shard-manifest")
