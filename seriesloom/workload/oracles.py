@@ -521,7 +521,7 @@ oracle(
         (SELECT unnest(['y', 'year', 'month', 'day', 'day_of_week', 'week_of_year', 'month_sin', 'month_cos', 'day_sin',
          'day_cos']) AS input) UNION ALL SELECT 30, 'intercept', true""",
 )
-oracle("fit_sequence_trees", _DAILY, "SELECT unnest(['loss', 'val_loss']) AS metric, true AS fell, true AS all_finite")
+oracle("fit_sequence_trees", _DAILY, "SELECT unnest(['loss', 'val_loss']) AS metric, true AS beats_mean")
 oracle("training_history", _DAILY, "SELECT 0 AS iteration, unnest(['loss', 'val_loss']) AS metric, true AS small")
 _ONE_LAG = f"""{_WEEKLY}, {_SPLIT.format(source='(SELECT group_id, series_id, ds, y / 1e6 AS y FROM weekly)')},
   lagged AS (SELECT group_id, series_id, ds, split, CAST(CAST(y AS FLOAT) AS DOUBLE) AS y,

@@ -591,13 +591,13 @@ def predict_sequence_batch(spark, d):
 
 @query
 def fit_sequence_trees(spark, d):
-    """Boosted trees with the default settings: whether both losses fell."""
-    config = ModelConfig(sequence_kind="gbt")
+    """Boosted trees with the default settings: whether their last losses beat the mean of the actuals."""
     _, rows = _windows(spark, d)
-    history = sequence.fit_sequence(rows, config).history
-    return history.groupBy("metric").agg(
-        (F.max_by("value", "iteration") < F.min_by("value", "iteration")).alias("fell"), F.bool_and(finite("value")).alias("all_finite")
-    )
+    last = sequence.final_metrics(sequence.fit_sequence(rows, ModelConfig(sequence_kind="gbt")).history)
+    metric = F.when(F.col("split") == "train", "loss").otherwise("val_loss").alias("metric")
+    spread = rows.where("split <> 'test'").groupBy(metric).agg(F.var_pop("yt").alias("spread"))
+    better = finite("value") & (F.col("value") < F.col("spread"))
+    return last.join(spread, "metric").select("metric", better.alias("beats_mean"))
 
 
 def one_lag(spark, d):
