@@ -15,8 +15,17 @@ from ..session import stage_table
 # Vectors of a shard, and of a leaf of its tree; queries that a job asks, and that a task asks at a time.
 SHARD, LEAF = 8192, 128
 QUERY_BLOCK, QUERIES_AT_ONCE = 32_768, 2048
-# Vectors kept beyond the nearest k, so that rounding in the search does not decide.
-SPARE = 4
+# Pairs scored at a time, and components of vectors held for them.
+PAIRS, COMPONENTS = 262_144, 4_194_304
+
+
+def slack(size: int) -> float:
+    """More than rounding can change a squared distance of unit vectors, or two of their cosines.
+
+    A product of ``size`` terms is off by at most ``size`` units of rounding, whatever
+    the order of the sum, and so is each vector's length.
+    """
+    return 8 * (size + 16) * float(np.finfo(np.float64).eps)
 
 
 class Node:
@@ -32,8 +41,8 @@ class VpTree:
     """Distinct vectors of a shard, ordered so that each subtree is a range.
 
     Distances are those of unit vectors, which order as the cosine does and keep the
-    triangle inequality. Equal vectors are one, with their smallest ids; ``k + 1`` of
-    them are enough for any query, its own id included.
+    triangle inequality. Equal vectors are one, with their smallest ids: each ``k`` times
+    at most, and ``2 * k`` in all, so that k are left for any query without its own id.
     """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
@@ -42,8 +51,16 @@ class VpTree:
         new = np.ones(len(ids), bool)
         new[1:] = (vectors[1:] != vectors[:-1]).any(axis=1)
         heads = np.flatnonzero(new)
-        ends = np.append(heads[1:], len(ids))
-        self.ids = [ids[i : min(j, i + k + 1)] for i, j in zip(heads, ends, strict=True)]
+        run = new.copy()
+        run[1:] |= ids[1:] != ids[:-1]
+        nth = np.arange(len(ids)) - np.maximum.accumulate(np.where(run, np.arange(len(ids)), 0))
+        kept = np.flatnonzero(nth < k)
+        owner = (np.cumsum(new) - 1)[kept]
+        kept = kept[np.arange(len(kept)) - np.searchsorted(owner, owner) < 2 * k]
+        owner = (np.cumsum(new) - 1)[kept]
+        self.ids, self.starts = ids[kept], np.searchsorted(owner, np.arange(len(heads) + 1))
+        self.first = ids[heads]
+        self.alone = ids[np.append(heads[1:], len(ids)) - 1] == self.first
         self.vectors = vectors[heads]
         wide = self.vectors.astype(np.float64)
         # Scaled by the largest component first, so that squares neither vanish nor overflow.
@@ -68,15 +85,24 @@ class VpTree:
         node.inside, node.outside = self._build(low + 1, middle, rng), self._build(middle, high, rng)
         return node
 
-    def search(self, unit: np.ndarray, keep: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Places and distances of the ``keep`` nearest vectors of each query found."""
+    def _own(self, own: np.ndarray | None, spots: np.ndarray) -> np.ndarray | bool:
+        """Whether a vector has no id but the query's own."""
+        return False if own is None else self.alone[spots] & (self.first[spots] == own[:, None])
+
+    def search(self, unit: np.ndarray, keep: int, factor: float, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Places and distances of the ``keep`` nearest vectors of each query found, those of its ``own`` id only left out.
+
+        Of vectors equally far, any are kept.
+        """
         best = np.full((len(unit), keep), np.inf)
         place = np.full((len(unit), keep), -1)
+        margin = 3 * np.sqrt(slack(unit.shape[1]))
 
         def meet(asks: np.ndarray, spots: np.ndarray) -> np.ndarray:
             far = np.sqrt(np.maximum(0.0, 2 - 2 * (unit[asks] @ self.unit[spots].T)))
-            every = np.concatenate([best[asks], far], axis=1)
-            names = np.concatenate([place[asks], np.broadcast_to(spots, far.shape)], axis=1)
+            mine = self._own(None if own is None else own[asks], spots)
+            every = np.concatenate([best[asks], np.where(mine, np.inf, far)], axis=1)
+            names = np.concatenate([place[asks], np.where(mine, -1, np.broadcast_to(spots, far.shape))], axis=1)
             cut = np.argpartition(every, keep - 1, axis=1)[:, :keep]
             best[asks] = np.take_along_axis(every, cut, axis=1)
             place[asks] = np.take_along_axis(names, cut, axis=1)
@@ -85,7 +111,7 @@ class VpTree:
         def near(asks: np.ndarray, gap: np.ndarray) -> np.ndarray:
             # A vector beyond the border is at least |gap| away: with factor 1 none of the nearest is missed.
             worst = best[asks].max(axis=1)
-            return asks[gap * factor <= worst + 1e-9]
+            return asks[gap * factor <= worst + margin]
 
         def visit(node: Node, asks: np.ndarray) -> None:
             if not len(asks):
@@ -103,6 +129,56 @@ class VpTree:
         visit(self.root, np.arange(len(unit)))
         return place, best
 
+    def within(self, unit: np.ndarray, reach: np.ndarray, factor: float, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Queries and places of all vectors no further than ``reach`` and what rounding may hide, a leaf at a time."""
+        wide = slack(unit.shape[1])
+        limit = reach * reach + 3 * wide
+        edge = np.sqrt(limit) + 3 * np.sqrt(wide)
+        nodes = [(self.root, np.arange(len(unit)))]
+        while nodes:
+            node, asks = nodes.pop()
+            if not len(asks):
+                continue
+            leaf = node.inside is None
+            spots = self.order[node.low : node.high] if leaf else np.array([node.point])
+            square = np.maximum(0.0, 2 - 2 * (unit[asks] @ self.unit[spots].T))
+            query, at = np.nonzero((square <= limit[asks][:, None]) & ~self._own(own[asks], spots))
+            if len(query):
+                yield asks[query], spots[at]
+            if not leaf:
+                gap = np.sqrt(square[:, 0]) - node.radius
+                nodes.append((node.inside, asks[(gap <= 0) | (gap * factor <= edge[asks])]))
+                nodes.append((node.outside, asks[(gap > 0) | (-gap * factor <= edge[asks])]))
+
+    def nearest(self, own: np.ndarray, vectors: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query number, id and score of the ``k`` best rows of each query, by score and then by id.
+
+        The search gives the distance of the k-th vector only; every vector as near is
+        scored, since which of them have the smaller ids is not known before.
+        """
+        unit = _unit(vectors)
+        place, far = self.search(unit, k, factor, own)
+        query, at = np.nonzero(place >= 0)
+        held = [(query, place[query, at])]
+        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        for query, at in self.within(unit, far.max(axis=1), factor, own):
+            fresh = (place[query] != at[:, None]).all(axis=1)
+            held.append((query[fresh], at[fresh]))
+            if sum(len(q) for q, _ in held) >= PAIRS:
+                best, held = self._scored(best, held, own, vectors, k), []
+        return self._scored(best, held, own, vectors, k) if held else best
+
+    def _scored(self, best: tuple, held: list, own: np.ndarray, vectors: np.ndarray, k: int) -> tuple:
+        query, at = (np.concatenate(x) for x in zip(*held, strict=True))
+        step = max(1, COMPONENTS // vectors.shape[1])
+        parts = [slice(low, low + step) for low in range(0, len(query), step)]
+        score = np.concatenate([np.zeros(0), *[_cosine(vectors[query[p]], self.vectors[at[p]]) for p in parts]])
+        many = self.starts[at + 1] - self.starts[at]
+        row = np.repeat(self.starts[at] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        query, score, found = np.repeat(query, many), np.repeat(score, many), self.ids[row]
+        other = found != own[query]
+        return _cut(*(np.concatenate([x, y[other]]) for x, y in zip(best, (query, found, score), strict=True)), k)
+
 
 def usable(vector: Column) -> Column:
     """Whether a vector takes part: not null, not zero, and all its components finite."""
@@ -150,17 +226,10 @@ def _ask(block, k: int, factor: float):
                 known, vectors = block.value[size]
                 for low in range(0, len(known), QUERIES_AT_ONCE):
                     own, rows = known[low : low + QUERIES_AT_ONCE], vectors[low : low + QUERIES_AT_ONCE]
-                    place, _ = tree.search(_unit(rows), k + 1 + SPARE, factor)
-                    query, at = np.nonzero(place >= 0)
-                    at = place[query, at]
-                    score = _cosine(rows[query], tree.vectors[at])
-                    many = np.array([len(tree.ids[i]) for i in at], np.int64)
-                    query, score = np.repeat(query, many), np.repeat(score, many)
-                    found = np.concatenate([np.zeros(0, np.int64), *[tree.ids[i] for i in at]])
-                    other = found != own[query]
-                    ids.append(found[other])
-                    scores.append(score[other])
-                    asked.append(own[query][other])
+                    query, found, score = tree.nearest(own, rows, k, factor)
+                    ids.append(found)
+                    scores.append(score)
+                    asked.append(own[query])
             if sum(map(len, ids)) > 500_000:
                 yield _best(asked, ids, scores, k)
                 ids, scores, asked = [], [], []
@@ -170,13 +239,18 @@ def _ask(block, k: int, factor: float):
     return run
 
 
-def _best(asked: list, ids: list, scores: list, k: int) -> pa.RecordBatch:
-    query, vec, score = np.concatenate(asked), np.concatenate(ids), np.concatenate(scores)
+def _cut(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first ``k`` rows of each query, by score and then by id."""
     order = np.lexsort((vec, -score, query))
     query, vec, score = query[order], vec[order], score[order]
     head = np.maximum.accumulate(np.where(np.diff(query, prepend=query[:1] - 1) != 0, np.arange(len(query)), 0))
     keep = np.arange(len(query)) - head < k
-    return pa.RecordBatch.from_arrays([pa.array(query[keep]), pa.array(vec[keep]), pa.array(score[keep])], names=["query_id", "vec_id", "score"])
+    return query[keep], vec[keep], score[keep]
+
+
+def _best(asked: list, ids: list, scores: list, k: int) -> pa.RecordBatch:
+    best = _cut(*map(np.concatenate, (asked, ids, scores)), k)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in best], names=["query_id", "vec_id", "score"])
 
 
 def nearest(
@@ -188,7 +262,8 @@ def nearest(
     are dealt to shards by a hash, and each shard's distinct vectors are a vantage-point
     tree. A subtree is left out if the triangle inequality, its bound multiplied by
     ``factor``, shows that it holds nothing nearer: factor 1 finds the nearest exactly, a
-    larger one prunes more. Queries are asked in blocks of bounded size, each of which
+    larger one prunes more. Every vector as near as the k-th is scored, however many they
+    are. Queries are asked in blocks of bounded size, each of which
     all trees get; only a task's k best for a query leave it.
 
     Rows with a null key, or whose vector is null, zero or holds a null or non-finite

@@ -79,3 +79,46 @@ def test_a_larger_factor_prunes_more_and_keeps_most():
     loose, _ = tree.search(unit, 6, 2.0)
     recall = np.mean([len(set(a) & set(b)) / 6 for a, b in zip(loose.tolist(), brute.tolist(), strict=True)])
     assert 0.9 <= recall <= 1
+
+
+def tied_tables():
+    rng = np.random.default_rng(3)
+    signs = [(i, v) for i, v in enumerate(rng.choice([-1.0, 1.0], size=(1200, 8)).tolist())]
+    signs = [(i, [x * 2.0 ** float(rng.integers(-2, 3)) for x in v]) if i % 3 else (i, v) for i, v in signs]
+    line = [(i, [2.0 ** (20 - i % 40), 0.0, 0.0]) for i in range(300)]
+    hot = [(i, (np.eye(16)[i % 16] / 2.0 ** (i // 16)).tolist()) for i in range(500)]
+    again = [(0, [1.0, 1.0])] * 9 + [(0, [float(2**j), float(2**j)]) for j in range(1, 15)] + [(3, [1.0, 1.0])] * 8 + [(i, [1.0, 1.0]) for i in range(4, 9)]
+    far = [(i, [1.0, -float(i)]) for i in range(60, 99)]
+    wide = [(i, rng.choice([-1.0, 1.0], size=64).tolist()) for i in range(2000)]
+    return {"signs": signs, "scaled": line, "one-hot": hot, "repeated ids": again + far, "64 components": wide}
+
+
+@pytest.mark.parametrize("name", tied_tables())
+def test_ties_go_to_the_smaller_id_however_many(spark, monkeypatch, name):
+    monkeypatch.setattr(vptree, "LEAF", 16)
+    monkeypatch.setattr(vptree, "PAIRS", 1000)
+    rows = tied_tables()[name]
+    table = spark.createDataFrame([(*r, 1, 2, "s") for r in rows], SCHEMA).repartition(3)
+    got = sorted(tuple(r)[:3] for r in vptree.nearest(table, F.col("vec_id") % 50 == 0).collect())
+    ids, data = np.array([i for i, _ in rows]), np.array([v for _, v in rows], np.float32).astype(float)
+    length = np.sqrt((data * data).sum(axis=1))
+    want = []
+    for q in sorted({i for i in ids.tolist() if i % 50 == 0}):
+        # One row for each of the query's different vectors meets all other rows.
+        own = np.unique(data[ids == q], axis=0)
+        pairs = [(-s, i) for v in own for s, i in zip((data * v).sum(axis=1) / (np.sqrt((v * v).sum()) * length), ids, strict=True) if i != q]
+        want += [(q, r + 1, int(i)) for r, (_, i) in enumerate(sorted(pairs)[:5])]
+    assert got == want
+
+
+def test_pairs_are_cut_to_k_part_by_part(monkeypatch):
+    monkeypatch.setattr(vptree, "LEAF", 16)
+    monkeypatch.setattr(vptree, "PAIRS", 200)
+    monkeypatch.setattr(vptree, "COMPONENTS", 800)
+    data = np.random.default_rng(5).choice([-1.0, 1.0], size=(900, 10)).astype(np.float32)
+    ids = np.random.default_rng(6).permutation(900)
+    tree = vptree.VpTree(ids, data, 5)
+    query, found, score = tree.nearest(ids[::30], data[::30], 5, 1.0)
+    for n, (own, vector) in enumerate(zip(ids[::30], data[::30], strict=True)):
+        every = sorted((-s, i) for s, i in zip(vptree._cosine(vector[None], data), ids, strict=True) if i != own)[:5]
+        assert [(-s, i) for s, i in zip(score[query == n], found[query == n], strict=True)] == every
