@@ -12,30 +12,26 @@ from ..functions.calendar import known
 from ..schema import KEYS, check_series
 from ..session import numbered
 
-REQUEST = 64  # series compared with one another, where no other size is asked for; a task holds two times as many
+BLOCK = 64  # series of a block, where no other size is asked for; a task holds two blocks
 
 _SCHEMA = "group_id string, a string, b string, corr double"
 
 
 def correlation_matrix(
-    df: DataFrame, digits: int | None = None, size: int = REQUEST, top_k: int | None = None
+    df: DataFrame, digits: int | None = None, size: int | None = None, top_k: int | None = None
 ) -> DataFrame:
     """Pearson correlation of series with one another, over the dates both have a value.
 
-    The series of a group, in name order, are cut into requests of ``size``, and a
-    request has its whole matrix; a usual group is one request. With ``top_k`` all
-    requests of a group meet, and a series keeps its ``top_k`` strongest partners
-    (by size of the correlation, then by name; itself left out), so a large group
-    gives that many rows a series and not its square. A task turns one or two
-    requests into matrix products; no row per (pair, date) exists.
+    Every two series of a group meet, however many it has: in name order they are cut
+    into blocks, a series goes to each pair of blocks it takes part in, and a task
+    turns one pair into matrix products; no row per (pair, date) exists. Only where a
+    ``size`` is asked for is a group cut into requests of that many series, each with a
+    matrix of its own. With ``top_k`` all series of a group meet, in blocks of ``size``,
+    and a series keeps its ``top_k`` strongest partners (by size of the correlation, then
+    by name; itself left out), so a large group gives that many rows a series and not
+    its square.
     """
-    placed = _placed(df, size, None)
-    routed = df.withColumn("y", known("y")).join(placed, KEYS)
-    if top_k is None:
-        routed = routed.withColumn("other", F.col("block"))
-    else:
-        last = placed.groupBy("group_id").agg(F.max("block").alias("last"))
-        routed = routed.join(last, "group_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    routed = _routed(df, _placed(df, size or BLOCK, None), size is None or top_k is not None)
 
     def correlate(rows: pd.DataFrame) -> pd.DataFrame:
         out = _correlate_blocks(rows, False)
@@ -51,21 +47,20 @@ def correlation_matrix(
 
 
 def correlation_lower(
-    df: DataFrame, digits: int | None = None, size: int = REQUEST, order: list[str] | None = None
+    df: DataFrame, digits: int | None = None, size: int | None = None, order: list[str] | None = None
 ) -> DataFrame:
-    """The strictly lower triangle of each request's matrix: ``a`` comes after ``b``.
+    """The strictly lower triangle of the matrix of a group, or of each request of ``size``: ``a`` comes after ``b``.
 
     Series come in the ``order`` they were asked for, those not named behind by name;
     without it in name order. Only the triangle is made.
     """
-    placed = _placed(df, size, order)
-    routed = df.withColumn("y", known("y")).join(placed, KEYS).withColumn("other", F.col("block"))
+    routed = _routed(df, _placed(df, size or BLOCK, order), size is None)
     pairs = _by_block(routed).applyInPandas(lambda rows: _correlate_blocks(rows, True), _SCHEMA)
     return pairs if digits is None else pairs.withColumn("corr", F.round("corr", digits))
 
 
 def _placed(df: DataFrame, size: int, order: list[str] | None) -> DataFrame:
-    """Mean, number in its group and request of each series."""
+    """Mean, number in its group and block of each series."""
     asked = F.array(*[F.lit(s) for s in order or []]).cast("array<string>")
     place = F.array_position(asked, F.col("series_id"))
     series = check_series(df).groupBy(*KEYS).agg(F.avg(known("y")).alias("mean"))
@@ -75,6 +70,15 @@ def _placed(df: DataFrame, size: int, order: list[str] | None) -> DataFrame:
     )
 
 
+def _routed(df: DataFrame, placed: DataFrame, meet: bool) -> DataFrame:
+    """The rows of each series, once for each block it is compared with: its own or, if they ``meet``, all of its group."""
+    if meet:
+        last = placed.groupBy("group_id").agg(F.max("block").alias("last"))
+        placed = placed.join(last, "group_id")
+    routed = df.withColumn("y", known("y")).join(placed, KEYS)
+    return routed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))) if meet else F.col("block"))
+
+
 def _by_block(routed: DataFrame):
     return routed.select(
         *KEYS,
@@ -105,7 +109,8 @@ def _correlate_blocks(rows: pd.DataFrame, lower: bool) -> pd.DataFrame:
     a, b = np.repeat(left, len(right)), np.tile(right, len(left))
     out = pd.DataFrame({"group_id": rows["group_id"].iat[0], "a": names[a], "b": names[b], "corr": corr.ravel()})
     if lower:
-        return out[number[a] > number[b]]
+        # Of two blocks, the series of the second come after those of the first.
+        return out[number[a] > number[b]] if first == second else out.rename(columns={"a": "b", "b": "a"})[out.columns]
     if first != second:
         out = pd.concat([out, out.rename(columns={"a": "b", "b": "a"})[out.columns]])
     return out

@@ -87,6 +87,25 @@ def test_group_larger_than_a_request(spark):
     assert set(rows.loc[rows["a"] == "s003", "b"]) == {"s007"} and len(rows[rows["b"] == "s007"]) == 24
 
 
+def test_every_two_series_of_a_large_group_are_correlated(spark):
+    wide = spark.range(12 * 150).select(
+        F.lit("g").alias("group_id"),
+        F.format_string("s%03d", F.col("id") % 150).alias("series_id"),
+        F.date_add(F.lit(day("2024-01-01")), (F.col("id") / 150).cast("int")).alias("ds"),
+        F.sin(F.col("id") * F.col("id")).alias("y"),
+    )
+    want = wide.toPandas().pivot(index="ds", columns="series_id", values="y").corr()
+    for table in (correlation.correlation_matrix(wide), reports.report_tables(wide)["correlation"]):
+        rows = table.toPandas()
+        got = rows.pivot(index="a", columns="b", values="corr")
+        assert len(rows) == 150 * 150 and abs(got.to_numpy(float) - want.to_numpy()).max() < 1e-9
+    order = ["s149", "s070", "s003"]
+    place = {name: i for i, name in enumerate([*order, *(n for n in want.columns if n not in order)])}
+    lower = correlation.correlation_lower(wide, order=order).toPandas()
+    assert len(lower) == len(set(zip(lower["a"], lower["b"]))) == 150 * 149 // 2
+    assert all(place[a] > place[b] and abs(c - want.loc[a, b]) < 1e-9 for a, b, c in zip(lower["a"], lower["b"], lower["corr"]))
+
+
 def test_top_k_is_limited_before_the_shuffle(spark):
     plan = plan_of(demand.trending(hot_log(spark).withColumn("geo", F.lit("US")), "US", bucket="year"))
     assert "TakeOrderedAndProject" in plan
