@@ -22,6 +22,8 @@ SIMILARITY = 0.8
 RARITY = (2, 16)
 # A longer list of lines with one token is cut into lists of about this length, each of which meets every line of it.
 LIST_SIZE = 65_536
+# The lines that ask a list are cut into parts of about this length, each of which meets the whole list in a task of its own.
+ASK_SIZE = 262_144
 ROWS_AT_ONCE = 100_000
 
 
@@ -183,7 +185,7 @@ def _pairs(similarity: float, every: bool):
     def search(rows: pa.Table) -> pa.RecordBatch:
         col = {c: rows.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in rows.column_names}
         new = np.ones(rows.num_rows, bool)
-        new[1:] = (col["token"][1:] != col["token"][:-1]) | (col["list"][1:] != col["list"][:-1])
+        new[1:] = np.any([col[c][1:] != col[c][:-1] for c in ("token", "list", "part")], axis=0)
         place = np.arange(rows.num_rows)
         head = np.maximum.accumulate(np.where(new, place, 0))
         # Members of a list are compared with; others only ask.
@@ -221,7 +223,7 @@ def _pairs(similarity: float, every: bool):
                 continue
             rows = pa.Table.from_batches(held)
             same = np.ones(rows.num_rows, bool)
-            for c in ("token", "list"):
+            for c in ("token", "list", "part"):
                 values = rows.column(c).to_numpy()
                 same &= values == values[-1]
             cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
@@ -235,6 +237,20 @@ def _pairs(similarity: float, every: bool):
     return run
 
 
+def _dealt(posted: DataFrame) -> DataFrame:
+    """Postings by token, list and part of those that ask: the members of the list, and the lines of the part.
+
+    A line goes to its own list, in all parts, and if it ``asks`` to every list, in its
+    own part. So a task gets a list and a part at most, however many lines have the token.
+    """
+    own = F.pmod(F.xxhash64("s1"), F.col("lists")).cast("int")
+    rows = posted.withColumn("own", own).withColumn("ask", F.pmod(F.xxhash64("s2"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("list", F.explode(F.when(F.col("asks"), F.sequence(F.lit(0), F.col("lists") - 1)).otherwise(F.array("own"))))
+    rows = rows.withColumn("member", F.col("list") == F.col("own"))
+    rows = rows.withColumn("part", F.explode(F.when(F.col("member"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("ask"))))
+    return rows.withColumn("asks", F.col("asks") & (F.col("part") == F.col("ask"))).drop("lists", "parts", "own", "ask")
+
+
 def _verified(similarity: float):
     """Task side: the pairs whose token sets have the Jaccard similarity."""
 
@@ -300,14 +316,14 @@ def repeated_lines(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     few = count_sketch(reps.select("live", "tokens"), _prefixes(similarity), expected=10 * reps.count())
     posted = reps.mapInArrow(_postings(similarity, spark.sparkContext.broadcast(few)), _POSTINGS)
     lists = posted.groupBy("token").count()
-    lists = lists.where("count > 1").select("token", F.ceil(F.col("count") / LIST_SIZE).cast("int").alias("lists"))
-    posted = posted.join(lists, "token").withColumn("list", F.explode(F.sequence(F.lit(0), F.col("lists") - 1)))
-    posted = posted.withColumn("member", F.pmod(F.xxhash64("s1"), F.col("lists")) == F.col("list")).drop("lists")
-    posted = stage_table(posted, "postings")
+    cut = [F.ceil(F.col("count") / size).cast("int").alias(name) for name, size in (("lists", LIST_SIZE), ("parts", ASK_SIZE))]
+    lists = lists.where("count > 1").select("token", *cut)
+    posted = stage_table(posted.join(lists, "token"), "postings")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def searched(rows: DataFrame, every: bool) -> DataFrame:
-        dealt = rows.repartition(tasks, "token", "list").sortWithinPartitions("token", "list", "rank", "line", "s1", "s2")
+        dealt = _dealt(rows).repartition(tasks, "token", "list", "part")
+        dealt = dealt.sortWithinPartitions("token", "list", "part", "rank", "line", "s1", "s2")
         return stage_table(dealt.mapInArrow(_pairs(similarity, every), "b1 long, b2 long, a1 long, a2 long"), "line-pairs")
 
     pairs = searched(posted.withColumn("asks", F.lit(True)), False)

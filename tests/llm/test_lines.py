@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+import itertools
 import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -70,6 +72,38 @@ def test_later_matches_go(spark, monkeypatch, list_size):
     assert sorted(map(str, (tuple(r) for r in whole.collect()))) == sorted(map(str, renewed))
 
 
+def test_a_hot_token_is_searched_in_bounded_groups(spark, monkeypatch):
+    monkeypatch.setattr(lines, "LIST_SIZE", 8)
+    monkeypatch.setattr(lines, "ASK_SIZE", 16, raising=False)
+    search = lines._pairs
+
+    def counting(similarity, every):
+        run = search(similarity, every)
+
+        def counted(batches):
+            sizes: Counter = Counter()
+
+            def passed():
+                for batch in batches:
+                    names = [c for c in ("token", "list", "part") if c in batch.schema.names]
+                    sizes.update(zip(*(batch.column(c).to_pylist() for c in names), strict=True))
+                    yield batch
+
+            yield from run(passed())
+            assert max(sizes.values(), default=0) <= 64
+
+        return counted
+
+    monkeypatch.setattr(lines, "_pairs", counting)
+    texts = [" ".join(x) for x in itertools.product("ab", repeat=10)]
+    random.Random(6).shuffle(texts)
+    rows = list(enumerate(texts[:600]))
+    docs = spark.createDataFrame([(k, t, "en", "s", 7) for k, t in rows], SCHEMA).repartition(4)
+    got = dict(lines.dedup_lines(docs).select("doc_id", "n_removed").collect())
+    want = {k: len(gone) for (k, _), gone in zip(rows, plain(rows), strict=True)}
+    assert got == want and 0 < sum(want.values()) < 600
+
+
 def test_empty_table_and_clashing_names(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, row int, lines int, rank string, tie int, kept int, n_lines int")
     assert lines.dedup_lines(docs).count() == 0 and lines.without_repeated_lines(docs).count() == 0
