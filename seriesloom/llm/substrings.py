@@ -86,7 +86,8 @@ def _claims(window: int, piece: int, sketch):
             sizes = np.concatenate([np.ones(len(open_rows), np.int64), np.diff(np.append(edges, len(settled)))])
             spots = np.concatenate([spot[open_rows], spot[settled]])
             tie = part.column("tie").to_numpy()
-            names = np.concatenate([a[open_rows].view(np.int64), tie[owner]])
+            # The result of a settled row is known, and it meets no other: its place is spread by document.
+            names = np.concatenate([a[open_rows].view(np.int64), part.column("rank").to_numpy()[owner]])
             more = np.concatenate([b[open_rows].view(np.int32), np.zeros(len(owner), np.int32)])
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(spots))
             yield pa.RecordBatch.from_arrays(
@@ -161,7 +162,7 @@ def remove_repeated(
     claims = ranked.mapInArrow(
         _claims(window, piece, counts), "a long, b int, rank long, tie long, spots array<int>, settled boolean"
     )
-    first = F.min("rank").over(Window.partitionBy("a", "b"))
+    first = F.min("rank").over(Window.partitionBy("a", "b", "settled"))
     claims = claims.withColumn("least", first).where("settled or rank > least")
     spots = claims.groupBy("rank", F.col("tie").alias("same")).agg(F.flatten(F.collect_list("spots")).alias("spots"))
     found = rows.join(spots, (rows["key"] == spots["rank"]) & (rows["tie"] == spots["same"]), "left").select("key", "text", "spots")

@@ -2,6 +2,10 @@ from __future__ import annotations
 
 import random
 import re
+from types import SimpleNamespace
+
+import numpy as np
+import pyarrow as pa
 
 from seriesloom.llm import substrings
 
@@ -54,3 +58,15 @@ def test_short_windows_and_empty_table(spark):
     got = substrings.remove_repeated(docs, window=3, piece=2)
     assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, plain(rows, 3)))
     assert substrings.remove_repeated(docs.where("doc_id < 0")).count() == 0
+
+
+def test_settled_rows_of_copies_do_not_share_a_place():
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = pa.RecordBatch.from_arrays(
+        [pa.array(range(300), pa.int64()), pa.array([7] * 300, pa.int64()), pa.array([text] * 300)], names=["rank", "tie", "text"]
+    )
+    sketch = SimpleNamespace(value=SimpleNamespace(reaches=lambda hashes: np.ones(len(hashes), bool)))
+    got = pa.Table.from_batches(substrings._claims(13, 5, sketch)([rows])).to_pylist()
+    settled = [r for r in got if r["settled"]]
+    assert len(settled) == 299 and len({(r["a"], r["b"]) for r in settled}) == 299
+    assert all(sorted(r["spots"]) == list(range(28)) for r in settled) and sum(not r["settled"] for r in got) == 28
