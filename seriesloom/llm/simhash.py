@@ -21,6 +21,8 @@ BITS = 64
 SHARD_SIZE = 64
 # A larger shard is cut into several trees of about this size, each of which meets every fingerprint of the shard.
 TREE_SIZE = 4096
+# The fingerprints that ask a tree are cut into parts of about this size, each of which builds the tree again in a task of its own.
+ASK_SIZE = 65_536
 # Rows a task searches at a time, and pairs (fingerprint, tree node) it holds at a time.
 ROWS_AT_ONCE, PAIRS_AT_ONCE = 200_000, 1_000_000
 
@@ -168,25 +170,25 @@ def _search_shards(radius: int):
         held: list[pa.RecordBatch] = []
 
         def done(rows: pa.Table) -> pa.RecordBatch:
-            cols = [rows.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("place", "key", "tree", "fp")]
-            # Rows come sorted by shard and tree, so groups are runs.
+            cols = [rows.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("place", "key", "tree", "part", "fp")]
+            # Rows come sorted by shard, tree and part, so groups are runs.
             new = np.zeros(len(cols[0]), bool)
-            for c in cols[:3]:
+            for c in cols[:4]:
                 new[1:] |= c[1:] != c[:-1]
-            fp = cols[3].view(np.uint64)
+            fp = cols[4].view(np.uint64)
             member = rows.column("member").combine_chunks().to_numpy(zero_copy_only=False)
             node, label = _linked(fp, np.cumsum(new), member, radius)
             apart = fp[node] != fp[label]
-            return pa.RecordBatch.from_arrays([pa.array(cols[3][node][apart]), pa.array(cols[3][label][apart])], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(cols[4][node][apart]), pa.array(cols[4][label][apart])], names=["a", "b"])
 
         for batch in batches:
             held.append(batch)
             if sum(b.num_rows for b in held) < ROWS_AT_ONCE:
                 continue
             rows = pa.Table.from_batches(held)
-            last = [rows.column(c)[-1] for c in ("place", "key", "tree")]
+            last = [rows.column(c)[-1] for c in ("place", "key", "tree", "part")]
             same = np.ones(rows.num_rows, bool)
-            for c, v in zip(("place", "key", "tree"), last, strict=True):
+            for c, v in zip(("place", "key", "tree", "part"), last, strict=True):
                 same &= rows.column(c).to_numpy() == v.as_py()
             cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
             if cut:
@@ -220,7 +222,8 @@ def fingerprint_links(known: DataFrame, radius: int) -> DataFrame:
 
     A fingerprint goes to one shard for each mask. A shard is searched where it lies,
     through its own BK-tree. A shard of more than TREE_SIZE rows has several trees:
-    each row is in one of them and asks all, in any number of tasks.
+    each row is in one of them and asks all, in any number of tasks. A task gets a tree
+    and a part of those that ask, however large the shard is.
     """
     spark = known.sparkSession
     signed = [m - (1 << BITS) if m >= 1 << (BITS - 1) else m for m in shard_masks(known.count(), radius)]
@@ -228,13 +231,16 @@ def fingerprint_links(known: DataFrame, radius: int) -> DataFrame:
         "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in signed])).alias("place", "key")
     )
     large = keyed.groupBy("place", "key").count().where(F.col("count") > TREE_SIZE)
-    large = large.select("place", "key", F.ceil(F.col("count") / TREE_SIZE).cast("int").alias("trees"))
-    rows = keyed.join(large, ["place", "key"], "left").withColumn("trees", F.coalesce("trees", F.lit(1)))
+    cut = [F.ceil(F.col("count") / size).cast("int").alias(name) for name, size in (("trees", TREE_SIZE), ("parts", ASK_SIZE))]
+    rows = keyed.join(large.select("place", "key", *cut), ["place", "key"], "left")
+    rows = rows.withColumns({c: F.coalesce(c, F.lit(1)) for c in ("trees", "parts")})
     rows = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)))
     rows = rows.withColumn("member", F.pmod(F.xxhash64("fp"), F.col("trees")) == F.col("tree"))
+    own = F.array(F.pmod(F.xxhash64("fp", F.lit(1)), F.col("parts")).cast("int"))
+    rows = rows.withColumn("part", F.explode(F.when(F.col("member"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(own)))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.select("place", "key", "tree", "member", "fp").repartition(tasks, "place", "key", "tree")
-    rows = rows.sortWithinPartitions("place", "key", "tree", "fp")
+    rows = rows.select("place", "key", "tree", "part", "member", "fp").repartition(tasks, "place", "key", "tree", "part")
+    rows = rows.sortWithinPartitions("place", "key", "tree", "part", "fp")
     return rows.mapInArrow(_search_shards(radius), "a long, b long")
 
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -104,6 +105,39 @@ def test_components_match_all_pairs(spark, monkeypatch, tree_size):
     assert sorted(r.doc_id for r in kept) == sorted(least.values())
 
 
+def test_a_hot_shard_is_searched_in_bounded_groups(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TREE_SIZE", 40)
+    monkeypatch.setattr(simhash, "ASK_SIZE", 80, raising=False)
+    search = simhash._search_shards
+
+    def counting(radius):
+        run = search(radius)
+
+        def counted(batches):
+            sizes: Counter = Counter()
+
+            def passed():
+                for batch in batches:
+                    names = [c for c in ("place", "key", "tree", "part") if c in batch.schema.names]
+                    sizes.update(zip(*(batch.column(c).to_pylist() for c in names), strict=True))
+                    yield batch
+
+            yield from run(passed())
+            assert max(sizes.values(), default=0) <= 250
+
+        return counted
+
+    monkeypatch.setattr(simhash, "_search_shards", counting)
+    # All agree on the upper bits.
+    prints = random.Random(8).sample(range(2**22), 600)
+    known = spark.createDataFrame([(x,) for x in prints], "fp long")
+    links = [tuple(r) for r in simhash.fingerprint_links(known, 4).collect()]
+    at = {x: i for i, x in enumerate(prints)}
+    got = simhash.smallest_labels(600, *(np.array([at[r[i]] for r in links]) for i in (0, 1))).tolist()
+    want = plain_components(prints, 4)
+    assert len(set(zip(got, want, strict=True))) == len(set(want)) == len(set(got)) < 600
+
+
 def test_empty_table_and_clashing_columns(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, fp string, key int, row int, _tie int")
     assert simhash.near_duplicates(docs).columns == ["doc_id", "fingerprint", "component_id"]
