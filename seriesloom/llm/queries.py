@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, feistel, lines, mixing, periodic, quality, simhash, substrings, unigram, vptree, warc
+from . import bpe, feistel, lines, mixing, negatives, periodic, quality, simhash, substrings, unigram, vptree, warc
 from .oracles import ORACLES
 
 
@@ -100,6 +100,12 @@ def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", shifted), F.col("vec_id") % 100 == 0, positives=5, negatives=10, low=30, high=90)
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_bpe": op2_bpe,
@@ -112,6 +118,7 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_substrings": op10_substrings,
     "op11_periodic": op11_periodic,
+    "op13_negatives": op13_negatives,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
