@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, feistel, lines, mixing, negatives, periodic, quality, simhash, substrings, unigram, vptree, warc
+from . import bpe, feistel, lines, mixing, negatives, periodic, quality, simhash, substrings, toxicity, unigram, vptree, warc
 from .oracles import ORACLES
 
 
@@ -100,6 +100,14 @@ def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    model = toxicity.fit(docs, labels, ~held_out)
+    scored = toxicity.score_documents(docs, model, threshold=0.7)
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "embeddings")
     shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -118,6 +126,7 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_substrings": op10_substrings,
     "op11_periodic": op11_periodic,
+    "op12_toxicity": op12_toxicity,
     "op13_negatives": op13_negatives,
 }
 
