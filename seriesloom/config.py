@@ -30,9 +30,18 @@ class ModelConfig:
     random_state: int = 42
     # lag-window model
     sequence_length: int = 30
-    sequence_kind: str = "linear"  # or "gbt"
+    sequence_kind: str = "linear"  # or "gbt" or "network"
+    sequence_direct: bool = True  # trees are trained for each step ahead; if not, their forecasts are fed back
     sequence_reg: float = 1e-4
     sequence_max_iter: int = 20
+    # the network: hidden units, steps of an epoch, and when its training slows down and ends
+    sequence_units: int = 64
+    sequence_epochs: int = 100
+    sequence_batches: int = 4
+    sequence_learning_rate: float = 0.001
+    sequence_dropout: float = 0.2
+    early_stopping_patience: int = 10
+    reduce_lr_patience: int = 5
     # seasonal additive model
     changepoint_prior_scale: float = 0.05
     seasonality_prior_scale: float = 10.0

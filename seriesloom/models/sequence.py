@@ -1,8 +1,9 @@
 """The lag-window forecaster: one model over the windows of all series.
 
-A regression from the flattened window to the next value, trained by pyspark.ml
-on the windows of every series together. 'linear' is a ridge solved in one pass
-over the data; 'gbt' are boosted trees that stop early on the val windows.
+A regression from the flattened window to the next value, trained on the windows of
+every series together. 'linear' is a ridge solved in one pass over the data; 'gbt' are
+boosted trees that stop early on the val windows; 'network' has a hidden layer and is
+trained in epochs, with early stopping and a falling rate (see ``network``).
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from ..functions.calendar import calendar_columns, cycle_columns
 from ..operators.metrics import MAPE_FLOOR
 from ..operators.windows import with_step
 from ..schema import CALENDAR_FEATURES, KEYS
+from .network import Network, fit_network, rolled
+from .trees import Ensemble, compile_trees
 
 MODEL_NAME = "sequence"
 
@@ -29,7 +32,7 @@ MODEL_NAME = "sequence"
 class SequenceModel:
     """A fitted regression with the shape of its windows, and its ``training_history``."""
 
-    model: LinearRegressionModel | GBTRegressionModel
+    model: LinearRegressionModel | GBTRegressionModel | Ensemble | Network
     kind: str
     length: int
     features: list[str]
@@ -86,7 +89,11 @@ def fit_sequence(
         has_val = not flagged.where("is_val").select("is_val").isEmpty()
         model = (trees.setValidationIndicatorCol("is_val") if has_val else trees).fit(flagged)
         return _with_history(SequenceModel(model, "gbt", config.sequence_length, inputs, direct), sequences)
-    raise ValueError(f"Unknown sequence model: {config.sequence_kind}. Known: ['linear', 'gbt']")
+    if config.sequence_kind == "network":
+        network, losses = fit_network(sequences, config, size)
+        history = sequences.sparkSession.createDataFrame(losses, "iteration int, metric string, value double")
+        return SequenceModel(network, "network", config.sequence_length, inputs, direct, history)
+    raise ValueError(f"Unknown sequence model: {config.sequence_kind}. Known: ['linear', 'gbt', 'network']")
 
 
 def _with_history(model: SequenceModel, sequences: DataFrame) -> SequenceModel:
@@ -112,10 +119,17 @@ def predict_sequence_batch(model: SequenceModel | None, sequences: DataFrame) ->
     kept = [c for c in ("split", "length") if c in sequences.columns]
     if model.direct and "step" not in sequences.columns:
         sequences = sequences.withColumn("x", with_step(F.col("x"), F.lit(1), len(model.features)))
-    scored = model.model.transform(vectors(sequences, model.size))
+    scored = _scored(model, sequences)
     return scored.select(*KEYS, "ds", *kept, F.col("label").alias("y"), F.col("prediction").alias("yhat"))
 
 
+def _scored(model: SequenceModel, sequences: DataFrame) -> DataFrame:
+    """``prediction`` and ``label`` of every window."""
+    if model.kind == "network":
+        return model.model.transform(sequences.withColumn("label", F.col("yt").cast("double")))
+    return model.model.transform(vectors(sequences, model.size))
+
+
 def loss_metrics(scored: DataFrame) -> DataFrame:
     """The losses a trained network reports on a test set, per series.
 
@@ -133,8 +147,11 @@ def loss_metrics(scored: DataFrame) -> DataFrame:
 def training_history(model: SequenceModel, sequences: DataFrame) -> DataFrame:
     """history(iteration, metric, value): loss by iteration, val_loss where there is one.
 
-    A linear model is solved in one step, so it has a single iteration.
+    A linear model is solved in one step, so it has a single iteration. That of a
+    network is what its training saw, by epoch, with the rate.
     """
+    if model.kind == "network":
+        return model.history
     spark = sequences.sparkSession
     ready = vectors(sequences.where(F.col("split").isin("train", "val")), model.size)
     if model.kind == "linear":
@@ -205,7 +222,14 @@ def forecast_recursive(
     with ``compat_roll`` it takes over that of the row that left the window.
     ``lengths`` has the lookback per series where it is shorter than the model's;
     the missing front rows are zeros, as in training.
+
+    Trees are compiled to an expression over the window (``trees``); a network rolls the
+    windows of many series at once in the task that holds them.
     """
+    if model.direct:
+        raise ValueError("A model that was trained for each step ahead forecasts directly")
+    if model.kind != "linear":
+        return _forecast_fed_back(model, df, future, lengths, compat_roll)
     length, inputs = model.length, model.features
     weights, intercept = model.coefficients()
     own = literal_array(w[0] for w in weights)
@@ -246,6 +270,48 @@ def forecast_recursive(
     return path.select(*KEYS, F.explode(cells).alias("c")).select(*KEYS, "c.ds", "c.yhat")
 
 
+def _single(column: str) -> Column:
+    """A value as the training windows have it: in single precision."""
+    return F.col(column).cast("float").cast("double")
+
+
+def _forecast_fed_back(
+    model: SequenceModel, df: DataFrame, future: DataFrame, lengths: DataFrame | None, compat_roll: bool
+) -> DataFrame:
+    """Recursion of a model that needs the whole window at each step."""
+    length, width = model.length, len(model.features)
+    row = F.array(*[_single(c) for c in model.features])
+    blank = F.array_repeat(F.lit(0.0), (F.lit(length) - F.col("length")) * width)
+    packed = last_rows(df, length, {"row": row}, lengths)
+    packed = packed.select(*KEYS, F.concat(blank, F.flatten("rows.row")).alias("window"))
+    z = F.array(*[_single(c) for c in model.features[1:]]).cast("array<double>")
+    calendar = future.withColumns(calendar_columns()).withColumns(cycle_columns())
+    cells = F.array_sort(F.collect_list(F.struct("step", "ds", z.alias("z"))))
+    both = packed.join(calendar.groupBy(*KEYS).agg(cells.alias("ahead")), KEYS)
+    if model.kind == "network":
+        task = rolled(model.model, length, width, compat_roll)
+        return both.select(*KEYS, "window", "ahead").mapInArrow(task, "group_id string, series_id string, ds date, yhat double")
+    ensemble = model.model if isinstance(model.model, Ensemble) else compile_trees(model.model)
+
+    def step(state: Column, cell: Column) -> Column:
+        held = state["window"]
+        known = F.slice(held, 2, width - 1) if compat_roll else cell["z"]
+
+        def moved(value: Column) -> Column:
+            fresh = F.concat(F.array(value.cast("float").cast("double")), known)
+            window = F.concat(F.slice(held, width + 1, (length - 1) * width), fresh)
+            return F.struct(window.alias("window"), F.concat(state["path"], F.array(value)).alias("path"))
+
+        # A list of one holds the forecast, which is then made once for both its uses.
+        return F.get(F.transform(F.array(ensemble.predict(held)), moved), F.lit(0))
+
+    start = F.struct(F.col("window"), F.array().cast("array<double>").alias("path"))
+    path = F.aggregate("ahead", start, step, lambda state: state["path"])
+    done = F.arrays_zip(F.col("ahead.ds").alias("ds"), F.col("path").alias("yhat"))
+    rows = both.withColumn("path", path).select(*KEYS, F.explode(done).alias("c"))
+    return rows.select(*KEYS, "c.ds", "c.yhat")
+
+
 def horizon_steps(periods: int) -> tuple[int, ...]:
     """Steps ahead a direct model is trained on: dense near the window, sparse further out."""
     steps, ahead = [1], 2
@@ -258,7 +324,7 @@ def horizon_steps(periods: int) -> tuple[int, ...]:
 def forecast_direct(model: SequenceModel, df: DataFrame, future: DataFrame, lengths: DataFrame | None = None) -> DataFrame:
     """Forecast each future step from the last window, with a model that knows the step.
 
-    This is how boosted trees forecast: no step waits for the one before it.
+    No step waits for the one before it.
     """
     row = F.array(*[F.col(c).cast("float") for c in model.features])
     width = len(model.features)
@@ -268,4 +334,4 @@ def forecast_direct(model: SequenceModel, df: DataFrame, future: DataFrame, leng
     )
     ready = windows.join(future, KEYS).withColumn("yt", F.lit(0.0))
     ready = ready.withColumn("x", with_step(F.col("x"), F.col("step"), width))
-    return model.model.transform(vectors(ready, model.size)).select(*KEYS, "ds", F.col("prediction").alias("yhat"))
+    return _scored(model, ready).select(*KEYS, "ds", F.col("prediction").alias("yhat"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..config import ModelConfig
 from . import additive, sequence
-
+from .network import Network
 
 
 @dataclass(frozen=True)
@@ -98,7 +98,10 @@ def load_additive(spark: SparkSession, path: str) -> DataFrame:
 def save_sequence(
     spark: SparkSession, model: sequence.SequenceModel, path: str, config: ModelConfig = ModelConfig()
 ) -> None:
-    model.model.write().overwrite().save(f"{path}/model")
+    if model.kind == "network":
+        model.model.save(spark, f"{path}/model")
+    else:
+        model.model.write().overwrite().save(f"{path}/model")
     if model.history is not None:
         model.history.write.mode("overwrite").parquet(f"{path}/history")
     payload = {
@@ -119,7 +122,7 @@ def load_sequence(spark: SparkSession, path: str) -> sequence.SequenceModel:
     about = read_metadata(spark, path)
     defaults = ModelConfig()
     kind = about.get("kind", defaults.sequence_kind)
-    model = _SEQUENCE_KINDS[kind].load(f"{path}/model")
+    model = Network.load(spark, f"{path}/model") if kind == "network" else _SEQUENCE_KINDS[kind].load(f"{path}/model")
     features = about.get("feature_names") or ["y", *sequence.CALENDAR_FEATURES]
     length = about.get("length", defaults.sequence_length)
     return sequence.SequenceModel(model, kind, length, features, about.get("direct", False), _history(spark, path))

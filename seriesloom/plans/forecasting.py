@@ -66,8 +66,8 @@ def train_models(
 ) -> Trained:
     """Fit every registered type asked for. An unknown type is skipped, a failing one isolated.
 
-    Boosted trees forecast each step directly, so they are trained for ``periods``
-    steps ahead.
+    Boosted trees that forecast each step directly (``sequence_direct``) are trained for
+    ``periods`` steps ahead; all other models forecast one step, which is fed back.
     """
     out = Trained()
     for kind in types:
@@ -78,7 +78,8 @@ def train_models(
                 out.additive = stage_table(models, "additive-models")
                 out.errors.append(additive.model_errors(out.additive))
             elif kind == sequence.MODEL_NAME:
-                steps = sequence.horizon_steps(periods) if config.sequence_kind == "gbt" else None
+                direct = config.sequence_kind == "gbt" and config.sequence_direct
+                steps = sequence.horizon_steps(periods) if direct else None
                 windows = split_sequences(split_df, config.sequence_length, steps=steps)
                 out.sequence = sequence.fit_sequence(windows, config)
                 out.errors.append(sequence.sequence_errors(split_df, windows))

@@ -408,6 +408,38 @@ oracle(
     ),
     "SELECT group_id, series_id, ds, round(y3, 6) AS yhat FROM steps WHERE i > 0",
 )
+_SINGLE = "CAST(CAST({} AS FLOAT) AS DOUBLE)"
+_LAST_THREE = f"""ends AS (SELECT group_id, series_id, ds, {_SINGLE.format("y")} AS y3,
+    {_SINGLE.format("lag(y, 1) OVER w")} AS y2, {_SINGLE.format("lag(y, 2) OVER w")} AS y1
+    FROM filled WINDOW w AS (PARTITION BY group_id, series_id ORDER BY ds)
+    QUALIFY row_number() OVER (PARTITION BY group_id, series_id ORDER BY ds DESC) = 1)"""
+
+
+def _recursion(value: str) -> str:
+    """Six days ahead; a forecast goes back into the window in single precision."""
+    return f"""steps AS (SELECT group_id, series_id, ds, 0 AS i, y1, y2, y3, NULL::DOUBLE AS yhat FROM ends UNION ALL
+        SELECT group_id, series_id, ds + 1, i + 1, y2, y3, {_SINGLE.format("v")}, v
+        FROM (SELECT *, {value} AS v FROM steps WHERE i < 6))"""
+
+
+for _name, _value in (
+    (
+        "forecast_recursive_trees_given",
+        """CASE WHEN y3 > 700000 THEN 350000::DOUBLE WHEN y1 <= 400000 THEN 750000::DOUBLE ELSE 650000.25::DOUBLE END
+           + 0.5::DOUBLE * CASE WHEN y2 <= 800000 THEN 40000.5::DOUBLE ELSE -20000.25::DOUBLE END""",
+    ),
+    (
+        "forecast_recursive_network_given",
+        """greatest(0, (y2 - 500000) / 250000 * 0.5::DOUBLE + (y3 - 400000) / 200000 * 0.75::DOUBLE + 0.1::DOUBLE) * 300000
+           - greatest(0, (y2 - 500000) / 250000 * -0.25::DOUBLE + (y3 - 400000) / 200000 * 0.5::DOUBLE + 0.2::DOUBLE) * 100000
+           + 250000""",
+    ),
+):
+    oracle(
+        _name,
+        ", ".join(["RECURSIVE " + _FILLED, _LAST_THREE, _recursion(_value)]),
+        "SELECT group_id, series_id, ds, round(yhat, 2) AS yhat FROM steps WHERE i > 0",
+    )
 oracle(
     "regression_metrics",
     _SCORED,
@@ -522,6 +554,7 @@ oracle(
          'day_cos']) AS input) UNION ALL SELECT 30, 'intercept', true""",
 )
 oracle("fit_sequence_trees", _DAILY, "SELECT unnest(['loss', 'val_loss']) AS metric, true AS beats_mean")
+oracle("fit_sequence_network", _DAILY, "SELECT unnest(['loss', 'val_loss']) AS metric, true AS beats_mean")
 oracle("training_history", _DAILY, "SELECT 0 AS iteration, unnest(['loss', 'val_loss']) AS metric, true AS small")
 _ONE_LAG = f"""{_WEEKLY}, {_SPLIT.format(source='(SELECT group_id, series_id, ds, y / 1e6 AS y FROM weekly)')},
   lagged AS (SELECT group_id, series_id, ds, split, CAST(CAST(y AS FLOAT) AS DOUBLE) AS y,
@@ -657,20 +690,6 @@ oracle(
 )
 
 
-def _corr(source: str, digits: int, condition: str) -> str:
-    return f"""SELECT l.group_id, l.series_id AS a, r.series_id AS b, round(corr(l.y, r.y), {digits}) AS corr
-       FROM {source} l JOIN {source} r ON l.group_id = r.group_id AND l.ds = r.ds {condition}
-       JOIN requests p ON p.group_id = l.group_id AND p.series_id = l.series_id
-       JOIN requests q ON q.group_id = r.group_id AND q.series_id = r.series_id AND p.request = q.request
-       GROUP BY 1, 2, 3"""
-
-
-def _requests(source: str) -> str:
-    return f"""{{}}, requests AS (SELECT group_id, series_id,
-        (row_number() OVER (PARTITION BY group_id ORDER BY series_id) - 1) // 64 AS request
-        FROM (SELECT DISTINCT group_id, series_id FROM {source}))"""
-
-
 for _name, _cte, _source, _digits, _which in (
     ("correlation_suppliers", _SUPPLIER, "supplier_weekly", 6, ""),
     ("correlation_matrix", _DAILY, "daily", 6, ""),
@@ -678,7 +697,12 @@ for _name, _cte, _source, _digits, _which in (
     # Asked for from the last priority to the first.
     ("correlation_lower_requested", _DAILY, "daily", 6, "AND l.series_id < r.series_id"),
 ):
-    oracle(_name, _requests(_source).format(_cte), _corr(_source, _digits, _which))
+    oracle(
+        _name,
+        _cte,
+        f"""SELECT l.group_id, l.series_id AS a, r.series_id AS b, round(corr(l.y, r.y), {_digits}) AS corr
+           FROM {_source} l JOIN {_source} r ON l.group_id = r.group_id AND l.ds = r.ds {_which} GROUP BY 1, 2, 3""",
+    )
 oracle(
     "correlation_strongest",
     _SUPPLIER,

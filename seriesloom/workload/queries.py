@@ -7,12 +7,15 @@ import uuid
 from dataclasses import replace
 
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import AppConfig, DataConfig, ModelConfig
 from ..functions.arrays import literal_array
 from ..models import additive, sequence, store
+from ..models.network import Network
+from ..models.trees import Ensemble
 from ..operators import cleaning, correlation, decomposition, demand, features, horizon, merging, metrics
 from ..operators import reports, scaling, selection, splitting, windows
 from ..plans import forecasting
@@ -655,6 +658,57 @@ def forecast_recursive(spark, d):
     return rows.select(*KEYS, F.date_add("last", F.col("at") + 1).alias("ds"), F.round("yhat", 6).alias("yhat"))
 
 
+# Two trees over the last three values, of different depths and weights.
+GIVEN_TREES = Ensemble(
+    feature=[2, 0, -1, -1, -1, 1, -1, -1],
+    threshold=[700_000.0, 400_000.0, 0.0, 0.0, 0.0, 800_000.0, 0.0, 0.0],
+    right=[4, 3, 2, 3, 4, 7, 6, 7],
+    value=[0.0, 0.0, 750_000.0, 650_000.25, 350_000.0, 0.0, 40_000.5, -20_000.25],
+    roots=[0, 5],
+    weights=[1.0, 0.5],
+    depth=2,
+)
+# Two hidden units over the last two values.
+GIVEN_NETWORK = Network(
+    mean=np.array([500_000.0, 400_000.0]),
+    scale=np.array([250_000.0, 200_000.0]),
+    inner=np.array([[0.5, -0.25], [0.75, 0.5]]),
+    inner_bias=np.array([0.1, 0.2]),
+    outer=np.array([300_000.0, -100_000.0]),
+    outer_bias=np.array([250_000.0]),
+)
+
+
+def _fed_back(spark, d, kind, model, length):
+    rows = filled(spark, d)
+    given = sequence.SequenceModel(model, kind, length, ["y"])
+    return rounded(sequence.forecast_recursive(given, rows, horizon.future_dates(rows, 6, "D")), 2, "yhat")
+
+
+@query
+def forecast_recursive_trees_given(spark, d):
+    """Fixed trees, compiled and fed back for six days."""
+    return _fed_back(spark, d, "gbt", GIVEN_TREES, 3)
+
+
+@query
+def forecast_recursive_network_given(spark, d):
+    """A fixed network fed back for six days."""
+    return _fed_back(spark, d, "network", GIVEN_NETWORK, 2)
+
+
+@query
+def fit_sequence_network(spark, d):
+    """A network trained in epochs: whether it learns and its best losses beat the mean of the actuals."""
+    rows = windows.split_sequences(staged_split(spark, d), features=["y"])
+    config = ModelConfig(sequence_kind="network", sequence_units=16, sequence_epochs=10, sequence_learning_rate=0.02, sequence_dropout=0.0)
+    best = sequence.fit_sequence(rows, config, ["y"]).history.groupBy("metric").agg(F.min("value").alias("value"))
+    metric = F.when(F.col("split") == "train", "loss").otherwise("val_loss").alias("metric")
+    spread = rows.where("split <> 'test'").groupBy(metric).agg(F.var_pop("yt").alias("spread"))
+    better = finite("value") & (F.col("value") < F.col("spread"))
+    return best.join(spread, "metric").select("metric", better.alias("beats_mean"))
+
+
 @query
 def regression_metrics(spark, d):
     table = metrics.regression_metrics(views.lagged_forecasts(filled(spark, d)))
