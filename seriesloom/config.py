@@ -50,7 +50,7 @@ class ModelConfig:
     seasonality_mode: str = "additive"
     yearly_seasonality: bool = True
     weekly_seasonality: bool = True
-    daily_seasonality: bool = False  # series are days or longer, on which a daily wave is constant; True is refused
+    daily_seasonality: bool = False  # for series finer than a day (models.fine); refused for others, on which it is constant
     interval_width: float = 0.95
     uncertainty_samples: int = 1000
     custom_seasonalities: tuple = ()
@@ -58,10 +58,6 @@ class ModelConfig:
     fit_rounds: int = 300
     fit_passes: int = 15
 
-    def __post_init__(self):
-        if self.daily_seasonality:
-            raise ValueError("daily_seasonality needs series finer than a day")
-
 
 @dataclass(frozen=True)
 class AppConfig:

@@ -20,7 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..config import ModelConfig
 from ..functions import additive_terms as terms
 from ..functions.calendar import known, step_date
-from ..schema import KEYS, by_series, check_series
+from ..schema import KEYS, by_series, check_series, is_fine
 from ..session import spread_series
 from . import map_fit
 
@@ -92,8 +92,10 @@ def fit_additive(df: DataFrame, config: ModelConfig = ModelConfig()) -> DataFram
     """One parameter row per series. Rows without a date or value are left out.
 
     A series that cannot be fitted gets a row with ``error`` set; the others are
-    not affected.
+    not affected. Series finer than a day are fitted by ``models.fine``.
     """
+    if config.daily_seasonality:
+        raise ValueError("daily_seasonality needs series finer than a day")
     schema = to_arrow_schema(PARAMS_SCHEMA)
 
     def fit(rows: pa.Table) -> pa.Table:
@@ -121,7 +123,7 @@ def model_errors(models: DataFrame, stage: str = "fit") -> DataFrame:
 def predict_dates(models: DataFrame, dates: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """yhat for the dates of a (group_id, series_id, ds) table, next to the columns to ``keep``."""
     joined = dates.select(*KEYS, "ds", *keep).join(usable(models), KEYS)
-    return joined.select(*KEYS, "ds", *keep, terms.yhat(F.col("ds")).alias("yhat"))
+    return joined.select(*KEYS, "ds", *keep, terms.yhat(F.col("ds"), is_fine(dates)).alias("yhat"))
 
 
 def horizon_dates(models: DataFrame, periods: int, freq: str | DataFrame = "D") -> DataFrame:
@@ -189,10 +191,10 @@ def predict_horizon_interval(
 
 def components(models: DataFrame, df: DataFrame, names=("yearly", "weekly")) -> DataFrame:
     """Trend and seasonal values on the dates of ``df``, one column per component."""
-    at = F.col("ds")
+    at, fine = F.col("ds"), is_fine(df)
     joined = df.select(*KEYS, "ds").join(usable(models), KEYS)
     return joined.select(
-        *KEYS, "ds", terms.trend(at).alias("trend"), *[terms.component(at, n).alias(n) for n in names]
+        *KEYS, "ds", terms.trend(at, fine).alias("trend"), *[terms.component(at, n, fine).alias(n) for n in names]
     )
 
 

@@ -17,7 +17,7 @@ import numpy as np
 # Fixed values of the published model.
 GROWTH_PRIOR = 5.0  # standard deviation of k and m
 NOISE_PRIOR = 0.5  # scale of the half-normal prior of sigma
-ORDERS = {"yearly": (365.25, 10), "weekly": (7.0, 3)}
+ORDERS = {"yearly": (365.25, 10), "weekly": (7.0, 3), "daily": (1.0, 4)}
 
 
 @dataclass
@@ -31,7 +31,7 @@ class Term:
 
 def terms_of(config) -> list[Term]:
     """Seasonal terms the settings ask for, custom ones last."""
-    asked = {"yearly": config.yearly_seasonality, "weekly": config.weekly_seasonality}
+    asked = {"yearly": config.yearly_seasonality, "weekly": config.weekly_seasonality, "daily": config.daily_seasonality}
     mode, prior = config.seasonality_mode, config.seasonality_prior_scale
     terms = [Term(n, *ORDERS[n], mode, prior) for n, wanted in asked.items() if wanted]
     for extra in config.custom_seasonalities:
@@ -70,12 +70,18 @@ def _noise(sse: float, n: float) -> float:
     return float(np.sqrt(max((-n + np.sqrt(n * n + 4 * a * sse)) / (2 * a), 1e-12)))
 
 
-class _Ridge:
-    """Weighted least squares with a diagonal penalty, from the Gram matrix."""
+@dataclass
+class Ridge:
+    """Weighted least squares with a diagonal penalty, from the Gram matrix; those of parts of the rows add up."""
+
+    gram: np.ndarray
+    moment: np.ndarray
+    total: float
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, w: np.ndarray):
+    @classmethod
+    def of(cls, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> Ridge:
         xw = x * w[:, None]
-        self.gram, self.moment, self.total = xw.T @ x, xw.T @ y, float(w @ (y * y))
+        return cls(xw.T @ x, xw.T @ y, float(w @ (y * y)))
 
     def solve(self, penalty: np.ndarray) -> np.ndarray:
         return np.linalg.solve(self.gram + np.diag(penalty), self.moment)
@@ -84,15 +90,14 @@ class _Ridge:
         return max(self.total - 2 * float(beta @ self.moment) + float(beta @ self.gram @ beta), 0.0)
 
 
-def _fit_linear(design, y, w, n, within, laplace: np.ndarray, normal: np.ndarray, tau: float, sigma: float, rounds: int):
+def _fit_linear(ridge: Ridge, n, within, laplace: np.ndarray, normal: np.ndarray, tau: float, sigma: float, rounds: int):
     """Coefficients with Laplace(tau) priors on some columns, normal ones on the rest.
 
     The absolute value is bounded by a quadratic at the last estimate, which
     turns each round into a ridge; the noise level is re-estimated in between.
     """
-    ridge = _Ridge(design, y, w)
-    size = np.full(design.shape[1], tau)
-    beta = np.zeros(design.shape[1])
+    size = np.full(len(ridge.moment), tau)
+    beta = np.zeros(len(ridge.moment))
     floor = 1e-3
     settled = False
     for _ in range(rounds):
@@ -151,16 +156,14 @@ def fit_map(days: np.ndarray, mean: np.ndarray, weight: np.ndarray, within: floa
         design = np.hstack([base * factor[:, None], matrix["additive"]])
         kind = np.r_[laplace, np.zeros(matrix["additive"].shape[1], bool)]
         beta, sigma, settled = _fit_linear(
-            design, y, weight, n, within, kind, np.r_[growth, prior["additive"]], tau, sigma, config.fit_rounds
+            Ridge.of(design, y, weight), n, within, kind, np.r_[growth, prior["additive"]], tau, sigma, config.fit_rounds
         )
         if not len(share):
             break
         level = base @ beta[:width]
         rest = y - level - matrix["additive"] @ beta[width:]
         new, sigma, _ = _fit_linear(
-            matrix["multiplicative"] * level[:, None],
-            rest,
-            weight,
+            Ridge.of(matrix["multiplicative"] * level[:, None], rest, weight),
             n,
             within,
             np.zeros(len(share), bool),
@@ -176,28 +179,47 @@ def fit_map(days: np.ndarray, mean: np.ndarray, weight: np.ndarray, within: floa
         settled = False
 
     coefs = {"additive": beta[width:], "multiplicative": share}
+    out = {"t0": t0, "t_days": t_days, "y_scale": y_scale, "n_obs": int(n), "last_day": int(days[-1])}
+    return out | _described(beta[:width], sigma, bends, terms, coefs) | {"passes": done_passes, "converged": bool(settled)}
+
+
+def _described(trend: np.ndarray, sigma: float, bends: np.ndarray, terms: list[Term], coefs: dict[str, np.ndarray]) -> dict:
     fitted, at = [], {"additive": 0, "multiplicative": 0}
     for s in terms:
         take = coefs[s.mode][at[s.mode] : at[s.mode] + 2 * s.order]
         at[s.mode] += 2 * s.order
         fitted.append({"name": s.name, "period": s.period, "mode": s.mode, "coef": [float(c) for c in take]})
     return {
-        "t0": t0,
-        "t_days": t_days,
-        "y_scale": y_scale,
-        "k": float(beta[0]),
-        "m": float(beta[1]),
+        "k": float(trend[0]),
+        "m": float(trend[1]),
         "sigma": float(sigma),
         "changepoints": [float(c) for c in bends],
-        "deltas": [float(d) for d in beta[2:width]],
+        "deltas": [float(d) for d in trend[2:]],
         "terms": fitted,
-        "n_obs": int(n),
-        "last_day": int(days[-1]),
-        "passes": done_passes,
-        "converged": bool(settled),
     }
 
 
+def additive_design(days: np.ndarray, t: np.ndarray, bends: np.ndarray, terms: list[Term]) -> np.ndarray:
+    """Columns of a model without multiplicative terms: trend, level, bends, waves."""
+    hinges = np.maximum(t[:, None] - bends[None, :], 0.0)
+    return np.column_stack([t, np.ones_like(t), hinges, *[fourier(days, s.period, s.order) for s in terms]])
+
+
+def fit_summed(ridge: Ridge, n: float, within: float, bends: np.ndarray, terms: list[Term], config) -> dict:
+    """Fit one series whose rows were summed elsewhere, out of the sums over ``additive_design``.
+
+    ``n`` counts the observations, and ``within`` is the squared spread around their
+    means in scaled units.
+    """
+    width = 2 + len(bends)
+    laplace = np.zeros(len(ridge.moment), bool)
+    laplace[2:width] = True
+    normal = np.concatenate([np.full(width, GROWTH_PRIOR), *[np.full(2 * s.order, s.prior) for s in terms]])
+    beta, sigma, settled = _fit_linear(ridge, n, within, laplace, normal, config.changepoint_prior_scale, 0.1, config.fit_rounds)
+    coefs = {"additive": beta[width:], "multiplicative": np.empty(0)}
+    return _described(beta[:width], sigma, bends, terms, coefs) | {"n_obs": int(n), "passes": 1, "converged": bool(settled)}
+
+
 def evaluate(params: dict, days: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(trend, multiplicative sum, additive sum) in scaled units."""
     t = (days - params["t0"]) / params["t_days"]

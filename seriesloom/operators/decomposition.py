@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
+from pyspark.sql import Window, WindowSpec
 
 from ..functions.calendar import known
 from ..schema import by_series, check_series, in_time
@@ -14,17 +14,17 @@ DEFAULT_PERIODS = ((730, 365), (60, 30))
 SHORTEST_PERIOD = 7
 
 
-def _running_mean(period: int) -> Column:
-    """Mean over one period around the row, out of running totals of the centered values.
+def running_mean(period: int, over: WindowSpec | None = None) -> Column:
+    """Mean over one period around the row, out of running totals ``__total`` of the values less ``__mean``.
 
     An even period is the mean of two frames shifted by one row. Costs a constant
     per row, where the frame of a 365-row mean would be re-added for each row.
     """
-    half = period // 2
+    half, over = period // 2, over or in_time()
     total = F.col("__total")
 
     def span(back: int, ahead: int) -> Column:
-        return F.lead(total, ahead).over(in_time()) - F.lag(total, back + 1, 0.0).over(in_time())
+        return F.lead(total, ahead).over(over) - F.lag(total, back + 1, 0.0).over(over)
 
     if period % 2:
         return F.col("__mean") + span(half, half) / period
@@ -65,7 +65,7 @@ def seasonal_decompose(df: DataFrame, period: int | None = None) -> DataFrame:
     inside = (F.col("status") == "ok") & (F.col("__at") >= half) & (F.col("__at") + half < F.col("__n"))
     trend = F.lit(None).cast("double")
     for length in candidates:
-        trend = F.when(F.col("period") == length, _running_mean(length)).otherwise(trend)
+        trend = F.when(F.col("period") == length, running_mean(length)).otherwise(trend)
     rows = rows.withColumn("trend", trend).withColumn("trend", F.when(inside, F.col("trend")))
 
     phase = by_series("__phase")

@@ -58,6 +58,18 @@ def check_series(df: DataFrame) -> DataFrame:
     return df
 
 
+def is_fine(df: DataFrame) -> bool:
+    """Whether ``ds`` is a point in time and not a date."""
+    return isinstance(df.schema["ds"].dataType, (T.TimestampType, T.TimestampNTZType))
+
+
+def check_fine(df: DataFrame) -> DataFrame:
+    """Refuse a table whose ``ds`` is no point in time: its operators are those for dates."""
+    if not is_fine(df):
+        raise ValueError(f"ds must be a timestamp, not {df.schema['ds'].dataType.simpleString()}")
+    return df
+
+
 def by_series(*extra: str):
     """Window over one series (plus ``extra`` columns), without an order."""
     return Window.partitionBy(*KEYS, *extra)

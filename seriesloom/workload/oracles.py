@@ -815,3 +815,64 @@ oracle(
        SELECT 'forecast', (SELECT count(*) * 100 FROM ends) + (SELECT count(*) FROM plain) UNION ALL
        SELECT 'rmse', 2 * count(*) FROM ends""",
 )
+
+_HOURLY = """counted AS (SELECT event_type AS series_id, date_trunc('hour', ts) AS ds, count(*)::DOUBLE AS y FROM events GROUP BY 1, 2),
+hourly AS (SELECT 'events' AS group_id, h.series_id, h.ds, y FROM (
+    SELECT series_id, unnest(generate_series(min(ds), max(ds), INTERVAL 1 HOUR)) AS ds FROM counted GROUP BY 1) h
+  LEFT JOIN counted c ON c.series_id = h.series_id AND c.ds = h.ds)"""
+_HOURLY_FILLED = f"""{_HOURLY}, walked AS (SELECT *,
+    last_value(CASE WHEN y IS NOT NULL THEN ds END IGNORE NULLS) OVER back AS d0, last_value(y IGNORE NULLS) OVER back AS y0,
+    first_value(CASE WHEN y IS NOT NULL THEN ds END IGNORE NULLS) OVER fore AS d1, first_value(y IGNORE NULLS) OVER fore AS y1
+  FROM hourly WINDOW back AS (PARTITION BY series_id ORDER BY ds ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+    fore AS (PARTITION BY series_id ORDER BY ds ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+filled AS (SELECT group_id, series_id, ds, coalesce(y, y0 + (y1 - y0) * (epoch(ds) - epoch(d0)) / (epoch(d1) - epoch(d0)), y0, y1) AS y
+  FROM walked)"""
+oracle("hourly_fill_time", _HOURLY_FILLED, "SELECT group_id, series_id, ds, round(y, 6) AS y FROM filled")
+oracle(
+    "hourly_smooth",
+    _HOURLY_FILLED,
+    """SELECT group_id, series_id, ds, round(avg(y) OVER (PARTITION BY series_id ORDER BY ds ROWS BETWEEN 12 PRECEDING AND 11 FOLLOWING), 6)
+       AS y, round(y, 6) AS y_original FROM filled""",
+)
+oracle(
+    "hourly_sequences",
+    _HOURLY_FILLED,
+    """, single AS (SELECT group_id, series_id, ds, y::FLOAT::DOUBLE AS v FROM filled)
+       SELECT group_id, series_id, ds, 48 AS n, round(lag(v, 48) OVER w, 4) AS first,
+        round(sum(v) OVER (w ROWS BETWEEN 48 PRECEDING AND 1 PRECEDING), 3) AS total,
+        round(sum(v) OVER (w ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING), 4) AS ahead
+       FROM single WINDOW w AS (PARTITION BY series_id ORDER BY ds)
+       QUALIFY lag(v, 48) OVER w IS NOT NULL AND lead(v, 2) OVER w IS NOT NULL""",
+)
+oracle(
+    "hourly_decompose",
+    f"{_HOURLY_FILLED}, {_decomposed('filled', 24)}",
+    """SELECT group_id, series_id, ds, 24 AS period, 'ok' AS status, round(trend, 5) AS trend, round(seasonal, 5) AS seasonal,
+       round(resid, 5) AS resid FROM decomposed""",
+)
+_HOURLY_GIVEN = f"""{_HOURLY}, clock AS (SELECT group_id, series_id, ds, epoch(ds) / 86400.0::DOUBLE AS d,
+    (epoch(ds) / 86400.0::DOUBLE - 19723) / 29 AS t FROM hourly),
+parts AS (SELECT group_id, series_id, ds, (0.25::DOUBLE + 0.5::DOUBLE * t - 0.3::DOUBLE * greatest(t - 0.4::DOUBLE, 0)) * 4 AS trend,
+    (0.05::DOUBLE * sin(2 * pi() * d / 7) - 0.02::DOUBLE * cos(2 * pi() * d / 7)) * 4 AS weekly,
+    (0.2::DOUBLE * sin(2 * pi() * d) + 0.1::DOUBLE * cos(2 * pi() * d) - 0.05::DOUBLE * sin(4 * pi() * d)
+     + 0.03::DOUBLE * cos(4 * pi() * d)) * 4 AS daily FROM clock)"""
+oracle(
+    "hourly_components_given",
+    _HOURLY_GIVEN,
+    """SELECT group_id, series_id, ds, round(trend, 6) AS trend, round(weekly, 6) AS weekly, round(daily, 6) AS daily,
+       round(trend + weekly + daily, 6) AS yhat FROM parts""",
+)
+oracle(
+    "hourly_component_importance_given",
+    _HOURLY_GIVEN,
+    """, spread AS (SELECT group_id, series_id, stddev_pop(trend) AS a, stddev_pop(weekly) AS b, stddev_pop(daily) AS c
+        FROM parts GROUP BY 1, 2)
+       SELECT group_id, series_id, unnest(['trend', 'weekly', 'daily']) AS component,
+        round(unnest([a, b, c]) / (a + b + c) * 100, 6) AS importance FROM spread""",
+)
+oracle(
+    "hourly_fit",
+    _HOURLY,
+    """SELECT group_id, series_id, last + INTERVAL 1 HOUR * i AS ds, true AS near
+       FROM (SELECT group_id, series_id, max(ds) AS last, unnest(range(1, 25)) AS i FROM hourly GROUP BY 1, 2)""",
+)

@@ -16,7 +16,8 @@ from ..functions.arrays import literal_array
 from ..models import additive, sequence, store
 from ..models.network import Network
 from ..models.trees import Ensemble
-from ..operators import cleaning, correlation, decomposition, demand, features, horizon, merging, metrics
+from ..models import fine as fine_models
+from ..operators import cleaning, correlation, decomposition, demand, features, fine, horizon, merging, metrics
 from ..operators import reports, scaling, selection, splitting, windows
 from ..plans import forecasting
 from ..plans.preprocess import preprocess
@@ -962,3 +963,77 @@ def report_tables(spark, d):
     for size in sizes[1:]:
         out = out.unionByName(size)
     return out
+
+
+def _hourly(spark, d):
+    return fine.cut_series(views.events_hourly(spark, d), size=256)
+
+
+@query
+def hourly_fill_time(spark, d):
+    return rounded(fine.uncut(fine.fill_time(_hourly(spark, d))), 6, "y")
+
+
+@query
+def hourly_smooth(spark, d):
+    rows = fine.smooth(fine.fill_time(_hourly(spark, d)), 24)
+    return rounded(fine.uncut(rows), 6, "y", "y_original")
+
+
+@query
+def hourly_sequences(spark, d):
+    """Windows of two days before each hour, and the next three values: their sizes, ends and sums."""
+    rows = fine.make_sequences(fine.fill_time(_hourly(spark, d)), length=48, steps=3)
+    first = F.element_at("x", 1)[0].cast("double")
+    total = F.aggregate("x", F.lit(0.0), lambda acc, row: acc + row[0].cast("double"))
+    ahead = F.aggregate("yt", F.lit(0.0), lambda acc, v: acc + v.cast("double"))
+    return rows.select(*KEYS, "ds", F.size("x").alias("n"), F.round(first, 4).alias("first"), F.round(total, 3).alias("total"), F.round(ahead, 4).alias("ahead"))
+
+
+@query
+def hourly_decompose(spark, d):
+    rows = fine.seasonal_decompose(fine.fill_time(_hourly(spark, d)), 24)
+    return rounded(rows.select(*KEYS, "ds", "period", "status", "trend", "seasonal", "resid"), 5, "trend", "seasonal", "resid")
+
+
+# Trend, daily and weekly wave of a model written by hand.
+GIVEN_FINE = """
+select group_id, series_id, date'2024-01-01' as t0, 29.0D as t_days, 4.0D as y_scale, 0.5D as k, 0.25D as m, 0.1D as sigma,
+  array(0.4D) as changepoints, array(-0.3D) as deltas,
+  array(named_struct('name', 'weekly', 'period', 7.0D, 'mode', 'additive', 'coef', array(0.05D, -0.02D)),
+    named_struct('name', 'daily', 'period', 1.0D, 'mode', 'additive', 'coef', array(0.2D, 0.1D, -0.05D, 0.03D))) as terms,
+  cast(null as string) as error
+from {series} group by group_id, series_id
+"""
+
+
+def _given_fine(spark, d):
+    rows = views.events_hourly(spark, d)
+    return spark.sql(GIVEN_FINE, series=rows), rows
+
+
+@query
+def hourly_components_given(spark, d):
+    """Trend, weekly and daily component of a given model at every hour, and their sum."""
+    models, rows = _given_fine(spark, d)
+    parts = additive.components(models, rows, ("weekly", "daily"))
+    both = parts.join(additive.predict_dates(models, rows), [*KEYS, "ds"])
+    return rounded(both, 6, "trend", "weekly", "daily", "yhat")
+
+
+@query
+def hourly_component_importance_given(spark, d):
+    models, rows = _given_fine(spark, d)
+    return rounded(additive.component_importance(models, rows, ("weekly", "daily")), 6, "importance")
+
+
+@query
+def hourly_fit(spark, d):
+    """Hourly models with a daily component: forecasts of a day ahead, which stay within the range of the data."""
+    rows = views.events_hourly(spark, d)
+    config = ModelConfig(yearly_seasonality=False, daily_seasonality=True)
+    models = stage_table(fine_models.fit_additive(rows, config, size=256), "hourly-models")
+    ahead = additive.predict_dates(models, fine_models.horizon_times(models, 24))
+    span = rows.groupBy(*KEYS).agg(F.max("y").alias("top"))
+    near = finite("yhat") & (F.abs("yhat") <= 2 * F.col("top"))
+    return ahead.join(span, KEYS).select(*KEYS, "ds", near.alias("near"))

@@ -97,3 +97,14 @@ def plain_forecasts(series: DataFrame, periods: int) -> DataFrame:
         )
         .unpivot([*KEYS, "ds"], ["hold", "drift"], "model", "yhat")
     )
+
+
+def events_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events per hour by type, on all hours from the first to the last; an hour without one has no value."""
+    counted = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("series_id"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ds")).agg(
+        F.count("*").cast("double").alias("y")
+    )
+    span = counted.groupBy("series_id").agg(F.min("ds").alias("low"), F.max("ds").alias("high"))
+    hours = span.select("series_id", F.explode(F.expr("sequence(low, high, interval 1 hour)")).alias("ds"))
+    full = hours.join(counted, ["series_id", "ds"], "left")
+    return full.select(F.lit("events").alias("group_id"), "series_id", "ds", "y")

@@ -31,7 +31,7 @@ def canonical(frame: pd.DataFrame) -> pd.DataFrame:
         elif pd.api.types.is_numeric_dtype(values):
             frame[column] = values.astype(float).map(lambda v: "null" if pd.isna(v) else repr(v + 0.0))
         else:
-            frame[column] = values.map(lambda v: "null" if v is None or v is pd.NaT else str(v)[:10] if hasattr(v, "year") else str(v))
+            frame[column] = values.map(lambda v: "null" if v is None or v is pd.NaT else str(pd.Timestamp(v)) if hasattr(v, "year") else str(v))
     return frame.sort_values(list(frame.columns)).reset_index(drop=True)
 
 

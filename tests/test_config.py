@@ -4,6 +4,7 @@ import pytest
 
 from seriesloom import AppConfig, DataConfig, ModelConfig
 from seriesloom.functions.calendar import parse_timeframe
+from seriesloom.models.additive import fit_additive
 
 
 def test_defaults():
@@ -15,9 +16,9 @@ def test_defaults():
     assert config.model.changepoint_prior_scale == 0.05 and config.model.interval_width == 0.95
 
 
-def test_daily_waves_are_refused():
-    with pytest.raises(ValueError):
-        ModelConfig(daily_seasonality=True)
+def test_daily_waves_are_refused_for_dates(year_long):
+    with pytest.raises(ValueError, match="finer than a day"):
+        fit_additive(year_long, ModelConfig(daily_seasonality=True))
 
 
 def test_yaml_round_trip(tmp_path):
