@@ -107,20 +107,23 @@ def make_sequences(
     cell = F.struct(
         "at",
         "ds",
-        "own",
         F.col(target).cast("float").alias("v"),
         F.array(*[F.col(c).cast("float") for c in features or [target]]).alias("f"),
     )
     rows = with_halo(cut, length, steps - 1)
-    packed = rows.groupBy(*KEYS, "home").agg(F.sort_array(F.collect_list(cell)).alias("rows"), F.bool_or("own").alias("any_own"))
-    packed = packed.where("any_own").select(*KEYS, "rows", "rows.v", "rows.f", F.size("rows").alias("n"))
-    last = F.col("n") - steps
-    places = F.when(last >= length, F.sequence(F.lit(length), last)).otherwise(F.array().cast("array<int>"))
-    places = F.filter(places, lambda i: F.get("rows.own", i))
-    at = packed.withColumn("positions", places).withColumn("i", F.explode("positions"))
+    own = F.when(F.col("own"), F.col("at"))
+    packed = rows.groupBy(*KEYS, "home").agg(
+        F.sort_array(F.collect_list(cell)).alias("rows"), F.min("at").alias("low"), F.min(own).alias("first"), F.max(own).alias("last")
+    )
+    # The arrays are taken apart below the explode, once for a piece and not for each row.
+    packed = packed.where("first is not null").select(*KEYS, "rows.ds", "rows.v", "rows.f", F.size("rows").alias("n"), "low", "first", "last")
+    begin = F.greatest(F.lit(length), (F.col("first") - F.col("low")).cast("int"))
+    end = F.least(F.col("n") - steps, (F.col("last") - F.col("low")).cast("int"))
+    places = F.when(begin <= end, F.sequence(begin, end)).otherwise(F.array().cast("array<int>"))
+    at = packed.withColumn("positions", places).select(*KEYS, "ds", "v", "f", F.explode("positions").alias("i"))
     values = F.get("v", F.col("i")) if steps == 1 else F.slice("v", F.col("i") + 1, F.lit(steps))
     return at.select(
-        *KEYS, F.get("rows.ds", F.col("i")).alias("ds"), F.slice("f", F.col("i") - length + 1, F.lit(length)).alias("x"), values.alias("yt")
+        *KEYS, F.get("ds", F.col("i")).alias("ds"), F.slice("f", F.col("i") - length + 1, F.lit(length)).alias("x"), values.alias("yt")
     )
 
 
