@@ -30,6 +30,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
 
+SHINGLES_AT_ONCE = 32_768
+
+
 def fingerprints_of(texts: pa.Array, shingle: int) -> np.ndarray:
     """64-bit SimHash of each text; zero for a text without words."""
     data, rows = text_bytes(texts)
@@ -51,9 +54,15 @@ def fingerprints_of(texts: pa.Array, shingle: int) -> np.ndarray:
     out = np.zeros(len(counts), np.uint64)
     full = np.flatnonzero(made)
     if len(full):
-        bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = np.add.reduceat(bits, start_row[full], axis=0, dtype=np.int64)
-        over = (2 * ones > made[full][:, None]).astype(np.uint8)
+        ones = np.zeros((len(counts), 64), np.int64)
+        owner = np.repeat(np.arange(len(counts)), made)
+        # In blocks: a shingle's bits take 64 bytes, and their sums eight times that.
+        for low in range(0, len(hashes), SHINGLES_AT_ONCE):
+            part, rows = hashes[low : low + SHINGLES_AT_ONCE], owner[low : low + SHINGLES_AT_ONCE]
+            bits = np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            heads = np.flatnonzero(np.diff(rows, prepend=-1))
+            ones[rows[heads]] += np.add.reduceat(bits, heads, axis=0, dtype=np.int64)
+        over = (2 * ones[full] > made[full][:, None]).astype(np.uint8)
         out[full] = np.packbits(over, axis=1, bitorder="little").view("<u8").ravel()
     return out
 
