@@ -24,11 +24,15 @@ VERSION = b"WARC/1.1"
 # Names record ids: the same response gives the same derivatives in any run.
 _SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:seriesloom:warc")
 
-_DROPPED = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>", re.S | re.I)
+_OPENS = re.compile(r"<!--|<(script|style|noscript|template)\b", re.I)
+_CLOSES = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "noscript", "template", "title")}
 _BREAK = re.compile(r"</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|section|article|header|footer|nav|title|head|body|blockquote|pre|hr)\b[^>]*>", re.I)
 _TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
-_LINK = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", re.I)
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
+_ANCHOR = re.compile(r"<a\b", re.I)
+_HREF = re.compile(r"\bhref\s*=\s*", re.I)
+_VALUE = re.compile(r"""("[^"]*"|'[^']*'|[^\s>"']+)""")
+_TITLE = re.compile(r"<title\b", re.I)
+_CONTROL = re.compile(r"[\x00-\x1f\x7f]")
 _CHARSET = re.compile(rb"""charset\s*=\s*["']?([\w.:-]+)""", re.I)
 
 
@@ -37,8 +41,12 @@ def digest(data: bytes) -> str:
 
 
 def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
-    """A record: version, headers, an empty line, the block, and two line ends."""
-    lines = [VERSION, *(f"{k}: {v}".encode() for k, v in headers), f"Content-Length: {len(block)}".encode()]
+    """A record: version, headers, an empty line, the block, and two line ends.
+
+    Control characters of a header's value, which could end its line, are percent-encoded.
+    """
+    values = ((k, _CONTROL.sub(lambda m: f"%{ord(m[0]):02X}", v)) for k, v in headers)
+    lines = [VERSION, *(f"{k}: {v}".encode() for k, v in values), f"Content-Length: {len(block)}".encode()]
     return b"\r\n".join(lines) + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -79,13 +87,66 @@ def _get(headers: list[tuple[str, str]], name: str) -> str | None:
     return next((v for k, v in headers if k.lower() == name.lower()), None)
 
 
+def _without_dropped(page: str) -> str:
+    """A page with a space for each comment, script, style and the like.
+
+    One pass forward: an end that was looked for in vain is not looked for again.
+    """
+    out, at, last, absent = [], 0, 0, set()
+    while (found := _OPENS.search(page, at)) is not None:
+        name = (found[1] or "").lower()
+        at = found.end()
+        if name in absent:
+            continue
+        if name:
+            opened = page.find(">", at)
+            close = _CLOSES[name].search(page, opened + 1) if opened >= 0 else None
+            end = close.end() if close else -1
+        else:
+            end = page.find("-->", at)
+            end = end + 3 if end >= 0 else -1
+        if end < 0:
+            absent.add(name)
+            continue
+        out += [page[last : found.start()], " "]
+        at = last = end
+    return "".join([*out, page[last:]])
+
+
 def plain_text(page: str) -> str:
     """The text of a page: no scripts, styles, comments or tags; a line for each block; entities as characters."""
-    page = _TAG.sub("", _BREAK.sub("\n", _DROPPED.sub(" ", page)))
+    page = _without_dropped(page)
+    # No tag ends behind the last bracket.
+    last = page.rfind(">") + 1
+    page = _TAG.sub("", _BREAK.sub("\n", page[:last])) + page[last:]
     lines = (" ".join(x.split()) for x in html.unescape(page).split("\n"))
     return "\n".join(x for x in lines if x)
 
 
+def links(page: str) -> list[str]:
+    """The targets of a page's anchors: of each tag the first href with a value, in quotes or not."""
+    out, at = [], 0
+    while (found := _ANCHOR.search(page, at)) is not None:
+        close = page.find(">", found.end())
+        at = close if close >= 0 else len(page)
+        place = found.end()
+        while (href := _HREF.search(page, place, at)) is not None:
+            value = _VALUE.match(page, href.end())
+            place = href.end()
+            if value:
+                out.append(html.unescape(value[0].strip("\"'")))
+                at = value.end()
+                break
+    return out
+
+
+def title_of(page: str) -> str | None:
+    found = _TITLE.search(page)
+    opened = page.find(">", found.end()) if found else -1
+    close = _CLOSES["title"].search(page, opened + 1) if opened >= 0 else None
+    return " ".join(html.unescape(page[opened + 1 : close.start()]).split()) if close else None
+
+
 def response(url: str | None, page: str | None, date: str) -> bytes:
     """A response record for a page as it was fetched; a null page has an empty body."""
     body = (page or "").encode()
@@ -131,14 +192,13 @@ def derive(data: bytes) -> list[tuple]:
     target, date = _get(headers, "WARC-Target-URI") or "", _get(headers, "WARC-Date") or ""
     payload = _get(headers, "WARC-Payload-Digest") or digest(body)
     names = {t: f"<urn:uuid:{uuid.uuid5(_SPACE, f'{t} {source}')}>" for t in ("metadata", "conversion")}
-    title = _TITLE.search(page)
     about = {
         "source": {"record": source, "payload_digest": payload, "block_digest": _get(headers, "WARC-Block-Digest") or digest(block)},
         "warc_headers": headers,
         "http_status": status.rstrip(b"\r").decode("utf-8", "replace"),
         "http_headers": http,
-        "title": " ".join(html.unescape(title[1]).split()) if title else None,
-        "links": [html.unescape(x.strip("\"'")) for x in _LINK.findall(page)],
+        "title": title_of(page),
+        "links": links(page),
         "conversion": names["conversion"],
     }
     blocks = {

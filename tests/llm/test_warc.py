@@ -2,6 +2,9 @@ from __future__ import annotations
 
 import gzip
 import json
+import random
+import re
+import time
 from html.parser import HTMLParser
 
 from pyspark.sql import functions as F
@@ -98,3 +101,38 @@ def test_tables_and_files(spark, tmp_path):
     total = warc.write_records(made, f"file://{folder}").agg(F.sum("records")).first()[0]
     held = b"".join(gzip.decompress(f.read_bytes()) for f in sorted(folder.iterdir()))
     assert total == 10 and held.count(b"WARC/1.1\r\nWARC-Type:") == 10
+
+
+def test_pages_that_never_close_take_linear_time():
+    """A megabyte of each opening, with and without brackets, in under a second or so."""
+    marks = ["<script>", "<script ", "<!-- ", "<a ", "<a href=", "<a href=\"", "<title>", "<title ", "<p ", "<", "</", "</script ", "href= "]
+    for mark in marks:
+        page = mark * (1_000_000 // len(mark))
+        start = time.perf_counter()
+        warc.plain_text(page), warc.links(page), warc.title_of(page)
+        assert time.perf_counter() - start < 3, mark
+
+
+def test_scanner_equals_the_plain_patterns():
+    """On short pages of random pieces: what backtracking patterns would drop, link and name."""
+    dropped = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>", re.S | re.I)
+    link = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", re.I)
+    title = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
+    pieces = ["<script>", "</script >", "<SCRIPT src=x>", "</style>", "<style a", ">", "<!--", "-->", "<a ", "href=", "href = 'b>'", "x", " ", '"',
+              "<a", "<title>", "</title>", "<p>", "<template>", "</Template>", "'", "href", "<b", "\n"]
+    rng = random.Random(3)
+    for _ in range(20_000):
+        page = "".join(rng.choices(pieces, k=rng.randint(1, 14)))
+        assert warc._without_dropped(page) == dropped.sub(" ", page), page
+        assert warc.links(page) == [x.strip("\"'") for x in link.findall(page)], page
+        found = title.search(page)
+        assert warc.title_of(page) == (" ".join(found[1].split()) if found else None), page
+
+
+def test_control_characters_do_not_end_a_header():
+    source = warc.response("http://x.org/a\r\nWARC-Date: 1999\r\n\r\nb\x00", "<p>a</p>", DATE)
+    headers = dict(warc.parse(source)[0])
+    assert headers["WARC-Target-URI"] == "http://x.org/a%0D%0AWARC-Date: 1999%0D%0A%0D%0Ab%00" and headers["WARC-Date"] == DATE
+    for row in warc.derive(source):
+        own = dict(warc.parse(row[-1])[0])
+        assert own["WARC-Target-URI"] == headers["WARC-Target-URI"] and own["WARC-Date"] == DATE
