@@ -307,7 +307,6 @@ def repeated_lines(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     sketch = count_sketch(docs.select("text"), _tokens(shingle), expected=size // 6, levels=RARITY)
     counts = spark.sparkContext.broadcast(sketch)
     lines = stage_table(docs.mapInArrow(_candidates(shingle, similarity, counts), _LINES), "lines")
-    counts.unpersist()
     # Equal sets of tokens become one line, the first; partial sums keep one row for each set and task.
     reps = lines.groupBy("s1", "s2").agg(
         F.min(F.struct("rank", "line")).alias("head"), F.first("live").alias("live"), F.first("tokens").alias("tokens")
