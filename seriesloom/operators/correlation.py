@@ -104,7 +104,7 @@ def _correlate_blocks(rows: pd.DataFrame, lower: bool) -> pd.DataFrame:
     home, number = about["block"].to_numpy(), about["number"].to_numpy()
     values = grid.to_numpy(dtype=float)
     left, right = np.flatnonzero(home == first), np.flatnonzero(home == second)
-    corr = _pairwise(values[:, left], values[:, right])
+    corr = pairwise(values[:, left], values[:, right])
     names = grid.columns.to_numpy()
     a, b = np.repeat(left, len(right)), np.tile(right, len(left))
     out = pd.DataFrame({"group_id": rows["group_id"].iat[0], "a": names[a], "b": names[b], "corr": corr.ravel()})
@@ -116,7 +116,7 @@ def _correlate_blocks(rows: pd.DataFrame, lower: bool) -> pd.DataFrame:
     return out
 
 
-def _pairwise(x: np.ndarray, z: np.ndarray) -> np.ndarray:
+def pairwise(x: np.ndarray, z: np.ndarray) -> np.ndarray:
     """Correlations of the columns of x with those of z, where both have values."""
     mx, mz = ~np.isnan(x), ~np.isnan(z)
     x, z = np.where(mx, x, 0.0), np.where(mz, z, 0.0)

@@ -712,6 +712,14 @@ oracle(
        SELECT group_id, a, least(count(*), 3) AS n, round(max(abs(c)) FILTER (NOT isnan(c)), 6) AS strongest
        FROM pairs GROUP BY 1, 2""",
 )
+oracle(
+    "strongest_partners",
+    _SUPPLIER,
+    """, pairs AS (SELECT l.group_id, l.series_id AS a, r.series_id AS b, corr(l.y, r.y) AS c
+        FROM supplier_weekly l JOIN supplier_weekly r ON l.group_id = r.group_id AND l.ds = r.ds
+        AND l.series_id <> r.series_id GROUP BY 1, 2, 3)
+       SELECT group_id, a, round(max(abs(c)), 6) AS strongest FROM pairs WHERE NOT isnan(c) GROUP BY 1, 2""",
+)
 
 
 def _decomposed(source: str, period: int) -> str:

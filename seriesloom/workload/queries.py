@@ -18,7 +18,7 @@ from ..models.network import Network
 from ..models.trees import Ensemble
 from ..models import fine as fine_models
 from ..operators import cleaning, correlation, decomposition, demand, features, fine, horizon, merging, metrics
-from ..operators import reports, scaling, selection, splitting, windows
+from ..operators import partners, reports, scaling, selection, splitting, windows
 from ..plans import forecasting
 from ..plans.preprocess import preprocess
 from ..schema import KEYS, in_time
@@ -893,6 +893,13 @@ def correlation_strongest(spark, d):
     return best.groupBy("group_id", "a").agg(F.count("*").alias("n"), F.max(F.abs("corr")).alias("strongest"))
 
 
+@query
+def strongest_partners(spark, d):
+    """The strongest partner of each supplier in its nation, found without comparing all blocks."""
+    best = partners.strongest_partners(views.supplier_series(spark, d), 1, size=16, pivots=8)
+    return rounded(best.select("group_id", "a", F.abs("corr").alias("strongest")), 6, "strongest")
+
+
 @query
 def seasonal_decompose_weekly(spark, d):
     rows = decomposition.seasonal_decompose(weekly_filled(spark, d), 52)
