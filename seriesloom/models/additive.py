@@ -88,9 +88,12 @@ _FIT_INPUTS = ["day", "mean", "weight", "within"]
 _FIT_FAILURES = (ValueError, ArithmeticError, np.linalg.LinAlgError)
 
 
-def fit_additive(df: DataFrame, config: ModelConfig = ModelConfig()) -> DataFrame:
+def fit_additive(df: DataFrame, config: ModelConfig = ModelConfig(), spread: bool = True) -> DataFrame:
     """One parameter row per series. Rows without a date or value are left out.
 
+    Series are dealt over all shuffle partitions; with ``spread`` off they are fitted
+    where they lie, if the table is bucketed by series (see ``write_processed``).
+
     A series that cannot be fitted gets a row with ``error`` set; the others are
     not affected. Series finer than a day are fitted by ``models.fine``.
     """
@@ -108,7 +111,8 @@ def fit_additive(df: DataFrame, config: ModelConfig = ModelConfig()) -> DataFram
             out["error"] = str(problem)
         return pa.Table.from_pylist([out], schema=schema)
 
-    return spread_series(_observations(df)).groupBy(*KEYS).applyInArrow(fit, PARAMS_SCHEMA)
+    rows = _observations(df)
+    return (spread_series(rows) if spread else rows).groupBy(*KEYS).applyInArrow(fit, PARAMS_SCHEMA)
 
 
 def usable(models: DataFrame) -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import KEYS, check_series
+from ..schema import KEYS, check_series, quoted
 
 MAX_KEYWORDS = 5  # fixed value: keywords of a request, where no other size is asked for
 GROUP_PARTS = 64  # parts a group's series are dealt to when they meet its dates
@@ -43,6 +43,42 @@ def merge_batches(batches: list[DataFrame], group_id: str | None = None) -> Data
     return complete_grid(stacked)
 
 
+def merge_wide(batches: list[DataFrame], index: str = "date") -> DataFrame:
+    """Batches with one column per keyword as one table: a full outer join on the date.
+
+    Columns come batch by batch; a date a batch lacks has nulls in its columns. A name
+    that an earlier batch has already gets the number of its batch behind it (``word_2``
+    in the second; once more, if that is taken too). Rows without a date are left out; a
+    date that occurs twice in a batch is an error when the result is read. The batches
+    are stacked and grouped by date, so each row is shuffled once however many batches
+    there are, where a chain of joins would shuffle the growing table again and again.
+    """
+    if not batches:
+        raise ValueError("Nothing to merge")
+    counts = [f"__n{i}" for i in range(1, len(batches) + 1)]
+    taken, narrow, kept = {index.lower(), "__batch", *counts}, [], []
+    for i, batch in enumerate(batches, 1):
+        values = []
+        for name in (c for c in batch.columns if c != index):
+            new = name
+            while new.lower() in taken:
+                new = f"{new}_{i}"
+            taken.add(new.lower())
+            kept.append(new)
+            values.append(quoted(name).alias(new))
+        narrow.append(batch.select(quoted(index).alias(index), F.lit(i).alias("__batch"), *values))
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), narrow)
+    # One row per date and batch: the largest value is the only one.
+    merged = stacked.where(quoted(index).isNotNull()).groupBy(quoted(index)).agg(
+        *[F.max(quoted(c)).alias(c) for c in kept],
+        *[F.count_if(F.col("__batch") == i).alias(n) for i, n in enumerate(counts, 1)],
+    )
+    twice = reduce(Column.__or__, [F.col(n) > 1 for n in counts])
+    told = F.raise_error(F.concat(F.lit("A batch has this date twice: "), quoted(index).cast("string")))
+    once = F.when(twice, told.cast(merged.schema[index].dataType)).otherwise(quoted(index))
+    return merged.select(once.alias(index), *[quoted(c) for c in kept])
+
+
 def complete_grid(df: DataFrame) -> DataFrame:
     """Make the dates a series lacks, but its group has, explicit nulls.
 

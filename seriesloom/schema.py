@@ -10,7 +10,8 @@ be arbitrarily hot, are aggregated to it first (``sources.logs``).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 KEYS = ["group_id", "series_id"]
@@ -50,6 +51,11 @@ CALENDAR_FEATURES = [
 DOW_FEATURES = ["dow_sin", "dow_cos"]
 
 
+def quoted(name: str) -> Column:
+    """The column of exactly this name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def check_series(df: DataFrame) -> DataFrame:
     """Refuse a table whose ``ds`` is finer than a day: its series have no size bound."""
     kind = df.schema["ds"].dataType

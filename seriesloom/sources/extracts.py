@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.cleaning import PARTIAL_FLAG
-from ..schema import KEYS, SERIES_SCHEMA
+from ..schema import KEYS, SERIES_SCHEMA, quoted
 
 log = logging.getLogger(__name__)
 
@@ -35,10 +35,6 @@ def read_trends(spark: SparkSession, path, fmt: str = "csv", schema: T.StructTyp
     return reader.format(fmt).load(path)
 
 
-def _quoted(name: str):
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
 def to_long(
     wide: DataFrame, keywords: list[str] | None = None, group_id: str | None = None, index: str = "date", kind: str = "double"
 ) -> DataFrame:
@@ -50,9 +46,9 @@ def to_long(
     if keywords is None:
         keywords = [c for c in wide.columns if c not in (index, "group_id", "isPartial")]
     group = F.col("group_id") if group_id is None else F.lit(group_id)
-    values = [_quoted(k).cast(kind).alias(k) for k in keywords]
+    values = [quoted(k).cast(kind).alias(k) for k in keywords]
     narrow = wide.select(group.alias("group_id"), F.col(index).cast("date").alias("ds"), *values)
-    long = narrow.unpivot(["group_id", "ds"], [_quoted(k) for k in keywords], "series_id", "y")
+    long = narrow.unpivot(["group_id", "ds"], [quoted(k) for k in keywords], "series_id", "y")
     return long.select(*KEYS, "ds", "y")
 
 

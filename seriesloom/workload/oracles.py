@@ -155,6 +155,14 @@ oracle(
     "SELECT group_id, series_id, ds, CASE WHEN ds <= DATE '1998-12-31' THEN y ELSE y * 2 END AS y FROM daily",
 )
 oracle("merge_batches", _GRID, "SELECT * FROM grid")
+_first = ", ".join(f"sum(CASE WHEN series_id = '{k}' THEN y END) AS \"{k}\"" for k in _NAMED[:3])
+_later = ", ".join(f"sum(CASE WHEN series_id = '{k}' THEN y END) AS \"{k}{'_2' * (k == _NAMED[2])}\"" for k in _NAMED[2:])
+oracle(
+    "merge_wide",
+    _DAILY,
+    f"""SELECT * FROM (SELECT ds, {_first} FROM daily GROUP BY ds)
+       FULL JOIN (SELECT ds, {_later} FROM daily WHERE ds >= DATE '1996-01-01' GROUP BY ds) USING (ds)""",
+)
 oracle("complete_grid", _GRID, "SELECT * FROM grid")
 oracle(
     "batch_keywords",
@@ -175,6 +183,13 @@ oracle(
     """SELECT group_id, series_id, ds, round(y, 6) AS y, CAST(year(ds) AS INTEGER) AS year,
        CAST(weekofyear(ds) AS INTEGER) AS week_of_year FROM scaled""",
 )
+oracle(
+    "sequences_of_buckets",
+    _FILLED,
+    """SELECT group_id, series_id, ds, CAST(CAST(oldest AS FLOAT) AS DOUBLE) AS oldest, CAST(CAST(newest AS FLOAT) AS DOUBLE) AS newest, yt
+       FROM (SELECT group_id, series_id, ds, lag(y, 7) OVER w AS oldest, lag(y, 1) OVER w AS newest, CAST(CAST(y AS FLOAT) AS DOUBLE) AS yt FROM filled
+        WINDOW w AS (PARTITION BY group_id, series_id ORDER BY ds)) WHERE oldest IS NOT NULL""",
+)
 oracle(
     "read_processed_scalers",
     _PREPARED,

@@ -173,6 +173,15 @@ def merge_batches(spark, d):
     return merging.merge_batches([first, daily(spark, d).where(F.col("series_id").isin(PRIORITIES[3:]))])
 
 
+@query
+def merge_wide(spark, d):
+    """Two batches of keywords, one of them from 1996 on, that share a keyword."""
+    whole = daily(spark, d).groupBy("series_id", "ds").agg(F.sum("y").alias("y"))
+    first = extracts.to_wide(whole, PRIORITIES[:3])
+    later = extracts.to_wide(whole.where("ds >= '1996-01-01'"), PRIORITIES[2:])
+    return merging.merge_wide([first, later], "ds")
+
+
 @query
 def complete_grid(spark, d):
     return grid(spark, d)
@@ -212,6 +221,16 @@ def write_processed(spark, d):
     return rounded(data.select(*KEYS, "ds", "y", "year", "week_of_year"), 6, "y")
 
 
+@query
+def sequences_of_buckets(spark, d):
+    """Windows of a processed table in buckets by series, read without a shuffle."""
+    path = scratch(spark, "processed")
+    processed.write_processed(filled(spark, d), None, path, buckets=8)
+    rows = windows.make_sequences(processed.read_processed(spark, path, with_scalers=False)[0], 7)
+    oldest, newest = F.element_at(F.element_at("x", 1), 1), F.element_at(F.element_at("x", 7), 1)
+    return rows.select(*KEYS, "ds", oldest.cast("double").alias("oldest"), newest.cast("double").alias("newest"), F.col("yt").cast("double"))
+
+
 @query
 def read_processed_scalers(spark, d):
     path = scratch(spark, "processed")

@@ -5,8 +5,9 @@ import pytest
 from conftest import day, long_frame, series_of
 from pyspark.sql import functions as F
 
-from seriesloom.config import DataConfig
-from seriesloom.operators import cleaning, demand, merging, selection
+from seriesloom.config import DataConfig, ModelConfig
+from seriesloom.models import additive
+from seriesloom.operators import cleaning, decomposition, demand, merging, selection, windows
 from seriesloom.plans.preprocess import preprocess
 from seriesloom.sources import extracts, processed, results
 from seriesloom.sources.logs import normalize_geo
@@ -95,6 +96,23 @@ def test_batches_meet_on_the_date(spark):
         pd.testing.assert_series_equal(series_of(merged, name), want[name], check_names=False, check_freq=False)
 
 
+def test_wide_batches_meet_on_the_date(spark):
+    first = spark.sql("select date'2020-01-01' `date`, 1d `a.b`, 2d w union all select date'2020-01-02', null, 3d union all select null, 9d, 9d")
+    second = spark.sql("select 7L W, date'2020-01-02' `date`, 'x' c union all select null, date'2020-01-03', 'y'")
+    rows = merging.merge_wide([first, second]).orderBy("date").collect()
+    assert merging.merge_wide([first, second]).columns == ["date", "a.b", "w", "W_2", "c"]
+    assert [tuple(r)[1:] for r in rows] == [(1.0, 2.0, None, None), (None, 3.0, 7, "x"), (None, None, None, "y")]
+    assert merging.merge_wide([first.limit(0), second]).count() == 2
+    three = merging.merge_wide([second, second, second])
+    assert three.columns == ["date", "W", "c", "W_2", "c_2", "W_3", "c_3"] and three.count() == 2
+    plan = three._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    with pytest.raises(Exception, match="this date twice"):
+        merging.merge_wide([second.unionByName(second)]).collect()
+    with pytest.raises(ValueError):
+        merging.merge_wide([])
+
+
 def test_request_size():
     assert merging.check_request(list("abcde")) == list("abcde")
     assert merging.check_request(list("abcdef"), 6) == list("abcdef")
@@ -130,6 +148,30 @@ def test_raw_and_processed_round_trip(spark, year_long, tmp_path):
     assert processed.read_processed(spark, str(tmp_path / "bare"))[1] is None
 
 
+def test_buckets_are_read_without_a_shuffle(spark, year_long, tmp_path):
+    path = str(tmp_path / "it's here")
+    full = cleaning.fill_time(year_long)
+    processed.write_processed(full, None, path, buckets=6)
+    data, _ = processed.read_processed(spark, path)
+    assert data.count() == 732 and len(list((tmp_path / "it's here/data").glob("*.parquet"))) <= 6
+    uses = {
+        "windows": lambda df: windows.make_sequences(df, 5),
+        "decomposition": lambda df: decomposition.seasonal_decompose(df, 7),
+        "fit": lambda df: additive.fit_additive(df, ModelConfig(n_changepoints=2), spread=False),
+    }
+    for use in uses.values():
+        got = use(data)
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, use(full).collect()))
+    # Written anew with another number, and plain again: readers go by what lies there.
+    processed.write_processed(full.where("series_id = 'keyword1'"), None, path, buckets=3)
+    assert processed.read_processed(spark, path)[0].count() == 366
+    processed.write_processed(full, None, path)
+    plain, _ = processed.read_processed(spark, path)
+    assert plain.count() == 732
+    assert "Exchange" in windows.make_sequences(plain, 5)._jdf.queryExecution().executedPlan().toString()
+
+
 def searches(spark):
     start = dt.datetime(2024, 1, 1)
     log = [
