@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,10 +63,7 @@ class VpTree:
         self.first = ids[heads]
         self.alone = ids[np.append(heads[1:], len(ids)) - 1] == self.first
         self.vectors = vectors[heads]
-        wide = self.vectors.astype(np.float64)
-        # Scaled by the largest component first, so that squares neither vanish nor overflow.
-        wide /= np.abs(wide).max(axis=1, keepdims=True)
-        self.unit = wide / np.linalg.norm(wide, axis=1, keepdims=True)
+        self.unit = _unit(self.vectors)
         self.order = np.arange(len(heads))
         self.root = self._build(0, len(heads), np.random.default_rng(len(heads)))
 
@@ -188,13 +186,22 @@ def usable(vector: Column) -> Column:
 
 def _cosine(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """Cosines in double precision, each pair computed alike wherever it stands."""
-    a, b = query.astype(np.float64), vectors.astype(np.float64)
+    a, b = _in_range(query), _in_range(vectors)
     return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
 
 
-def _unit(vectors: np.ndarray) -> np.ndarray:
+def _in_range(vectors: np.ndarray) -> np.ndarray:
+    """Each vector times the power of two that brings its largest component to 0.5 or more and below 1.
+
+    Exact, so the cosine of vectors whose squares are in range is the same to the last
+    bit, and no square of others overflows or vanishes.
+    """
     wide = vectors.astype(np.float64)
-    wide /= np.abs(wide).max(axis=1, keepdims=True)
+    return np.ldexp(wide, -np.frexp(np.abs(wide).max(axis=1, keepdims=True))[1])
+
+
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    wide = _in_range(vectors)
     return wide / np.linalg.norm(wide, axis=1, keepdims=True)
 
 
@@ -253,6 +260,16 @@ def _best(asked: list, ids: list, scores: list, k: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x) for x in best], names=["query_id", "vec_id", "score"])
 
 
+def _block(asks: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of a block's queries, by length of the vectors."""
+    table = asks.select("id", "vector", "size").toArrow()
+    held = {}
+    for size in set(table.column("size").to_pylist()):
+        own = table.filter(pc.equal(table.column("size"), size))
+        held[size] = (own.column("id").to_numpy(), _rows(own.column("vector"), size))
+    return held
+
+
 def nearest(
     vectors: DataFrame, is_query: Column, k: int = 5, factor: float = 1.0, key: str = "vec_id", vector: str = "embedding"
 ) -> DataFrame:
@@ -263,7 +280,7 @@ def nearest(
     tree. A subtree is left out if the triangle inequality, its bound multiplied by
     ``factor``, shows that it holds nothing nearer: factor 1 finds the nearest exactly, a
     larger one prunes more. Every vector as near as the k-th is scored, however many they
-    are. Queries are asked in blocks of bounded size, each of which
+    are. Queries are asked in blocks of bounded size, one after the other, each of which
     all trees get; only a task's k best for a query leave it.
 
     Rows with a null key, or whose vector is null, zero or holds a null or non-finite
@@ -285,12 +302,11 @@ def nearest(
     spread = trees.repartition(min(tasks, shards)) if shards > 1 else trees
     found = None
     for block in range(blocks):
-        table = asks.where(F.col("block") == block).select("id", "vector", "size").toArrow()
-        held = {}
-        for size in set(table.column("size").to_pylist()):
-            own = table.filter(pa.compute.equal(table.column("size"), size))
-            held[size] = (own.column("id").to_numpy(), _rows(own.column("vector"), size))
-        part = spread.mapInArrow(_ask(spark.sparkContext.broadcast(held), k, factor), "query_id long, vec_id long, score double")
+        held = spark.sparkContext.broadcast(_block(asks.where(F.col("block") == block)))
+        part = spread.mapInArrow(_ask(held, k, factor), "query_id long, vec_id long, score double")
+        # Written before the next block is read: the driver and the executors hold one block at a time.
+        part = stage_table(part, "nearest")
+        held.destroy()
         found = part if found is None else found.unionByName(part)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

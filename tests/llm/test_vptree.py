@@ -122,3 +122,19 @@ def test_pairs_are_cut_to_k_part_by_part(monkeypatch):
     for n, (own, vector) in enumerate(zip(ids[::30], data[::30], strict=True)):
         every = sorted((-s, i) for s, i in zip(vptree._cosine(vector[None], data), ids, strict=True) if i != own)[:5]
         assert [(-s, i) for s, i in zip(score[query == n], found[query == n], strict=True)] == every
+
+
+def test_components_far_from_one(spark):
+    """Vectors whose squares overflow or vanish have the scores of the same vectors near one."""
+    rng = np.random.default_rng(7)
+    plainly = [(i, v) for i, v in enumerate(rng.normal(size=(120, 6)).tolist())]
+    power = [0, 1000, -1000, 600, -700]
+    extreme = [(i, [float(np.ldexp(x, power[i // 2 % 5])) for x in v]) for i, v in plainly]
+    got, want = (
+        vptree.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 0)
+        for rows in (extreme, plainly)
+    )
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    tiny = spark.createDataFrame([(0, [5e-324, 0.0]), (1, [1e308, 1e308]), (2, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    rows = vptree.nearest(tiny, F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [(r.vec_id, round(r.score, 12)) for r in rows] == [(2, 1.0), (1, round(0.5**0.5, 12))]
