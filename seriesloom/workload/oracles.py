@@ -437,11 +437,12 @@ def _recursion(value: str) -> str:
         FROM (SELECT *, {value} AS v FROM steps WHERE i < 6))"""
 
 
+_TREES = """CASE WHEN y3 > 700000 THEN 350000::DOUBLE WHEN y1 <= 400000 THEN 750000::DOUBLE ELSE 650000.25::DOUBLE END
+  + 0.5::DOUBLE * CASE WHEN y2 <= 800000 THEN 40000.5::DOUBLE ELSE -20000.25::DOUBLE END"""
 for _name, _value in (
     (
         "forecast_recursive_trees_given",
-        """CASE WHEN y3 > 700000 THEN 350000::DOUBLE WHEN y1 <= 400000 THEN 750000::DOUBLE ELSE 650000.25::DOUBLE END
-           + 0.5::DOUBLE * CASE WHEN y2 <= 800000 THEN 40000.5::DOUBLE ELSE -20000.25::DOUBLE END""",
+        _TREES,
     ),
     (
         "forecast_recursive_network_given",
@@ -475,13 +476,37 @@ oracle(
        FROM weekly JOIN (SELECT group_id, series_id, min(ds) AS t0 FROM weekly GROUP BY 1, 2) USING (group_id, series_id)
        GROUP BY 1, 2""",
 )
-_GIVEN = f"""{_DAILY}, timed AS (SELECT *, (ds - DATE '1995-01-01') / 1000.0::DOUBLE AS t, ds - DATE '1970-01-01' AS n,
-    length(series_id) * 100.0::DOUBLE AS unit FROM daily),
+# Normal equations of a line and a wave about the means, solved by determinants.
+oracle(
+    "custom_seasonality_fit",
+    _WEEKLY,
+    """, inputs AS (SELECT group_id, series_id, y, (ds - DATE '1995-01-01') / 1000.0::DOUBLE AS t,
+        sin(2 * pi() * (ds - DATE '1970-01-01') / 91.3125::DOUBLE) AS s, cos(2 * pi() * (ds - DATE '1970-01-01') / 91.3125::DOUBLE) AS c
+        FROM weekly),
+       moments AS (SELECT group_id, series_id, var_pop(t) AS tt, var_pop(s) AS ss, var_pop(c) AS cc, covar_pop(t, s) AS ts,
+        covar_pop(t, c) AS tc, covar_pop(s, c) AS sc, covar_pop(t, y) AS ty, covar_pop(s, y) AS sy, covar_pop(c, y) AS cy
+        FROM inputs GROUP BY 1, 2),
+       solved AS (SELECT *, tt * (ss * cc - sc * sc) - ts * (ts * cc - sc * tc) + tc * (ts * sc - ss * tc) AS whole FROM moments)
+       SELECT group_id, series_id,
+        round((tt * (sy * cc - cy * sc) - ty * (ts * cc - sc * tc) + tc * (ts * cy - sy * tc)) / whole / 100, 0) + 0.0::DOUBLE AS sine,
+        round((tt * (ss * cy - sc * sy) - ts * (ts * cy - sy * tc) + ty * (ts * sc - ss * tc)) / whole / 100, 0) + 0.0::DOUBLE AS cosine
+       FROM solved""",
+)
+_BENDS = " + 0.1::DOUBLE * greatest(t - 0.25::DOUBLE, 0) - 0.2::DOUBLE * greatest(t - 0.5::DOUBLE, 0)"
+
+
+def _given(source: str, bends: str = _BENDS) -> str:
+    """The parts of the given models on the dates of a table."""
+    return f"""timed AS (SELECT *, (ds - DATE '1995-01-01') / 1000.0::DOUBLE AS t, ds - DATE '1970-01-01' AS n,
+    length(series_id) * 100.0::DOUBLE AS unit FROM {source}),
   parts AS (SELECT *,
-    (1.25::DOUBLE + 0.5::DOUBLE * t + 0.1::DOUBLE * greatest(t - 0.25::DOUBLE, 0) - 0.2::DOUBLE * greatest(t - 0.5::DOUBLE, 0)) * unit AS trend,
+    (1.25::DOUBLE + 0.5::DOUBLE * t{bends}) * unit AS trend,
     0.1::DOUBLE * sin(2 * pi() * n / 365.25) + 0.05::DOUBLE * cos(2 * pi() * n / 365.25)
      + 0.01::DOUBLE * sin(4 * pi() * n / 365.25) + 0.02::DOUBLE * cos(4 * pi() * n / 365.25) AS yearly,
     (0.02::DOUBLE * sin(2 * pi() * n / 7) - 0.03::DOUBLE * cos(2 * pi() * n / 7)) * unit AS weekly FROM timed)"""
+
+
+_GIVEN = f"{_DAILY}, {_given('daily')}"
 oracle("predict_dates_given", _GIVEN, "SELECT group_id, series_id, ds, round(trend * (1 + yearly) + weekly, 5) AS yhat FROM parts")
 oracle(
     "components_given",
@@ -489,6 +514,42 @@ oracle(
     """SELECT group_id, series_id, ds, round(trend, 5) AS trend, round(yearly, 5) AS yearly, round(weekly, 5) AS weekly
        FROM parts""",
 )
+
+
+def _coming(days: int, source: str = "daily") -> str:
+    return f"""coming AS (SELECT group_id, series_id, max(ds) + CAST(step AS INTEGER) AS ds
+      FROM {source}, range(1, {days + 1}) t(step) GROUP BY group_id, series_id, step)"""
+
+
+oracle(
+    "predict_horizon_given",
+    f"{_DAILY}, {_coming(30)}, {_given('coming')}",
+    "SELECT group_id, series_id, ds, round(trend * (1 + yearly) + weekly, 5) AS yhat FROM parts",
+)
+oracle(
+    "predict_interval_given",
+    f"{_DAILY}, {_coming(30)}, {_given('coming', '')}",
+    """SELECT group_id, series_id, ds, round(trend * (1 + yearly) + weekly, 5) AS yhat, yhat AS yhat_lower, yhat AS yhat_upper
+       FROM parts""",
+)
+# 1.28155 is the value that a tenth of a standard normal distribution exceeds.
+oracle(
+    "predict_interval_noise_given",
+    f"{_DAILY}, {_coming(400)}",
+    """SELECT group_id, series_id, count(*) AS n, round(1.28155::DOUBLE, 1) AS below, round(1.28155::DOUBLE, 1) AS above
+       FROM coming GROUP BY 1, 2""",
+)
+oracle(
+    "evaluate_given",
+    f"{_GIVEN}, {_SPLIT.format(source='daily')}",
+    """, scored AS (SELECT group_id, series_id, s.y, trend * (1 + yearly) + weekly AS yhat
+        FROM split s JOIN parts USING (group_id, series_id, ds) WHERE split = 'test'),
+       measured AS (SELECT group_id, series_id, avg(abs(y - yhat)) AS mae, avg((y - yhat) * (y - yhat)) AS mse,
+        avg(CASE WHEN y <> 0 THEN abs((y - yhat) / y) END) * 100 AS mape, var_pop(y) AS spread FROM scored GROUP BY 1, 2)
+       SELECT group_id, series_id, 'additive' AS model,
+        unnest(['mae', 'mse', 'rmse', 'mape', 'r2', 'changepoint_prior_scale']) AS metric,
+        round(unnest([mae, mse / 1e9, sqrt(mse), mape, 1 - mse / spread, 0.05::DOUBLE]), 4) AS value FROM measured""",
+)
 oracle(
     "component_importance_given",
     _GIVEN,
@@ -839,6 +900,28 @@ oracle(
        SELECT 'rmse', 2 * count(*) FROM ends""",
 )
 
+oracle(
+    "forecast_given",
+    ", ".join(["RECURSIVE " + _FILLED, _LAST_THREE, _recursion(_TREES), _coming(6, "filled"), _given("coming", "")]),
+    """, ranged AS (SELECT group_id, series_id, min(y) AS lo, max(y) - min(y) AS span FROM filled GROUP BY 1, 2),
+       ahead AS (SELECT group_id, series_id, 'sequence' AS model, ds, yhat, NULL::DOUBLE AS bound FROM steps WHERE i > 0
+        UNION ALL SELECT group_id, series_id, 'additive', ds, trend * (1 + yearly) + weekly AS v, v FROM parts)
+       SELECT group_id, series_id, model, ds, round((yhat * span + lo) / 1e6, 3) AS yhat,
+        round((bound * span + lo) / 1e6, 3) AS yhat_lower, yhat_lower AS yhat_upper
+       FROM ahead JOIN ranged USING (group_id, series_id)""",
+)
+oracle(
+    "report_values",
+    ", ".join([_FORECAST, _LAGGED, _METRICS]),
+    """SELECT 'history' AS name, group_id, series_id, CAST(ds AS VARCHAR) AS item, round(y, 6) AS value FROM filled
+       UNION ALL SELECT 'correlation', l.group_id, l.series_id, r.series_id, round(corr(l.y, r.y), 6)
+        FROM filled l JOIN filled r ON l.group_id = r.group_id AND l.ds = r.ds GROUP BY 2, 3, 4
+       UNION ALL SELECT 'forecast', group_id, series_id, 'actual ' || CAST(ds AS VARCHAR), round(y, 6)
+        FROM (SELECT * FROM filled QUALIFY row_number() OVER (PARTITION BY group_id, series_id ORDER BY ds DESC) <= 100)
+       UNION ALL SELECT 'forecast', group_id, series_id, model || ' ' || CAST(ds AS VARCHAR), round(yhat, 6) FROM plain
+       UNION ALL SELECT 'rmse', group_id, series_id, model, round(rmse, 1) FROM metrics""",
+)
+
 _HOURLY = """counted AS (SELECT event_type AS series_id, date_trunc('hour', ts) AS ds, count(*)::DOUBLE AS y FROM events GROUP BY 1, 2),
 hourly AS (SELECT 'events' AS group_id, h.series_id, h.ds, y FROM (
     SELECT series_id, unnest(generate_series(min(ds), max(ds), INTERVAL 1 HOUR)) AS ds FROM counted GROUP BY 1) h

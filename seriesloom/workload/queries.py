@@ -448,6 +448,16 @@ def fit_additive_line(spark, d):
     return rows.select(*KEYS, F.round(slope, 0).alias("slope"), F.round(F.col("m") * F.col("y_scale") / 1000, 0).alias("level"))
 
 
+@query
+def custom_seasonality_fit(spark, d):
+    """A line and one custom wave with weak priors are least squares: the wave's size in the data's units, in hundreds."""
+    wave = {"name": "quarterly", "period": 91.3125, "fourier_order": 1, "mode": "additive", "prior_scale": 1000.0}
+    config = ModelConfig(yearly_seasonality=False, weekly_seasonality=False, n_changepoints=0, custom_seasonalities=(wave,))
+    rows = additive.fit_additive(weekly(spark, d), config)
+    size = lambda i: F.round(F.col("terms")[0]["coef"][i] * F.col("y_scale") / 100, 0) + 0.0
+    return rows.select(*KEYS, size(0).alias("sine"), size(1).alias("cosine"))
+
+
 def given_models(spark, d):
     """A parameter row for each series, written by hand."""
     wave = "struct<name:string,period:double,mode:string,coef:array<double>>"
@@ -484,6 +494,41 @@ def component_importance_given(spark, d):
     return rounded(additive.component_importance(given_models(spark, d), daily(spark, d)), 6, "importance")
 
 
+def straight_models(spark, d, sigma):
+    """The given models without bends of the trend, up to the last date, with that much noise."""
+    none = F.array().cast("array<double>")
+    ends = daily(spark, d).groupBy(*KEYS).agg(F.max("ds").alias("last_ds"))
+    return given_models(spark, d).withColumns(
+        {"changepoints": none, "deltas": none, "sigma": F.lit(sigma), "changepoint_prior_scale": F.lit(0.05)}
+    ).join(ends, KEYS)
+
+
+@query
+def predict_horizon_given(spark, d):
+    """Thirty days after the last, values and all."""
+    ends = daily(spark, d).groupBy(*KEYS).agg(F.max("ds").alias("last_ds"))
+    return rounded(additive.predict_horizon(given_models(spark, d).join(ends, KEYS), 30), 5, "yhat")
+
+
+@query
+def predict_interval_given(spark, d):
+    """Without noise and bends each bound is the forecast."""
+    ahead = additive.predict_horizon_interval(straight_models(spark, d, 0.0), 30)
+    return rounded(ahead, 5, "yhat", "yhat_lower", "yhat_upper")
+
+
+@query
+def predict_interval_noise_given(spark, d):
+    """Mean distance of the bounds from the forecast, in units of the noise: a quantile of the normal distribution."""
+    ahead = additive.predict_horizon_interval(straight_models(spark, d, 1.0), 400, config=ModelConfig(interval_width=0.8))
+    unit = F.length("series_id") * 100.0
+    return ahead.groupBy(*KEYS).agg(
+        F.count("*").alias("n"),
+        F.round(F.avg((F.col("yhat") - F.col("yhat_lower")) / unit), 1).alias("below"),
+        F.round(F.avg((F.col("yhat_upper") - F.col("yhat")) / unit), 1).alias("above"),
+    )
+
+
 @query
 def predict_dates(spark, d):
     split_df = staged_split(spark, d)
@@ -751,6 +796,16 @@ def evaluate(spark, d):
     return forecasting.evaluate(trained, split_df, config).select(*KEYS, "model", "metric", (finite("value") & beats).alias("scored"))
 
 
+@query
+def evaluate_given(spark, d):
+    """Given additive models on the test rows, every metric."""
+    split_df = splitting.temporal_split(daily(spark, d))
+    models = given_models(spark, d).withColumn("changepoint_prior_scale", F.lit(0.05))
+    table = forecasting.evaluate(forecasting.Trained(additive=models, names=[additive.MODEL_NAME]), split_df)
+    unit = F.when(F.col("metric") == "mse", 1e9).otherwise(1.0)
+    return table.withColumn("value", F.round(F.col("value") / unit, 4))
+
+
 @query
 def train_models(spark, d):
     """Types asked for, trained in turn; an unknown one is skipped."""
@@ -812,6 +867,16 @@ def forecast(spark, d):
     return _plausible(ahead, grid(spark, d))
 
 
+@query
+def forecast_given(spark, d):
+    """Given models of both types six days ahead, taken back to original units, in millions."""
+    rows = stage_table(filled(spark, d), "filled")
+    trees = sequence.SequenceModel(GIVEN_TREES, "gbt", 3, ["y"])
+    trained = forecasting.Trained(straight_models(spark, d, 0.0), trees, names=[additive.MODEL_NAME, sequence.MODEL_NAME])
+    ahead = forecasting.forecast(trained, rows, 6, scalers=scaling.fit_scaler(rows))
+    return ahead.withColumns({c: F.round(F.col(c) / 1e6, 3) for c in ("yhat", "yhat_lower", "yhat_upper")})
+
+
 def _plausible(forecasts, series):
     """Whether forecasts stay within the series' range, widened by itself on both sides."""
     span = series.groupBy(*KEYS).agg(F.min("y").alias("low"), F.max("y").alias("high"))
@@ -991,6 +1056,28 @@ def report_tables(spark, d):
     return out
 
 
+@query
+def report_values(spark, d):
+    """Every row of every table of a report; ``item`` is a date, a series, a forecast's model and date, or a model."""
+    series = filled(spark, d)
+    scored = metrics.to_long_metrics(metrics.regression_metrics(views.lagged_forecasts(series)))
+    tables = reports.report_tables(series, views.plain_forecasts(series, 14), scored)
+    day = F.col("ds").cast("string")
+    items = {
+        "history": (F.col("series_id"), day, F.round("y", 6)),
+        "correlation": (F.col("a"), F.col("b"), F.round("corr", 6)),
+        "forecast": (F.col("series_id"), F.concat_ws(" ", "kind", day), F.round("value", 6)),
+        "rmse": (F.col("series_id"), F.col("model"), F.round("value", 1)),
+    }
+    out = None
+    for name, (key, item, value) in items.items():
+        part = tables[name].select(
+            F.lit(name).alias("name"), "group_id", key.alias("series_id"), item.alias("item"), value.alias("value")
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def _hourly(spark, d):
     return fine.cut_series(views.events_hourly(spark, d), size=256)
 
