@@ -30,7 +30,11 @@ class UnigramTrie:
 
     def __init__(self, scores: dict[bytes, float]):
         self.scores = scores
-        self.longest = max(map(len, scores))
+        # The longest piece by its last two bytes: the only starts that a prefix with this end needs to try.
+        self.reach: dict[bytes, int] = {}
+        for piece in scores:
+            if len(piece) > 1:
+                self.reach[piece[-2:]] = max(self.reach.get(piece[-2:], 1), len(piece))
         self.known: dict[bytes, int] = {}
         self.clear()
 
@@ -49,10 +53,10 @@ class UnigramTrie:
                 break
             node = child
             path.append(node)
-        scores, score, pieces = self.scores, self.score, self.pieces
+        scores, score, pieces, reach = self.scores, self.score, self.pieces, self.reach
         for end in range(len(path), len(word) + 1):
             best, count = -math.inf, -1
-            for start in range(max(0, end - self.longest), end):
+            for start in range(max(0, end - reach.get(word[max(0, end - 2) : end], 1)), end):
                 own = scores.get(word[start:end])
                 if own is not None and score[path[start]] + own > best:
                     best, count = score[path[start]] + own, pieces[path[start]] + 1
