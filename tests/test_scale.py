@@ -106,6 +106,27 @@ def test_every_two_series_of_a_large_group_are_correlated(spark):
     assert all(place[a] > place[b] and abs(c - want.loc[a, b]) < 1e-9 for a, b, c in zip(lower["a"], lower["b"], lower["corr"]))
 
 
+def waves(spark, series, days):
+    """A group of series of which every seventh value is null and every fifth row is missing."""
+    return spark.range(days * series).where("id % 5 <> 3").select(
+        F.lit("g").alias("group_id"),
+        F.format_string("s%03d", F.col("id") % series).alias("series_id"),
+        F.date_add(F.lit(day("2024-01-01")), (F.col("id") / series).cast("int")).alias("ds"),
+        F.when(F.col("id") % 7 != 2, F.sin(F.col("id") * F.col("id"))).alias("y"),
+    )
+
+
+def test_strongest_of_a_large_group_sends_a_series_to_few_tasks(spark):
+    wide = waves(spark, 203, 16)
+    assert correlation.routed(wide, 8, None, True).count() <= 203 * correlation.BLOCKS
+    want = wide.toPandas().pivot(index="ds", columns="series_id", values="y").corr(min_periods=2)
+    best = correlation.correlation_matrix(wide, size=8, top_k=2).toPandas()
+    assert len(best) == 2 * 203 and not (best["a"] == best["b"]).any()
+    for name, own in best.groupby("a"):
+        sizes = want[name].drop(name).abs().sort_values(ascending=False)[:2]
+        assert abs(own["corr"].abs().sort_values(ascending=False).to_numpy() - sizes.to_numpy()).max() < 1e-9
+
+
 def test_top_k_is_limited_before_the_shuffle(spark):
     plan = plan_of(demand.trending(hot_log(spark).withColumn("geo", F.lit("US")), "US", bucket="year"))
     assert "TakeOrderedAndProject" in plan
