@@ -2,6 +2,7 @@
 
 import os
 
+import numpy as np
 import pytest
 from conftest import day
 from pyspark.sql import functions as F
@@ -107,7 +108,7 @@ def test_every_two_series_of_a_large_group_are_correlated(spark):
 
 
 def waves(spark, series, days):
-    """A group of series of which every seventh value is null and every fifth row is missing."""
+    """A group of series, some or all of whose values are null or missing: every seventh and every fifth of all."""
     return spark.range(days * series).where("id % 5 <> 3").select(
         F.lit("g").alias("group_id"),
         F.format_string("s%03d", F.col("id") % series).alias("series_id"),
@@ -124,7 +125,17 @@ def test_strongest_of_a_large_group_sends_a_series_to_few_tasks(spark):
     assert len(best) == 2 * 203 and not (best["a"] == best["b"]).any()
     for name, own in best.groupby("a"):
         sizes = want[name].drop(name).abs().sort_values(ascending=False)[:2]
-        assert abs(own["corr"].abs().sort_values(ascending=False).to_numpy() - sizes.to_numpy()).max() < 1e-9
+        assert np.allclose(own["corr"].abs().sort_values(ascending=False), sizes, atol=1e-9, equal_nan=True)
+
+
+def test_matrix_of_a_large_group_sends_a_series_to_few_tasks(spark):
+    wide = waves(spark, 333, 12)
+    assert correlation.routed(wide, None, None, True).count() <= 333 * correlation.BLOCKS
+    want = wide.toPandas().pivot(index="ds", columns="series_id", values="y").corr(min_periods=2)
+    rows = correlation.correlation_matrix(wide).toPandas()
+    got = rows.pivot(index="a", columns="b", values="corr")
+    assert len(rows) == 333 * 333 and np.allclose(got.to_numpy(float), want.to_numpy(), atol=1e-9, equal_nan=True)
+    assert len(correlation.correlation_lower(wide).toPandas()) == 333 * 332 // 2
 
 
 def test_top_k_is_limited_before_the_shuffle(spark):
