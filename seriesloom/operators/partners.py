@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.arrays import dot
 from ..functions.calendar import known
 from ..schema import KEYS, check_series
 from ..session import numbered, stage_table
-from .correlation import pairwise
+from .correlation import TILE, blocks_of, days_of_groups, on_calendar, pairs_batch, pairwise, strongest, strongest_of_tiles, unnested
 from .merging import GROUP_PARTS
 
-BLOCK = 128  # series of a block; a task holds two blocks
+BLOCK = 128  # series of a block; a task holds two runs of blocks
 PIVOTS = 32  # series of a group, at most, that all others are measured against
 DRAWN = 4  # series that are drawn for each pivot, from which those far from one another are taken
 NEAR = 0.5  # a series at less than this angle to a pivot is none itself
@@ -24,7 +27,6 @@ ANGLE_ROOM, CORR_ROOM = 1e-6, 1e-9
 TIE_DIGITS = 10  # correlations that agree so far are ties
 
 _PAIRS = "group_id string, a string, b string, corr double"
-_FOUND = pa.schema([("group_id", pa.string()), ("a", pa.string()), ("b", pa.string()), ("corr", pa.float64())])
 
 
 def strongest_partners(
@@ -40,27 +42,23 @@ def strongest_partners(
     Centered series of one length are directions, whose angles obey the triangle
     inequality. Each is measured against a few pivots, far from one another, and those near the same pivot
     share a block. A block's own pairs give every member a correlation its partners must
-    reach; two blocks whose angles to some pivot lie too far apart for that are never
-    brought together. This holds for the series that have the dates most series of the
-    group have; blocks with any other are compared with all.
+    reach; two blocks whose angles to some pivot lie too far apart for that are not
+    compared. This holds for the series that have the dates most series of the
+    group have; blocks with any other are compared with all. A task brings two runs of
+    blocks together, so that a large group has few pairs of runs and a block is sent to few tasks.
     """
     blocks = measured_blocks(df, top_k, size, pivots)
-    needed = block_pairs(blocks).where("needed").select("group_id", "i", "j")
-    sides = needed.select("*", F.col("i").alias("block")).unionByName(needed.where("i < j").select("*", F.col("j").alias("block")))
-    members = blocks.select("group_id", "block", "whole", "names", "days", "devs", "reach")
-
-    def compare(rows: pa.Table) -> pa.Table:
-        sides = sorted(rows.to_pylist(), key=lambda r: r["block"])
-        left, right = sides[0], sides[-1]
-        corr = _between(left, right)
-        if left is right:
-            np.fill_diagonal(corr, np.nan)
-        found = [_above(left, right, corr, top_k)]
-        if left is not right:
-            found.append(_above(right, left, corr.T, top_k))
-        return pa.Table.from_pandas(pd.concat(found), schema=_FOUND, preserve_index=False)
-
-    pairs = members.join(sides, ["group_id", "block"]).groupBy("group_id", "i", "j").applyInArrow(compare, _PAIRS)
+    runs = _runs(blocks)
+    spans = runs.groupBy("group_id", "run").agg(
+        F.bool_and("whole").alias("whole"), _span(F.min, "low", pivots).alias("low"), _span(F.max, "high", pivots).alias("high"),
+        F.array(F.min(F.array_min("reach"))).alias("reach"),
+    )
+    needed = block_pairs(spans.withColumnRenamed("run", "block")).where("needed").select("group_id", "i", "j")
+    sides = needed.select("*", F.col("i").alias("run")).unionByName(needed.where("i < j").select("*", F.col("j").alias("run")))
+    # A task's time is that of its pairs, not of its bytes, by which adaptive execution would merge them.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = runs.join(sides, ["group_id", "run"]).repartition(tasks, "group_id", "i", "j")
+    pairs = met.groupBy("group_id", "i", "j").applyInArrow(_compare(top_k), _PAIRS)
     best = Window.partitionBy("group_id", "a").orderBy(F.round(F.abs("corr"), TIE_DIGITS).desc(), "b")
     pairs = pairs.withColumn("__r", F.row_number().over(best)).where(F.col("__r") <= top_k).drop("__r")
     return pairs if digits is None else pairs.withColumn("corr", F.round("corr", digits))
@@ -92,20 +90,28 @@ def measured_blocks(df: DataFrame, top_k: int, size: int = BLOCK, pivots: int =
         F.when(F.col("whole"), span(F.array_min)).alias("low"),
         F.when(F.col("whole"), span(F.array_max)).alias("high"),
     )
-    blocks = stage_table(blocks, "blocks")
+    reach = T.StructField("reach", T.ArrayType(T.DoubleType()))
+    return stage_table(blocks.mapInArrow(_reaches(top_k), T.StructType([*blocks.schema.fields, reach])), "blocks")
+
+
+def _reaches(top_k: int) -> Callable:
+    """Task side: blocks with the correlation each member has with its ``top_k``-th partner in the block."""
 
-    def reaches(rows: pa.Table) -> pa.Table:
-        block = rows.to_pylist()[0]
-        sizes = np.abs(_between(block, block))
-        np.fill_diagonal(sizes, np.nan)
-        sizes = np.where(np.isnan(sizes), 0.0, sizes)
-        # With fewer than top_k others here, any partner matters.
-        own = np.partition(sizes, -top_k, axis=1)[:, -top_k] if top_k < len(sizes) else np.zeros(len(sizes))
-        return rows.select(["group_id", "block"]).append_column("reach", pa.array([own.tolist()], pa.list_(pa.float64())))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for i in range(batch.num_rows):
+                side = _members(pa.Table.from_batches([batch.slice(i, 1)]))
+                every = np.arange(len(side["names"]))
+                sizes = np.abs(_between(side, every, every))
+                np.fill_diagonal(sizes, np.nan)
+                sizes = np.where(np.isnan(sizes), 0.0, sizes)
+                # With fewer than top_k others here, any partner matters.
+                own = np.partition(sizes, -top_k, axis=1)[:, -top_k] if top_k < len(sizes) else np.zeros(len(sizes))
+                found.append(own.tolist())
+            yield batch.append_column("reach", pa.array(found, pa.list_(pa.float64())))
 
-    own = blocks.select("group_id", "block", "whole", "names", "days", "devs").groupBy("group_id", "block")
-    reached = stage_table(own.applyInArrow(reaches, "group_id string, block int, reach array<double>"), "reach")
-    return blocks.join(reached, ["group_id", "block"])
+    return run
 
 
 def block_pairs(blocks: DataFrame) -> DataFrame:
@@ -174,25 +180,97 @@ def _angles(packed: DataFrame, pivots: int) -> DataFrame:
     )
 
 
-def _between(left: dict, right: dict) -> np.ndarray:
-    """Correlations of the members of a block with those of another."""
-    if left["whole"] and right["whole"]:
-        x, z = np.array(left["devs"]), np.array(right["devs"])
-        return np.clip((x @ z.T) / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(z, axis=1)), -1.0, 1.0)
-    calendar = np.unique(np.concatenate([d for side in (left, right) for d in side["days"]]))
-    grids = []
-    for side in (left, right):
-        grid = np.full((len(calendar), len(side["names"])), np.nan)
-        for i, (days, dev) in enumerate(zip(side["days"], side["devs"], strict=True)):
-            grid[np.searchsorted(calendar, days), i] = dev
-        grids.append(grid)
-    return pairwise(*grids)
-
-
-def _above(left: dict, right: dict, corr: np.ndarray, top_k: int) -> pd.DataFrame:
-    """The strongest partners in ``right`` of each member of ``left``, of those that can be among its ``top_k``."""
-    a, b = np.nonzero(np.where(np.isnan(corr), -1.0, np.abs(corr)) >= np.array(left["reach"])[:, None] - CORR_ROOM)
-    names, others = np.array(left["names"], object), np.array(right["names"], object)
-    found = pd.DataFrame({"group_id": left["group_id"], "a": names[a], "b": others[b], "corr": corr[a, b]})
-    ranked = found.assign(size=found["corr"].abs().round(TIE_DIGITS)).sort_values(["a", "size", "b"], ascending=[True, False, True])
-    return ranked.groupby("a", sort=False).head(top_k).drop(columns="size")
+def _runs(blocks: DataFrame) -> DataFrame:
+    """``blocks`` with ``run``: neighbouring blocks of a group, in number, that go to a task together."""
+    dates = days_of_groups(blocks.select("group_id", F.explode("days").alias("days")))
+    groups = blocks.groupBy("group_id").agg(F.sum(F.size("names")).cast("double").alias("series"), F.count("*").alias("of"))
+    groups = groups.join(dates, "group_id")
+    count = F.least(blocks_of(F.col("series"), F.col("dates")), F.col("of"))
+    run = F.floor(F.col("block") * count / F.col("of")).cast("int")
+    return blocks.join(groups, "group_id").select(*blocks.columns, run.alias("run"))
+
+
+def _span(pick: Callable, column: str, pivots: int) -> Column:
+    """The least or largest of each place of an array; places that no row has are left out."""
+    return F.array_compact(F.array(*[pick(F.get(F.col(column), F.lit(p))) for p in range(pivots)]))
+
+
+def _members(rows: pa.Table) -> dict:
+    """The members of blocks, in order of their names, with their values on the blocks' calendar."""
+    blocks = rows.column("names").combine_chunks()
+    home = np.repeat(np.arange(len(rows)), blocks.value_lengths().to_numpy())
+    names = blocks.flatten()
+    series, day, dev = unnested(*(pa.chunked_array([rows.column(c).combine_chunks().flatten()]) for c in ("days", "devs")))
+    side = {"names": names, "home": home, "whole": rows.column("whole").to_numpy()[home]}
+    side["values"] = on_calendar(series, day, dev, len(names))
+    return side
+
+
+def _between(side: dict, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Correlations of some members with others."""
+    x, z = side["values"][:, left], side["values"][:, right]
+    if not (side["whole"][left].all() and side["whole"][right].all()):
+        return pairwise(x, z)
+    x, z = x[~np.isnan(x[:, 0])], z[~np.isnan(z[:, 0])]
+    return np.clip((x.T @ z) / np.outer(np.linalg.norm(x, axis=0), np.linalg.norm(z, axis=0)), -1.0, 1.0)
+
+
+def _compare(top_k: int) -> Callable:
+    """Task side: of two runs of blocks the strongest partners of each member in the other run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches).sort_by([("run", "ascending"), ("block", "ascending")])
+        group, first, second = (rows.column(c)[0].as_py() for c in ("group_id", "i", "j"))
+        side = _members(rows)
+        # Ties go by name: the first in this order.
+        rank = np.empty(len(side["names"]), np.int64)
+        rank[pc.sort_indices(side["names"]).to_numpy()] = np.arange(len(rank))
+        by_rank = np.argsort(rank)
+        reach = rows.column("reach").combine_chunks().flatten().to_numpy() - CORR_ROOM
+        of = rows.column("run").to_numpy()
+        mine, others = np.flatnonzero(of == first), np.flatnonzero(of == second)
+        meets = _needed(rows.select(["whole", "low", "high", "reach"]).to_pylist(), mine, others)
+        back, start = [], 0
+        while start < len(mine):
+            # Blocks that meet the same blocks are compared at once, as many as make a tile.
+            met = others[meets[start]]
+            columns = by_rank[np.isin(side["home"][by_rank], met)]
+            stop, members = start + 1, np.flatnonzero(side["home"] == mine[start])
+            while stop < len(mine) and np.array_equal(meets[stop], meets[start]) and (len(members) + 1) * len(columns) < TILE:
+                members = np.append(members, np.flatnonzero(side["home"] == mine[stop]))
+                stop += 1
+            start = stop
+            if not len(columns):
+                continue
+            corr = _between(side, members, columns)
+            sizes = np.where(np.isnan(corr), -2.0, np.abs(corr))
+            sizes[members[:, None] == columns] = -2.0
+            ties = np.round(sizes, TIE_DIGITS)
+            a, b = strongest(np.where(sizes >= reach[members][:, None], ties, -2.0), top_k)
+            yield pairs_batch(group, side["names"], members[a], columns[b], corr[a, b])
+            if first != second:
+                b, a = strongest(np.where(sizes >= reach[columns], ties, -2.0).T[:, np.argsort(rank[members])], top_k)
+                a = np.argsort(rank[members])[a]
+                back.append((columns[b], rank[members[a]], corr[a, b], ties[a, b]))
+        if back:
+            a, b, corr = strongest_of_tiles(back, top_k)
+            yield pairs_batch(group, side["names"], a, by_rank[b], corr)
+
+    return run
+
+
+def _needed(blocks: list[dict], mine: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """The rule of ``block_pairs`` for the blocks of two runs."""
+    least = np.array([min(b["reach"]) for b in blocks])
+    whole = np.array([b["whole"] for b in blocks])
+    needed = (mine[:, None] == others) | ~whole[mine][:, None] | ~whole[others]
+    if whole[mine].any() and whole[others].any():
+        count = max(len(b["low"]) for b in blocks if b["whole"])
+        low, high = (np.array([b[c] if b["whole"] else [np.nan] * count for b in blocks]) for c in ("low", "high"))
+        apart = np.full(needed.shape, -np.inf)
+        for p in range(count):
+            apart = np.fmax(apart, np.subtract.outer(low[mine, p], high[others, p]))
+            apart = np.fmax(apart, np.subtract.outer(low[others, p], high[mine, p]).T)
+        at_most = np.cos(np.maximum(apart - ANGLE_ROOM, 0.0))
+        needed |= at_most >= np.minimum.outer(least[mine], least[others]) - CORR_ROOM
+    return needed

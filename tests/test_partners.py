@@ -73,6 +73,18 @@ def test_gaps_flat_series_and_groups(spark):
     assert found(got.where("group_id = 'h'")) == expected(other, 4)
 
 
+def test_runs_of_blocks_of_series_with_gaps(spark):
+    wide = families(seed=13, count=4, each=40, days=40)
+    rng = np.random.default_rng(17)
+    for i in range(0, 160, 2):
+        wide.iloc[rng.integers(0, 40, 5), i] = np.nan
+    long = long_frame(spark, wide)
+    runs = partners._runs(partners.measured_blocks(long, 1, 4, 4)).select("block", "run").toPandas()
+    # A task compares runs of blocks: a block goes to a few tasks, not to one for each other block.
+    assert runs["block"].nunique() >= 40 and 1 < runs["run"].nunique() <= 4
+    assert found(partners.strongest_partners(long, 1, size=4, pivots=4)) == expected(wide, 1)
+
+
 def test_ties_go_by_name(spark):
     day = pd.date_range("2021-01-01", periods=6)
     base = np.array([1.0, 2.0, 4.0, 1.0, 0.0, 3.0])
