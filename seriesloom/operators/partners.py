@@ -196,23 +196,26 @@ def _span(pick: Callable, column: str, pivots: int) -> Column:
 
 
 def _members(rows: pa.Table) -> dict:
-    """The members of blocks, in order of their names, with their values on the blocks' calendar."""
+    """The members of blocks: as they are those that have the usual days, and if others are here all on one calendar."""
     blocks = rows.column("names").combine_chunks()
     home = np.repeat(np.arange(len(rows)), blocks.value_lengths().to_numpy())
     names = blocks.flatten()
     series, day, dev = unnested(*(pa.chunked_array([rows.column(c).combine_chunks().flatten()]) for c in ("days", "devs")))
-    side = {"names": names, "home": home, "whole": rows.column("whole").to_numpy()[home]}
-    side["values"] = on_calendar(series, day, dev, len(names))
+    whole = rows.column("whole").to_numpy()[home]
+    side = {"names": names, "home": home, "whole": whole, "line": np.cumsum(whole) - 1}
+    if whole.any():
+        side["lines"] = dev[whole[series]].reshape(whole.sum(), -1)
+    if not whole.all():
+        side["values"] = on_calendar(series, day, dev, len(names))
     return side
 
 
 def _between(side: dict, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Correlations of some members with others."""
-    x, z = side["values"][:, left], side["values"][:, right]
     if not (side["whole"][left].all() and side["whole"][right].all()):
-        return pairwise(x, z)
-    x, z = x[~np.isnan(x[:, 0])], z[~np.isnan(z[:, 0])]
-    return np.clip((x.T @ z) / np.outer(np.linalg.norm(x, axis=0), np.linalg.norm(z, axis=0)), -1.0, 1.0)
+        return pairwise(side["values"][:, left], side["values"][:, right])
+    x, z = side["lines"][side["line"][left]], side["lines"][side["line"][right]]
+    return np.clip((x @ z.T) / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(z, axis=1)), -1.0, 1.0)
 
 
 def _compare(top_k: int) -> Callable:

@@ -85,6 +85,13 @@ def test_runs_of_blocks_of_series_with_gaps(spark):
     assert found(partners.strongest_partners(long, 1, size=4, pivots=4)) == expected(wide, 1)
 
 
+def test_rows_that_come_twice(spark):
+    wide = families(seed=19, count=2, each=6, days=20)
+    wide.iloc[4:7, 3] = np.nan
+    long = long_frame(spark, wide).where("y is not null")
+    assert found(partners.strongest_partners(long.unionByName(long), 2, size=4, pivots=2)) == expected(wide, 2)
+
+
 def test_ties_go_by_name(spark):
     day = pd.date_range("2021-01-01", periods=6)
     base = np.array([1.0, 2.0, 4.0, 1.0, 0.0, 3.0])
