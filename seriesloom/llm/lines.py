@@ -25,6 +25,8 @@ LIST_SIZE = 65_536
 # The lines that ask a list are cut into parts of about this length, each of which meets the whole list in a task of its own.
 ASK_SIZE = 262_144
 ROWS_AT_ONCE = 100_000
+# Texts are cut into lines and tokens, or stripped, this many bytes at a time: some twenty times as much is held for them.
+TEXT_BYTES = 1 << 18
 
 
 def _ceil(x: np.ndarray) -> np.ndarray:
@@ -62,7 +64,7 @@ def line_tokens(texts: pa.Array, shingle: int):
 
 def _tokens(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", TEXT_BYTES):
             yield line_tokens(part.column("text"), shingle)[2]
 
     return run
@@ -82,7 +84,7 @@ def _candidates(shingle: int, similarity: float, sketch):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Sketch = sketch.value
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", TEXT_BYTES):
             first, line, token = line_tokens(part.column("text"), shingle)
             level = sum(counts.reaches(token, k).astype(np.int8) for k in range(len(RARITY)))
             order = np.lexsort((token, level, line))
@@ -344,7 +346,7 @@ def repeated_lines(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Task side: texts without the lines of ``lines``."""
-    for part in slices(batches, "text"):
+    for part in slices(batches, "text", TEXT_BYTES):
         filled, removed, kept = [], [], []
         for text, gone in zip(part.column("text").to_pylist(), part.column("lines").to_pylist(), strict=True):
             own = [] if text is None else text.split("\n")

@@ -3,8 +3,10 @@ from __future__ import annotations
 import itertools
 import random
 import re
+import tracemalloc
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from seriesloom.llm import lines
@@ -110,3 +112,16 @@ def test_empty_table_and_clashing_names(spark):
     docs = spark.createDataFrame([(1, "a b\nc", 1, 2, "r", 3, 4, 5), (2, "c\nd", 1, 2, "r", 3, 4, 5)], docs.schema)
     got = {r.doc_id: r for r in lines.without_repeated_lines(docs).collect()}
     assert tuple(got[2]) == (2, "d", 1, 2, "r", 3, 4, 5) and got[1].text == "a b\nc"
+
+
+def test_tokens_of_many_texts_need_little_memory():
+    texts = ["\n".join(" ".join(f"w{i * j % 997}" for j in range(12)) for i in range(k, k + 60)) for k in range(900)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    for _ in lines._tokens(5)(iter([batch.slice(0, 100)])):  # tables of powers are kept
+        pass
+    tracemalloc.start()
+    count = sum(len(found) for found in lines._tokens(5)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert count == sum(len({w for x in t.split("\n") for w in [(x, p) for p in tokens(x)]}) for t in texts)
+    assert peak < 10_000_000
