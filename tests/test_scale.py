@@ -138,6 +138,18 @@ def test_matrix_of_a_large_group_sends_a_series_to_few_tasks(spark):
     assert len(correlation.correlation_lower(wide).toPandas()) == 333 * 332 // 2
 
 
+def test_series_of_many_groups_are_sent_once(spark):
+    wide = waves(spark, 599, 12).withColumn("group_id", F.substring("series_id", -1, 1))
+    assert correlation.routed(wide, 15, None, True).count() == 599
+    want = wide.toPandas()
+    rows = correlation.correlation_matrix(wide).toPandas()
+    assert len(rows) == 9 * 60 * 60 + 59 * 59
+    for name, own in rows.groupby("group_id"):
+        corr = want[want["group_id"] == name].pivot(index="ds", columns="series_id", values="y").corr(min_periods=2)
+        got = own.pivot(index="a", columns="b", values="corr")
+        assert np.allclose(got.to_numpy(float), corr.to_numpy(), atol=1e-9, equal_nan=True)
+
+
 def test_top_k_is_limited_before_the_shuffle(spark):
     plan = plan_of(demand.trending(hot_log(spark).withColumn("geo", F.lit("US")), "US", bucket="year"))
     assert "TakeOrderedAndProject" in plan
