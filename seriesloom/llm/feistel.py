@@ -19,6 +19,8 @@ from .words import mix, slices
 ROUNDS = 8
 # Tokens of a sequence, and sequences of a shard.
 LENGTH, PER_SHARD = 1024, 8192
+# Bytes for words whose codes a worker remembers: nothing else of this size is held beside them.
+KNOWN_BYTES = 128_000_000
 
 
 def feistel(index: np.ndarray, count: int, seed: int) -> np.ndarray:
@@ -46,7 +48,7 @@ def _pack_sequences(path: str, end: int, length: int):
     """Task side: this task's tokens as packed sequences; the last one is filled up with end marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, pack, part = coder(path), _codec(), TaskContext.get().partitionId()
+        code, pack, part = coder(path, KNOWN_BYTES), _codec(), TaskContext.get().partitionId()
         mark = np.array([end], code.kind).tobytes()
         width = length * code.kind.itemsize
         held, made = b"", 0
