@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -136,3 +137,64 @@ def test_words_met_often_are_encoded_once_though_many_pass():
         assert np.frombuffer(code.encode([text.encode()])[0], code.kind).tolist() == tok.encode(text, add_special_tokens=False).ids
         assert len(code.known) + len(code.older) < 250
     assert made.count("often") == made.count("***") == 1
+
+
+def pieces_of(monkeypatch, texts: list[str], shared: set[int]) -> list[dict]:
+    """What a task makes of ``texts``, if the chunks with the hashes ``shared`` occur elsewhere."""
+    monkeypatch.setattr(bpe.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    sketch = SimpleNamespace(reaches=lambda hashes: np.isin(hashes, np.array(sorted(shared), np.uint64)))
+    batch = pa.record_batch({"key": pa.array(range(len(texts))), "text": pa.array(texts)})
+    return pa.Table.from_batches(bpe._cut_and_encode(PATH, SimpleNamespace(value=sketch))(iter([batch]))).to_pylist()
+
+
+def test_texts_that_share_little_are_put_together_from_chunks(monkeypatch):
+    text = " ".join(f"word{i} of {i * i % 977}" for i in range(600))
+    words, starts, ends, _ = bpe.cut(pa.array([text]))
+    assert len(starts) > 4
+    hashes = bpe.span_hashes(words.data, starts, ends)
+    found = pieces_of(monkeypatch, [text, text + " more", "alone"], {int(hashes[1])})
+    documents = {r["key"]: r for r in found if r["key"] is not None}
+    assert [documents[k]["units"] and [n for n in documents[k]["units"] if n > 0] for k in range(3)] == [[1], [1], None]
+    assert documents[2]["n_tokens"] == expected(PATH, "alone")[0]
+    chunk = text[int(starts[1]) : int(ends[1])].encode()
+    assert [(r["number"], r["data"]) for r in found if r["key"] is None] == [(0, chunk)]
+
+
+def test_every_copy_is_encoded_and_decoded(monkeypatch):
+    encoded, decoded = [], []
+    encode, decode = bpe.Coder.encode, bpe.Coder.decode
+    monkeypatch.setattr(bpe.Coder, "encode", lambda self, texts: encoded.extend(texts) or encode(self, texts))
+    monkeypatch.setattr(bpe.Coder, "decode", lambda self, ids: decoded.append(ids) or decode(self, ids))
+    found = pieces_of(monkeypatch, ["one text", "another", "one text", "one text"], set())
+    assert encoded == [b"one text", b"another", b"one text", b"one text"] and len(decoded) == 4
+    assert [r["key"] for r in found] == [0, 1, 2, 3]
+
+
+def test_texts_with_equal_hashes_have_their_own_codes(spark):
+    """Two words of 2,048 letters whose polynomial hashes are equal modulo 2^64, whatever the base."""
+    marks = [bin(i).count("1") % 2 for i in range(2048)]
+    one, two = "".join("ab"[m] for m in marks), "".join("ba"[m] for m in marks)
+    words = bpe.split_words(pa.array([one, two]))
+    for seed in (0, 1):
+        assert len(set(bpe.span_hashes(words.data, words.starts, words.ends, seed).tolist())) == 1
+    assert bpe.chunk_name(one.encode()) != bpe.chunk_name(two.encode())
+    rows = [(1, one), (2, two), (3, two), (4, one), (5, two)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert sorted(tuple(r) for r in bpe.encode_documents(docs, PATH).collect()) == [(k, *expected(PATH, t)) for k, t in rows]
+
+
+def test_a_chunk_that_many_ask_for_is_encoded_once_and_sent_in_small_batches(monkeypatch):
+    made = []
+    encode = bpe.Coder.encode
+    monkeypatch.setattr(bpe.Coder, "encode", lambda self, texts: made.extend(texts) or encode(self, texts))
+    texts = [b"x " * 300_000, b"short one"]
+    asked = [(i % 7, 0, name, name, texts[name] if i == 0 else None) for name in (0, 1) for i in range(20)]
+    columns = [pa.array(c, f) for c, f in zip(zip(*asked, strict=True), bpe._ARROW, strict=False)]
+    table = pa.Table.from_arrays(columns, names=["place", "number", "a", "b", "data"])
+    batches = list(bpe._encode_chunks(PATH)(iter(table.to_batches(max_chunksize=9))))
+    assert made == texts
+    assert max(b.column("data").nbytes for b in batches) < 3 << 20
+    got = pa.Table.from_batches(batches)
+    assert got["place"].to_pylist() == table["place"].to_pylist()
+    want = [b.tobytes() for b in (np.array(Tokenizer.from_file(PATH).encode(t.decode(), add_special_tokens=False).ids, np.uint16) for t in texts)]
+    assert got["data"].to_pylist() == [want[0]] * 20 + [want[1]] * 20
